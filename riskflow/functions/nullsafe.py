@@ -76,8 +76,9 @@ def sentinel_to_null(c: ColumnOrName, sentinel: int | float) -> Column:
 
 
 def falsy_default(c: ColumnOrName, default) -> Column:
-    """P-41: Python's ``x or d`` - missing *or zero* becomes ``d``."""
-    return F.coalesce(F.nullif(_c(c), F.lit(0)), F.lit(default))
+    """P-41: Python's ``x or d`` - missing *or zero* becomes ``d`` (a value or a column)."""
+    d = default if isinstance(default, Column) else F.lit(default)
+    return F.coalesce(F.nullif(_c(c), F.lit(0)), d)
 
 
 # ---------------------------------------------------------------- row-wise

@@ -48,11 +48,12 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def rounded(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:
     """Oracle counterpart of ``finish``: round the listed double columns."""
-    rep = ", ".join(f"round(round({c}, {SNAP}), {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"round(round({c}, {SNAP}), {digits}) + 0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS q"
 
 
 def rounded_all(sql: str, keep: Sequence[str], digits: int = DIGITS) -> str:
-    """Round every column but ``keep`` (integers are unchanged by DuckDB's round)."""
+    """Round every column but ``keep`` (integers are unchanged by DuckDB's round;
+    ``+ 0`` turns -0.0 into 0.0 as Spark's decimal-based round does)."""
     ex = ", ".join(keep)
-    return f"SELECT {ex}, round(round(COLUMNS(* EXCLUDE ({ex})), {SNAP}), {digits}) FROM ({sql}) AS q"
+    return f"SELECT {ex}, round(round(COLUMNS(* EXCLUDE ({ex})), {SNAP}), {digits}) + 0 FROM ({sql}) AS q"
