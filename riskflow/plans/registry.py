@@ -46,7 +46,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
                            for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
-def rounded(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:
+def rounded(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:  # noqa: D401
     """Oracle counterpart of ``finish``: round the listed double columns."""
     rep = ", ".join(f"round(round({c}, {SNAP}), {digits}) + 0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS q"
