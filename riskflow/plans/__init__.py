@@ -1,4 +1,4 @@
 """Query keys over the test tables. Importing this package registers every key."""
 
-from riskflow.plans import feature_queries, metric_queries, row_queries  # noqa: F401
+from riskflow.plans import eval_queries, feature_queries, metric_queries, row_queries  # noqa: F401
 from riskflow.plans.registry import ORACLES, QUERIES  # noqa: F401

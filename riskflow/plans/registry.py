@@ -25,19 +25,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-SNAP = 9
-
-
-def round_double(c, digits: int = DIGITS):
-    """Engine-independent rounding of a double.
-
-    Step 1 snaps to 9 decimals, which removes last-bit noise from summation
-    order (sums of cents and means over groups of 2^k rows otherwise sit on
-    exact ties). Step 2 is round-half-away on the binary product ``x * 10^d``,
-    the same IEEE operations DuckDB's ``round(x, d)`` performs.
-    """
-    scale = float(10 ** digits)
-    return F.round(F.round(c, SNAP) * F.lit(scale), 0) / F.lit(scale)
+from riskflow.functions.rounding import SNAP, round_double  # noqa: E402
 
 
 def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
