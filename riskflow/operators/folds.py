@@ -33,7 +33,8 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
     wb = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))
-    return (d.join(bounded_broadcast(offs), [label, "_b"], "inner")
+    # Offsets table: classes x 4096 buckets (binary label: at most 8192 rows).
+    return (d.join(bounded_broadcast(offs, bound=2 * 16 ** HASH_BUCKET_HEX), [label, "_b"], "inner")
              .withColumn(out, ((F.col("_off") + rn - 1) % F.lit(k)).cast("int"))
              .drop("_h", "_b", "_off"))
 

@@ -22,13 +22,25 @@ def star_join(base: DataFrame, parts: Sequence[DataFrame], key: str | Sequence[s
     return out
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise return it unchanged.
-
-    Intended for small derived tables (maps, grids, edges) whose row count is
-    cheap to measure; the count runs on the already-reduced table."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast only a side whose size is checked.
+
+    * ``bound`` given (a row bound that holds by construction, e.g. a fixed
+      grid or one row per model) and within ``max_rows``: explicit hint.
+    * otherwise no hint: the side is an aggregate behind a shuffle, and
+      adaptive execution measures its materialized size at run time and turns
+      the join into a broadcast only when it is under
+      ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond that the
+      sort-merge join stays. No extra job recomputes the side to count it.
+    """
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def measured_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Eager variant for an already materialized (checkpointed / cached) table: count, then hint."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def lookup_join(df: DataFrame, mapping: DataFrame, on: str | Sequence[str] | Column,

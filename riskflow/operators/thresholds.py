@@ -130,3 +130,27 @@ def blend(df: DataFrame, weights: dict[str, float], out: str = "prob", min_weigh
         term = F.lit(float(w)) * F.col(col)
         expr = term if expr is None else expr + term
     return df.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
+
+
+def threshold_sensitivity(df: DataFrame, score: str, cuts: Sequence[float],
+                          revenue_per_approval: float = 25000.0) -> DataFrame:
+    """R-03: approvals (score >= cut), declines, shares and revenue for every cut, without
+    pairing rows with cuts (same k(s) expansion as the sweep)."""
+    m = len(cuts)
+    grid = F.array(*[F.lit(float(c)) for c in cuts])
+    hk = (df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("t"))
+            .withColumn("k", F.size(F.filter(grid, lambda c: c <= F.col("s"))))
+            .groupBy("k").agg(F.sum("t").alias("t")))
+    passed = hk.filter("k > 0").select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "t")
+    dense = hk.agg(F.sum("t").alias("n_all")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.lit(0).cast("long").alias("t"), "n_all")
+    tot = Window.partitionBy(F.lit(1))  # at most m rows
+    out = (passed.withColumn("n_all", F.lit(None).cast("long")).unionByName(dense)
+                 .groupBy("i").agg(F.sum("t").alias("approved"), F.max("n_all").alias("n"))
+                 .withColumn("n", F.max("n").over(tot)))
+    return out.select(
+        F.element_at(grid, F.col("i") + 1).alias("threshold"), "approved",
+        (F.col("n") - F.col("approved")).alias("declined"),
+        (F.col("approved") / F.col("n") * 100).alias("approved_pct"),
+        ((F.col("n") - F.col("approved")) / F.col("n") * 100).alias("declined_pct"),
+        (F.col("approved") * F.lit(revenue_per_approval)).alias("revenue"))

@@ -46,14 +46,15 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
     return [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in exclude]
 
 
-def _finish_map(counts: DataFrame, keys: Sequence[str], smoothing: float) -> DataFrame:
+def _finish_map(counts: DataFrame, keys: Sequence[str], smoothing: float, bound: int | None = None) -> DataFrame:
     """counts: (*keys, category, events, total) -> + woe, iv_part using per-keys totals."""
     stats = counts.groupBy(*keys).agg(F.sum("events").alias("E"), F.sum("total").alias("T"),
                                       F.count(F.lit(1)).alias("k"))
     s = F.lit(float(smoothing))
     de = (F.col("events") + s) / (F.col("E") + s * F.col("k"))
     dn = (F.col("total") - F.col("events") + s) / (F.col("T") - F.col("E") + s * F.col("k"))
-    return (counts.join(bounded_broadcast(stats), list(keys), "inner")
+    # stats: one row per column (per fold and column for E-05) - bounded by construction.
+    return (counts.join(bounded_broadcast(stats, bound), list(keys), "inner")
                   .withColumn("de", de).withColumn("dn", dn)
                   .withColumn("woe", F.ln(F.col("de") / F.col("dn")))
                   .withColumn("iv", (F.col("de") - F.col("dn")) * F.col("woe"))
@@ -64,7 +65,7 @@ def woe_fit(df: DataFrame, label: str, cols: Sequence[str], smoothing: float = 0
     """E-01 / E-02: map table (column, category, events, total, woe, iv) where iv is the category's share."""
     st = _stack(df, label, cols)
     counts = st.groupBy("column", "category").agg(F.sum("_y").alias("events"), F.count(F.lit(1)).alias("total"))
-    return _finish_map(counts, ["column"], smoothing)
+    return _finish_map(counts, ["column"], smoothing, bound=len(cols))
 
 
 def information_value(woe_map: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def woe_fit_oof(df: DataFrame, label: str, cols: Sequence[str], fold: str = "fol
                        (F.col("ev_all") - F.coalesce("ev", F.lit(0))).alias("events"),
                        (F.col("tot_all") - F.coalesce("tot", F.lit(0))).alias("total"))
                .filter(F.col("total") > 0))
-    return _finish_map(oof, [fold, "column"], smoothing)
+    return _finish_map(oof, [fold, "column"], smoothing, bound=k * len(cols))
 
 
 def woe_transform_oof(df: DataFrame, oof_map: DataFrame, cols: Sequence[str], fold: str = "fold",
