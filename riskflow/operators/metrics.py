@@ -43,11 +43,13 @@ def _g(groups) -> list[str]:
 
 
 def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int = DEFAULT_BUCKETS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """One row per (groups, distinct score) with p, n, cp, cn, tot_p, tot_n and the
     (p, n) of the next lower distinct score (``next_p``/``next_n``, NULL at the end)."""
     g = _g(groups)
-    b = F.least(F.greatest(F.floor(F.col("s") * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    span = (hi - lo) if hi > lo else 1.0
+    b = F.least(F.greatest(F.floor((F.col("s") - F.lit(float(lo))) / F.lit(float(span)) * F.lit(buckets)), F.lit(0)),
+                F.lit(buckets - 1)).cast("int")
     hist = (df.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
               .groupBy(*g, "s")
               .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t"))
@@ -76,10 +78,11 @@ def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] =
 
 
 def rank_metrics(df: DataFrame, label: str = "label", score: str = "prob", groups: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS, eps: float = LOG_LOSS_EPS) -> DataFrame:
-    """V-01 AUC, V-02 Gini, V-03 KS, V-04 AP, V-05 Brier, V-06 log loss per group (exact, tie-aware)."""
+                 buckets: int = DEFAULT_BUCKETS, eps: float = LOG_LOSS_EPS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """V-01 AUC, V-02 Gini, V-03 KS, V-04 AP, V-05 Brier, V-06 log loss per group (exact, tie-aware).
+    ``lo``/``hi`` set the bucketing range for scores that are not probabilities."""
     g = _g(groups)
-    pts = score_points(df, label, score, g, buckets)
+    pts = score_points(df, label, score, g, buckets, lo, hi)
     s = F.col("s")
     sc = F.least(F.greatest(s, F.lit(eps)), F.lit(1 - eps))
     p, n, cp, cn = F.col("p"), F.col("n"), F.col("cp"), F.col("cn")
