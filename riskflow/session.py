@@ -63,6 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The input is persisted for the duration of the checkpoint so the plan runs
+    once (an eager checkpoint otherwise computes it twice: count, then write);
+    the returned frame reads the checkpoint files and has a one-step lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
