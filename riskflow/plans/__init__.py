@@ -2,5 +2,5 @@
 
 from riskflow.plans import (  # noqa: F401
     decision_queries, encoding_queries, eval_queries, feature_queries, io_queries, metric_queries, profile_queries,
-    row_queries, train_queries)
+    row_queries, stream_queries, train_queries)
 from riskflow.plans.registry import ORACLES, QUERIES  # noqa: F401
