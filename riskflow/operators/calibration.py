@@ -1,10 +1,10 @@
 """Calibration table (V-15), score density by class (V-16) and probability calibration (M-14).
 
-Quantile edges are exact linear-interpolation percentiles computed per group
-in one aggregate (Spark's ``percentile`` keeps a value -> count map per group,
-bounded by the number of distinct scores; scores rounded to 6 digits keep it
-at most 10^6 + 1 entries). Rows are then binned by comparing with the small
-per-group edge array (one row per group, broadcast after a size check).
+Quantile edges are exact linear-interpolation percentiles per group, computed
+with the distributed prefix sum of ``riskflow.operators.prefix`` (no group is
+gathered into one task); ``exact=False`` uses ``percentile_approx``. Rows are
+then binned by comparing with the small per-group edge array (one row per
+group; adaptive execution broadcasts it from its measured size).
 """
 
 from __future__ import annotations
@@ -31,17 +31,19 @@ def quantile_edges(df: DataFrame, col: str, n_bins: int, groups: Sequence[str] =
                    exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """(groups..., edges array<double>) with n_bins + 1 edges per group."""
     g = _g(groups)
+    if exact:
+        from riskflow.operators.prefix import exact_quantiles
+        return exact_quantiles(df, col, quantile_levels(n_bins), g).withColumnRenamed("q", "edges")
     levels = F.array(*[F.lit(q) for q in quantile_levels(n_bins)])
-    x = F.col(col).cast("double")
-    agg = F.percentile(x, levels) if exact else F.percentile_approx(x, levels, accuracy)
+    agg = F.percentile_approx(F.col(col).cast("double"), levels, accuracy)
     return df.groupBy(*g).agg(agg.alias("edges")) if g else df.agg(agg.alias("edges"))
 
 
 def _attach(df: DataFrame, edges: DataFrame, g: list[str]) -> DataFrame:
-    e = bounded_broadcast(edges)
+    """Equi-join rows to their group's small edge row (a constant group when ungrouped)."""
     if g:
-        return df.join(e, g, "inner")
-    return df.join(e.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"), "inner").drop("_k")
+        return df.join(bounded_broadcast(edges), g, "inner")
+    return df.withColumn("_all", F.lit(0)).join(bounded_broadcast(edges.withColumn("_all", F.lit(0))), "_all").drop("_all")
 
 
 def calibration_bins(df: DataFrame, label: str = "label", score: str = "prob", n_bins: int = 15,

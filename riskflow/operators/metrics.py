@@ -4,18 +4,13 @@ Input contract: a DataFrame with a 0/1 label column, a score column and
 optional group columns (model, fold, segment). Every metric is computed per
 group in one pass over the rows.
 
-Scale design (no global single-partition window):
-
-1. ``groupBy(groups, score)`` collapses rows to one row per distinct score
-   with positive / negative counts (partial aggregation, so a hot score or a
-   hot group is combined map-side).
-2. Scores are cut into ``buckets`` equal-width buckets over [0, 1] (bucket is
-   monotone in the score, out-of-range scores clamp to the edge buckets).
-   Per-bucket totals are a small table (groups x buckets) whose prefix sums
-   are a window over at most ``buckets`` rows per group.
-3. Cumulative counts per distinct score = bucket offset + running sum inside
-   the bucket (a window partitioned by (groups, bucket)). With scores rounded
-   to 6 digits one bucket holds at most 10^6/buckets distinct values.
+Scale design (no global single-partition window): ``groupBy(groups, score)``
+collapses rows to one row per distinct score with positive / negative counts
+(partial aggregation, so a hot score or a hot group is combined map-side);
+running totals in descending score order come from the distributed prefix
+sum in ``riskflow.operators.prefix`` (approximate-quantile buckets sized from
+the number of distinct scores, small per-bucket offset table, windows only
+inside a bucket).
 
 Let g run over distinct scores in descending order with p_g, n_g and
 inclusive cumulative cp_g, cn_g; P, N the class totals. Then
@@ -30,9 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.operators.joins import bounded_broadcast
+from riskflow.operators.prefix import prefix_sums
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = None  # sized from the number of distinct scores
 LOG_LOSS_EPS = 2.220446049250313e-16  # float64 machine epsilon, the library default clip
 
 
@@ -43,46 +38,31 @@ def _g(groups) -> list[str]:
 
 
 def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """One row per (groups, distinct score) with p, n, cp, cn, tot_p, tot_n and the
-    (p, n) of the next lower distinct score (``next_p``/``next_n``, NULL at the end)."""
-    g = _g(groups)
-    span = (hi - lo) if hi > lo else 1.0
-    b = F.least(F.greatest(F.floor((F.col("s") - F.lit(float(lo))) / F.lit(float(span)) * F.lit(buckets)), F.lit(0)),
-                F.lit(buckets - 1)).cast("int")
-    hist = (df.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
-              .groupBy(*g, "s")
-              .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t"))
-              .select(*g, "s", "p", (F.col("t") - F.col("p")).alias("n"), b.alias("b")))
-    # Small per-bucket table: totals, exclusive prefix (higher buckets first), head of each bucket.
-    wb = Window.partitionBy(*g).orderBy(F.col("b").desc()) if g else Window.orderBy(F.col("b").desc())
-    bt = (hist.groupBy(*g, "b")
-              .agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"),
-                   F.max_by(F.struct(F.col("p").alias("hp"), F.col("n").alias("hn")), "s").alias("head"))
-              .withColumn("off_p", F.coalesce(F.sum("bp").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("off_n", F.coalesce(F.sum("bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("nxt", F.lead("head").over(wb)))
-    tot_w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    bt = (bt.withColumn("tot_p", F.sum("bp").over(tot_w)).withColumn("tot_n", F.sum("bn").over(tot_w))
-            .select(*g, "b", "off_p", "off_n", "nxt", "tot_p", "tot_n"))
-    bt = bounded_broadcast(bt)
-    w = Window.partitionBy(*g, "b").orderBy(F.col("s").desc())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    pts = (hist.join(bt, [*g, "b"], "inner")
-               .withColumn("cp", F.col("off_p") + F.sum("p").over(run))
-               .withColumn("cn", F.col("off_n") + F.sum("n").over(run))
-               .withColumn("next_p", F.coalesce(F.lead("p").over(w), F.col("nxt.hp")))
-               .withColumn("next_n", F.coalesce(F.lead("n").over(w), F.col("nxt.hn")))
-               .drop("nxt", "off_p", "off_n"))
-    return pts
+                 buckets: int | None = None) -> DataFrame:
+    """One row per (groups, distinct score) with p, n, inclusive descending running totals
+    cp, cn, the group totals tot_p, tot_n and the (p, n) of the next lower distinct score
+    (``next_p``/``next_n``, NULL at the end). Distributed: see ``riskflow.operators.prefix``."""
+    g = _g(groups) or ["_all"]
+    d = df if "_all" not in g else df.withColumn("_all", F.lit(0))
+    hist = (d.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
+             .groupBy(*g, "s")
+             .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t"))
+             .select(*g, "s", "p", (F.col("t") - F.col("p")).alias("n")))
+    pref, w_in = prefix_sums(hist, "s", ["p", "n"], g, descending=True, buckets=buckets)
+    totals = hist.groupBy(*g).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))  # one row per group
+    pts = (pref.join(totals, g, "inner")
+               .withColumn("next_p", F.coalesce(F.lead("p").over(w_in), F.col("_next_head.p")))
+               .withColumn("next_n", F.coalesce(F.lead("n").over(w_in), F.col("_next_head.n")))
+               .withColumnRenamed("cum_p", "cp").withColumnRenamed("cum_n", "cn")
+               .drop("_head", "_next_head", "_b"))
+    return pts.drop("_all") if "_all" in g else pts
 
 
 def rank_metrics(df: DataFrame, label: str = "label", score: str = "prob", groups: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS, eps: float = LOG_LOSS_EPS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """V-01 AUC, V-02 Gini, V-03 KS, V-04 AP, V-05 Brier, V-06 log loss per group (exact, tie-aware).
-    ``lo``/``hi`` set the bucketing range for scores that are not probabilities."""
+                 buckets: int | None = DEFAULT_BUCKETS, eps: float = LOG_LOSS_EPS) -> DataFrame:
+    """V-01 AUC, V-02 Gini, V-03 KS, V-04 AP, V-05 Brier, V-06 log loss per group (exact, tie-aware)."""
     g = _g(groups)
-    pts = score_points(df, label, score, g, buckets, lo, hi)
+    pts = score_points(df, label, score, g, buckets)
     s = F.col("s")
     sc = F.least(F.greatest(s, F.lit(eps)), F.lit(1 - eps))
     p, n, cp, cn = F.col("p"), F.col("n"), F.col("cp"), F.col("cn")
@@ -127,7 +107,7 @@ def with_rates(c: DataFrame) -> DataFrame:
 
 
 def full_metrics(df: DataFrame, label: str = "label", score: str = "prob", threshold: float = 0.5,
-                 groups: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 groups: Sequence[str] = (), buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """V-19: one record per group with every rank and threshold metric."""
     g = _g(groups)
     if not g:
@@ -139,7 +119,7 @@ def full_metrics(df: DataFrame, label: str = "label", score: str = "prob", thres
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "prob", groups: Sequence[str] = (),
-               drop_intermediate: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               drop_intermediate: bool = True, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """V-13: (fpr, tpr, threshold) per distinct score, plus the (0, 0, +inf) start.
 
     ``drop_intermediate`` removes collinear points exactly as the common
@@ -160,7 +140,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "prob", groups:
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "prob", groups: Sequence[str] = (),
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """V-14: (precision, recall, threshold) per distinct score plus the (1, 0, NULL) end point."""
     g = _g(groups)
     pts = score_points(df, label, score, g, buckets)

@@ -3,7 +3,8 @@
 Every profile is one (or two) aggregates over the table: wide one-pass
 aggregates (one expression per column) followed by an unpivot of the single
 result row, never one job per column. Percentiles are exact (linear
-interpolation, per group); an ``exact=False`` switch uses ``percentile_approx``.
+interpolation, per group) through the distributed quantile of
+``riskflow.operators.prefix``; an ``exact=False`` switch uses ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -67,12 +68,19 @@ def sentinel_frequency(df: DataFrame, col: str, sentinel) -> DataFrame:
 def percentiles(df: DataFrame, col: str, qs: Sequence[float], groups: Sequence[str] = (), exact: bool = True,
                 accuracy: int = 100000) -> DataFrame:
     """A-78: percentiles per group (exact linear interpolation by default)."""
-    g = _g(groups)
+    g0 = _g(groups)
+    g = g0 or ["_all"]
+    d = df if g0 else df.withColumn("_all", F.lit(0))
     x = F.col(col).cast("double")
-    arr = F.array(*[F.lit(float(q)) for q in qs])
-    p = F.percentile(x, arr) if exact else F.percentile_approx(x, arr, accuracy)
-    out = (df.groupBy(*g) if g else df).agg(p.alias("_p"), F.max(x).alias("max"))
-    return out.select(*g, *[F.col("_p")[i].alias(f"p{round(q * 100):g}") for i, q in enumerate(qs)], "max")
+    mx = d.groupBy(*g).agg(F.max(x).alias("max"))
+    if exact:
+        from riskflow.operators.prefix import exact_quantiles
+        qt = exact_quantiles(d, col, qs, g).withColumnRenamed("q", "_p")
+    else:
+        arr = F.array(*[F.lit(float(q)) for q in qs])
+        qt = d.groupBy(*g).agg(F.percentile_approx(x, arr, accuracy).alias("_p"))
+    out = qt.join(mx, g, "inner")  # one row per group on each side
+    return out.select(*g0, *[F.col("_p")[i].alias(f"p{round(q * 100):g}") for i, q in enumerate(qs)], "max")
 
 
 def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +89,9 @@ def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
     d = df.withColumn("_all", F.lit(0)) if "_all" in g else df
     d = d.filter(F.col(col).isNotNull())
     x = F.col(col).cast("double")
-    q = d.groupBy(*g).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    from riskflow.operators.prefix import exact_quantiles
+    q = exact_quantiles(d, col, [0.25, 0.5, 0.75], g)
+    q = q.select(*g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     out = (d.join(bounded_broadcast(q), g, "inner")
@@ -98,15 +107,15 @@ def mann_whitney(df: DataFrame, col: str, label: str, first_class: int = 0) -> D
     AUC * n1 * n2 with the first class as positives; no global sort is needed."""
     d = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"),
                                                  (F.col(label) == first_class).cast("int").alias("_first"))
-    rng = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()[0]  # two numbers for bucketing
-    r = rank_metrics(d, "_first", "v", lo=rng.lo or 0.0, hi=rng.hi or 1.0).select(
+    r = rank_metrics(d, "_first", "v").select(
         (F.col("auc_roc") * F.col("n_pos") * (F.col("n_rows") - F.col("n_pos"))).alias("u1"),
         F.col("n_pos").alias("n1"), (F.col("n_rows") - F.col("n_pos")).alias("n2"))
     ties = (d.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("t"))
              .agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term")))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    out = (r.join(ties.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"), "inner").drop("_k")
+    # Both sides are single-row aggregates: join them on a constant key.
+    out = (r.withColumn("_one", F.lit(1)).join(ties.withColumn("_one", F.lit(1)), "_one", "inner").drop("_one")
             .withColumn("u", F.greatest(F.col("u1"), n1 * n2 - F.col("u1")))
             .withColumn("mu", n1 * n2 / 2)
             .withColumn("sigma", F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))))
@@ -186,10 +195,14 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
 
 def impute_median(df: DataFrame, col: str, groups: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """A-79: median imputation (grouped when ``groups`` is given) plus a missing-indicator column."""
-    g = _g(groups)
-    med = (df.groupBy(*g) if g else df).agg(F.median(F.col(col).cast("double")).alias("_med"))
-    joined = df.join(bounded_broadcast(med), g, "left") if g else \
-        df.join(med.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"), "left").drop("_k")
+    from riskflow.operators.prefix import exact_quantiles
+    g0 = _g(groups)
+    g = g0 or ["_all"]
+    d = df if g0 else df.withColumn("_all", F.lit(0))
+    med = exact_quantiles(d, col, [0.5], g).select(*g, F.col("q")[0].alias("_med"))
+    joined = d.join(bounded_broadcast(med), g, "left")
+    if not g0:
+        joined = joined.drop("_all")
     return joined.withColumns({out or f"{col}_IMPUTED": F.coalesce(F.col(col).cast("double"), F.col("_med")),
                                f"{col}_MISSING": F.col(col).isNull().cast("int")}).drop("_med")
 

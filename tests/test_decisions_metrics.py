@@ -66,3 +66,33 @@ def test_risk_band_edges_and_score_truncation(spark):
     rows = decide.risk_band(df, "p").collect()
     assert [r.risk_label for r in rows[:4]] == ["Low Risk", "Medium Risk", "High Risk", "Very High Risk"]
     assert rows[4].risk_score == 915
+
+
+def test_exact_quantiles_match_numpy_with_ties_and_small_buckets(spark):
+    import numpy as np
+    from riskflow.operators.prefix import exact_quantiles
+    rnd = random.Random(11)
+    vals = [(g, float(rnd.randint(0, 40))) for g in ("a", "b") for _ in range(257)]
+    df = spark.createDataFrame(vals, "g string, x double")
+    levels = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r.g: r.q for r in exact_quantiles(df, "x", levels, ["g"], buckets=4).collect()}
+    for g in ("a", "b"):
+        ref = np.percentile([x for gg, x in vals if gg == g], [q * 100 for q in levels])
+        assert np.allclose(got[g], ref, rtol=0, atol=1e-12)
+
+
+def test_rank_metrics_independent_of_bucket_count(spark):
+    rnd = random.Random(13)
+    rows = [(rnd.randint(0, 1), round(rnd.random(), 2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "label int, prob double")
+    a = metrics.rank_metrics(df, buckets=2).collect()[0]
+    b = metrics.rank_metrics(df, buckets=64).collect()[0]
+    assert abs(a.auc_roc - b.auc_roc) < 1e-12 and abs(a.ks_stat - b.ks_stat) < 1e-12 and abs(a.auc_pr - b.auc_pr) < 1e-12
+    assert abs(a.auc_roc - _pairwise_auc(rows)) < 1e-12
+
+
+def test_roc_points_drop_collinear(spark):
+    # Scores 0.9, 0.8, 0.7 each with one positive: the middle point is collinear and dropped.
+    df = spark.createDataFrame([(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.1)], "label int, prob double")
+    pts = sorted((r.fpr, r.tpr) for r in metrics.roc_points(df).collect())
+    assert pts == [(0.0, 0.0), (0.0, 1 / 3), (0.0, 1.0), (1.0, 1.0)]
