@@ -143,3 +143,39 @@ def contract_check(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("parse_records", """SELECT event_id AS seq, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, value
+FROM events""")
+def parse_records(spark, sf_dir):
+    """IO-12: JSON request payloads to typed rows (``from_json`` with a fixed schema), the input
+    position kept as a sequence column."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("seq"), "event_type", F.from_json("props", "k int").alias("r"), "value") \
+             .select("seq", "event_type", "r.k", "value")
+
+
+@register("argmax_risk", rounded_all(f"""WITH sl AS ({an.SQL_SCORED_LONG})
+SELECT model, doc_id, prob FROM sl QUALIFY row_number() OVER (PARTITION BY model ORDER BY prob DESC, doc_id) = 1""",
+    ["model", "doc_id"]))
+def argmax_risk(spark, sf_dir):
+    """K-10: the highest-risk row per model (ties to the lowest id), via ``max_by`` on a sortable key."""
+    sl = an.scored_long(spark, sf_dir)
+    best = sl.groupBy("model").agg(F.max_by(F.struct("doc_id", "prob"),
+                                            F.struct(F.col("prob"), -F.col("doc_id"))).alias("b"))
+    return finish(best.select("model", "b.doc_id", "b.prob"))
+
+
+@register("feature_pipeline")
+def feature_pipeline(spark, sf_dir):
+    """E-06 / IO-05: the whole feature build - application expressions, four history blocks left-joined
+    on the applicant key, WoE of the categoricals fitted on the labelled applicants, categoricals
+    dropped (id kept) - written as a Parquet table and scanned back."""
+    from riskflow.operators import woe as W
+    from riskflow.plans.feature_queries import star_features
+    feats = star_features(spark, sf_dir)
+    cats = ["NAME_CONTRACT_TYPE", "CODE_GENDER"]
+    m = W.woe_fit(feats, "TARGET", cats)
+    out = FE.drop_if_present(W.woe_transform(feats, m, cats), cats, keep=["SK_ID_CURR"])
+    path = io.write_parquet(finish(out), io.unique_path(spark, "features"))
+    return io.read_parquet(spark, path)
