@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators.prefix import prefix_sums
 
-DEFAULT_BUCKETS = None  # sized from the number of distinct scores
+DEFAULT_BUCKETS = None  # None: one range bucket per shuffle partition
 LOG_LOSS_EPS = 2.220446049250313e-16  # float64 machine epsilon, the library default clip
 
 

@@ -5,16 +5,19 @@ quantiles. A single ``Window.orderBy`` over a whole group would move the
 group into one task, so instead:
 
 1. rows are first collapsed to one row per (group, distinct value);
-2. each group's value range is cut into buckets at approximate quantiles
-   (``percentile_approx``: a bounded sketch per group), so buckets hold
-   similar numbers of distinct values whatever the distribution or skew;
-3. per-bucket totals form a small table whose running totals over at most
-   ``buckets`` rows per group give each bucket's offset;
+2. the distinct values are range-partitioned on (group, value)
+   (``repartitionByRange``: sampled boundaries and a binary search per row,
+   Spark's own distributed-sort machinery); the partition id is the bucket.
+   It is monotone in the value within a group whatever the distribution or
+   skew, and the number of buckets follows ``spark.sql.shuffle.partitions``
+   (adaptive coalescing merges neighbouring ranges, which keeps the order);
+3. per-(group, bucket) totals form a small table whose running totals give
+   each bucket's offset;
 4. the running total inside a bucket is a window partitioned by
    (group, bucket), and offset + inner running total is the exact prefix.
 
-The number of buckets scales with the data (``rows_per_bucket``), so a
-bucket's window stays bounded as the input grows.
+A bucket can hold several groups' ranges and a group can span many buckets;
+both are handled because every bucket-level quantity is keyed by (group, bucket).
 """
 
 from __future__ import annotations
@@ -24,29 +27,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 200_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 65_536
-SKETCH_ACCURACY = 20_000
-
 
 def _g(groups) -> list[str]:
     return [] if not groups else ([groups] if isinstance(groups, str) else list(groups))
 
 
-def choose_buckets(distinct_values: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-distinct_values // rows_per_bucket))))
-
-
-def with_buckets(hist: DataFrame, value: str, groups: Sequence[str], buckets: int) -> DataFrame:
-    """Add bucket id ``_b`` (0 .. buckets-1, monotone in ``value`` within a group).
-    ``groups`` must be non-empty (callers add a constant group for a global order)."""
-    g = _g(groups)
-    levels = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # One small row per group: approximate inner boundaries (bounded sketch).
-    bnd = hist.groupBy(*g).agg(F.percentile_approx(F.col(value).cast("double"), levels, SKETCH_ACCURACY).alias("_bnd"))
-    v = F.col(value).cast("double")
-    b = F.size(F.filter(F.array_distinct(F.col("_bnd")), lambda e: e < v))
-    return hist.join(bnd, g, "inner").withColumn("_b", b).drop("_bnd")
+def with_buckets(hist: DataFrame, value: str, groups: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Add bucket id ``_b`` = range-partition id of (groups, value): monotone in ``value``
+    within a group. ``buckets`` fixes the number of ranges (default: shuffle partitions)."""
+    keys = [*_g(groups), value]
+    h = hist.repartitionByRange(buckets, *keys) if buckets else hist.repartitionByRange(*keys)
+    return h.withColumn("_b", F.spark_partition_id())
 
 
 def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str] = (),
@@ -59,9 +50,6 @@ def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Seq
     g = _g(groups)
     if not g:
         hist, g = hist.withColumn("_all", F.lit(0)), ["_all"]
-    if buckets is None:
-        n = hist.count()  # distinct values: one cheap count to size the buckets
-        buckets = choose_buckets(n)
     h = with_buckets(hist, value, g, buckets)
     order_b = F.col("_b").desc() if descending else F.col("_b").asc()
     wb = Window.partitionBy(*g).orderBy(order_b)
