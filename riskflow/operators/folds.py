@@ -4,7 +4,7 @@ Folds are reproducible without a shuffle of all rows into one task per
 class: within each class rows are ordered by ``md5(id || ':' || seed)`` and
 the fold is ``(rank - 1) mod k``, so class counts per fold differ by at most
 one. The exact rank is a distributed prefix sum: the first three hex digits
-of the hash give 4096 buckets (uniform by construction, so a class holding a
+of the hash give 65536 buckets (uniform by construction, so a class holding a
 third of all rows is still spread evenly), bucket counts form a small table
 whose running totals give each bucket's offset, and ``row_number`` runs only
 inside a (class, bucket) partition.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators.joins import bounded_broadcast
 
-HASH_BUCKET_HEX = 3
+HASH_BUCKET_HEX = 4
 
 
 def fold_hash(id_col: str, seed: int):
@@ -33,7 +33,7 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
     wb = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))
-    # Offsets table: classes x 4096 buckets (binary label: at most 8192 rows).
+    # Offsets table: classes x 65536 buckets (binary label: at most 131072 rows).
     return (d.join(bounded_broadcast(offs, bound=2 * 16 ** HASH_BUCKET_HEX), [label, "_b"], "inner")
              .withColumn(out, ((F.col("_off") + rn - 1) % F.lit(k)).cast("int"))
              .drop("_h", "_b", "_off"))

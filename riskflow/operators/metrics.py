@@ -161,3 +161,20 @@ def compare_models(metrics: DataFrame, model_col: str = "model", baseline_patter
     return (metrics.withColumn("baseline_auc", F.max(F.when(is_base, F.col(auc_col))).over(every))
                    .withColumn("rank", F.row_number().over(w))
                    .withColumn("gain_pp", (F.col(auc_col) - F.col("baseline_auc")) * 100))
+
+
+def report_at_cuts(df: DataFrame, cuts: DataFrame, label: str = "label", score: str = "prob",
+                   groups: Sequence[str] = ()) -> DataFrame:
+    """V-21: full metric records at several named cuts per group. ``cuts`` holds
+    (groups..., cut, threshold) - a few rows per group, joined to the rows on the group keys."""
+    g = _g(groups) or ["_all"]
+    d = df if "_all" not in g else df.withColumn("_all", F.lit(0))
+    c = cuts if "_all" not in g else cuts.withColumn("_all", F.lit(0))
+    pred = F.col(score) >= F.col("threshold")
+    y = F.col(label) == 1
+    conf = (d.select(*g, label, score).join(c, g, "inner")
+             .groupBy(*g, "cut", "threshold")
+             .agg(F.count_if(pred & y).alias("TP"), F.count_if(pred & ~y).alias("FP"),
+                  F.count_if(~pred & ~y).alias("TN"), F.count_if(~pred & y).alias("FN")))
+    out = with_rates(conf).join(rank_metrics(d, label, score, g), g, "inner")
+    return out.drop("_all") if "_all" in g else out

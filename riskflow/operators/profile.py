@@ -170,8 +170,8 @@ def frequency_top(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
 def normalized_pivot(df: DataFrame, row: str, label: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """A-74: within-class normalized frequency of ``row`` values, one column per class."""
     c = df.groupBy(row, label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(label)  # bounded by distinct values per class
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(w))
+    totals = c.groupBy(label).agg(F.sum("n").alias("_t"))  # one row per class
+    c = c.join(totals, label, "inner").withColumn("share", F.col("n") / F.col("_t"))
     return c.groupBy(row).pivot(label, list(classes)).agg(F.first("share")).select(
         row, *[F.col(str(k)).alias(f"share_{k}") for k in classes])
 

@@ -159,3 +159,24 @@ def reason_codes(contrib: DataFrame, keys: Sequence[str], n: int = 5,
     grouped = contrib.groupBy(*keys).agg(F.collect_list(item).alias("_items"))
     top = F.slice(F.sort_array("_items", asc=False), 1, n)
     return grouped.select(*keys, F.transform(top, lambda s: s.dropFields("_a")).alias("top_risk_factors"))
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """IO-10: persist a fitted pipeline (Spark ML writer, shared folder)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    """IO-10: restore a fitted pipeline."""
+    return PipelineModel.load(path)
+
+
+def oof_or_run(spark: SparkSession, path: str, run: Callable[[], DataFrame]) -> DataFrame:
+    """M-12: resume - reuse a stored OOF table when present, otherwise run the stage and store it."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # absent table: run the stage
+        run().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)

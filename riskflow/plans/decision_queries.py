@@ -44,13 +44,22 @@ def risk_bands(spark, sf_dir):
                                                "recommended_action", "is_fallback"))
 
 
+MODEL_VERSION = "1.0.0"
+
+
 @register("score_batch", rounded_all(f"""WITH {_BANDED}
 SELECT SK_ID_CURR, AMT_INCOME_TOTAL, AMT_CREDIT, coalesce(p, 0.5) AS default_probability, risk_score, risk_label,
-  recommended_action FROM b""", ["SK_ID_CURR", "risk_score", "risk_label", "recommended_action"]))
+  recommended_action, sha256(CAST(SK_ID_CURR AS VARCHAR) || ':{MODEL_VERSION}') AS prediction_id,
+  '{MODEL_VERSION}' AS model_version FROM b""",
+    ["SK_ID_CURR", "risk_score", "risk_label", "recommended_action", "prediction_id", "model_version"]))
 def score_batch(spark, sf_dir):
-    """S-06 / K-07: scored batch ordered by probability (descending, id as tie-break)."""
-    out = banded(spark, sf_dir).select("SK_ID_CURR", "AMT_INCOME_TOTAL", "AMT_CREDIT", "default_probability",
-                                       "risk_score", "risk_label", "recommended_action")
+    """S-06 / K-07 / S-02: scored batch ordered by probability (descending, id as tie-break) with a
+    reproducible prediction id (sha-256 of id and model version)."""
+    out = banded(spark, sf_dir).select(
+        "SK_ID_CURR", "AMT_INCOME_TOTAL", "AMT_CREDIT", "default_probability", "risk_score", "risk_label",
+        "recommended_action",
+        F.sha2(F.concat(F.col("SK_ID_CURR").cast("string"), F.lit(f":{MODEL_VERSION}")), 256).alias("prediction_id"),
+        F.lit(MODEL_VERSION).alias("model_version"))
     return finish(out).orderBy(F.col("default_probability").desc(), "SK_ID_CURR")
 
 

@@ -154,3 +154,43 @@ FROM rep""", ["n_drifted", "overall_status", "recommendation", "drifted_features
 def drift_summary(spark, sf_dir):
     """X-02 / X-03: overall PSI (mean of features), status, recommendation and drifted features."""
     return finish(ST.drift_summary(_drift(spark, sf_dir)))
+
+
+_RATES = """
+  TP::DOUBLE / (TP + FP + 1e-9) AS precision, TP::DOUBLE / (TP + FN + 1e-9) AS recall,
+  TN::DOUBLE / (TN + FP + 1e-9) AS specificity, 2.0 * TP / (2 * TP + FP + FN + 1e-9) AS f1,
+  (TP::DOUBLE * TN - FP::DOUBLE * FN) / (sqrt((TP + FP)::DOUBLE * (TP + FN) * (TN + FP) * (TN + FN)) + 1e-9) AS mcc,
+  (TN + FN)::DOUBLE / (TP + FP + TN + FN) AS approval_rate, FN::DOUBLE / (TN + FN + 1e-9) AS bad_rate_approved"""
+
+
+@register("evaluation_report", rounded_all(f"""WITH {_SWEEP_SQL},
+yj AS (SELECT model, threshold FROM sweep QUALIFY row_number() OVER (PARTITION BY model ORDER BY youden_j DESC, threshold) = 1),
+rc AS (SELECT model, 'default' AS cut, 0.5::DOUBLE AS threshold FROM yj UNION ALL SELECT model, 'youden', threshold FROM yj),
+cf AS (SELECT rc.model, cut, rc.threshold,
+         count(*) FILTER (WHERE prob >= rc.threshold AND label = 1) AS TP,
+         count(*) FILTER (WHERE prob >= rc.threshold AND label <> 1) AS FP,
+         count(*) FILTER (WHERE prob < rc.threshold AND label <> 1) AS TN,
+         count(*) FILTER (WHERE prob < rc.threshold AND label = 1) AS FN
+       FROM sl JOIN rc ON sl.model = rc.model GROUP BY ALL),
+hh AS (SELECT model, prob AS s, CAST(sum(label) AS DOUBLE) AS p, CAST(count(*) - sum(label) AS DOUBLE) AS n FROM sl GROUP BY model, prob),
+cc AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY model) AS tot_p,
+        sum(n) OVER (PARTITION BY model) AS tot_n
+      FROM hh WINDOW w AS (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rk AS (SELECT model, sum(n * (cp - p / 2)) / nullif(max(tot_p) * max(tot_n), 0) AS auc_roc,
+        2 * (sum(n * (cp - p / 2)) / nullif(max(tot_p) * max(tot_n), 0)) - 1 AS gini,
+        greatest(max(cp / nullif(tot_p, 0) - cn / nullif(tot_n, 0)), 0) AS ks_stat,
+        sum(CASE WHEN p > 0 THEN (p / tot_p) * cp / (cp + cn) ELSE 0 END) AS auc_pr,
+        sum(p * (s - 1) * (s - 1) + n * s * s) / (max(tot_p) + max(tot_n)) AS brier,
+        -sum(p * ln(least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+             + n * ln(1 - least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) / (max(tot_p) + max(tot_n)) AS log_loss,
+        CAST(max(tot_p) + max(tot_n) AS BIGINT) AS n_rows, CAST(max(tot_p) AS BIGINT) AS n_pos
+      FROM cc GROUP BY model)
+SELECT cf.*, {_RATES}, rk.* EXCLUDE (model) FROM cf JOIN rk USING (model)""", ["model", "cut"], 5))
+def evaluation_report(spark, sf_dir):
+    """V-21: full metric record per model at the default 0.5 cut and at the Youden-optimal cut."""
+    from riskflow.operators import metrics as M
+    sl = an.scored_long(spark, sf_dir)
+    opt = T.threshold_optima(T.threshold_sweep(sl, "label", "prob", ["model"]), ["model"])
+    cuts = (opt.select("model", F.lit("default").alias("cut"), F.lit(0.5).alias("threshold"))
+               .unionByName(opt.select("model", F.lit("youden").alias("cut"), F.col("t_youden_j").alias("threshold"))))
+    return finish(M.report_at_cuts(sl, cuts, "label", "prob", ["model"]), 5)

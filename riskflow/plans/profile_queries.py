@@ -232,3 +232,17 @@ SELECT model, min(prob) AS min, max(prob) AS max, avg(prob) AS mean FROM sl GROU
 def prediction_summary(spark, sf_dir):
     """A-80: min / max / mean of each model's scores."""
     return finish(P.summary(an.scored_long(spark, sf_dir), "prob", ["model"]))
+
+
+@register("employed_without_sentinel", rounded_all(f"""WITH a AS ({an.SQL_APPLICATION})
+SELECT count(*) AS n_rows, count(DAYS_EMPLOYED) AS n_present, avg(DAYS_EMPLOYED) AS days_employed_mean,
+  min(DAYS_EMPLOYED) AS days_employed_min, max(DAYS_EMPLOYED) AS days_employed_max
+FROM a WHERE DAYS_EMPLOYED IS NULL OR DAYS_EMPLOYED <> 365243""", ["n_rows", "n_present", "days_employed_min", "days_employed_max"]))
+def employed_without_sentinel(spark, sf_dir):
+    """F-03: exclude sentinel rows but keep missing ones (as the reference's inequality filter does)."""
+    a = an.application(spark, sf_dir)
+    kept = a.filter(F.col("DAYS_EMPLOYED").isNull() | (F.col("DAYS_EMPLOYED") != 365243))
+    return finish(kept.agg(F.count(F.lit(1)).alias("n_rows"), F.count("DAYS_EMPLOYED").alias("n_present"),
+                           F.avg("DAYS_EMPLOYED").alias("days_employed_mean"),
+                           F.min("DAYS_EMPLOYED").alias("days_employed_min"),
+                           F.max("DAYS_EMPLOYED").alias("days_employed_max")))

@@ -157,3 +157,33 @@ def raw_baseline(spark, sf_dir):
     raw = ["n_chars", "n_words", "n_lines", "digit_share", "quality"]
     _, per = TR.cross_validate(labelled(spark, sf_dir), FOREST_KEY, raw, "doc_id", "label", "fold", K)
     return finish(FO.fold_stability(per.select("model", "fold", "auc_roc"), "auc_roc", groups=["model"]))
+
+
+@register("model_persist")
+def model_persist(spark, sf_dir):
+    """IO-10: fit, save the pipeline to the shared folder, load it back and score with the restored model."""
+    from riskflow.sources import io
+    d = labelled(spark, sf_dir)
+    path = TR.save_model(TR.fit(d, TR.LOGISTIC, FEATURES, "label"), io.unique_path(spark, "model"))
+    return finish(TR.score(TR.load_model(path), d, TR.LOGISTIC, FEATURES, ["doc_id", "label"]))
+
+
+@register("oof_resume")
+def oof_resume(spark, sf_dir):
+    """M-12: a stage output (OOF table) is computed once and reused on the second request."""
+    from riskflow.sources import io
+    path = io.unique_path(spark, "oof-resume")
+
+    def run():
+        return TR.cross_validate(labelled(spark, sf_dir), TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K)[0]
+    TR.oof_or_run(spark, path, run)            # first call: runs the stage and stores it
+    return finish(TR.oof_or_run(spark, path, run))  # second call: resumes from the stored table
+
+
+@register("psi_oof_test")
+def psi_oof_test(spark, sf_dir):
+    """X-04 (like-for-like): PSI of the test-set scores against the training OOF scores of the same model."""
+    from riskflow.operators import stability as ST
+    oof, _ = TR.cross_validate(labelled(spark, sf_dir), TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K)
+    test = final_submission(spark, sf_dir).withColumnRenamed("TARGET", "prob")
+    return finish(ST.psi(oof.select("prob"), test.select("prob"), "prob"))
