@@ -187,3 +187,26 @@ def psi_oof_test(spark, sf_dir):
     oof, _ = TR.cross_validate(labelled(spark, sf_dir), TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K)
     test = final_submission(spark, sf_dir).withColumnRenamed("TARGET", "prob")
     return finish(ST.psi(oof.select("prob"), test.select("prob"), "prob"))
+
+
+def _tree_attr(spark, sf_dir):
+    from riskflow.operators import attribution as AT
+    d = labelled(spark, sf_dir)
+    model = TR.fit(d, GBT_KEY, FEATURES, "label")
+    return AT.tree_attributions(d, model, FEATURES, ["doc_id"], fill=GBT_KEY.fill)
+
+
+@register("tree_attributions")
+def tree_attributions(spark, sf_dir):
+    """M-13 / K-02 (boosted member): mean |path attribution| per feature, top 10; per-row
+    attributions plus the base value add up to the ensemble margin."""
+    from riskflow.operators import attribution as AT
+    long = AT.to_long(_tree_attr(spark, sf_dir), FEATURES, ["doc_id"])
+    return finish(AT.mean_abs(long).orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(10))
+
+
+@register("tree_reason_codes")
+def tree_reason_codes(spark, sf_dir):
+    """S-05 (boosted member): top-5 signed attributions per document with direction and description."""
+    from riskflow.operators import attribution as AT
+    return TR.reason_codes(AT.to_long(_tree_attr(spark, sf_dir), FEATURES, ["doc_id"]), ["doc_id"], 5)
