@@ -103,22 +103,22 @@ def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
 
 def mann_whitney(df: DataFrame, col: str, label: str, first_class: int = 0) -> DataFrame:
     """D-06 / W-03: two-sided Mann-Whitney U with mid-ranks, tie-corrected sigma and continuity
-    correction. U1 (first sample = ``first_class``) is the exact tie-aware pair count, i.e.
-    AUC * n1 * n2 with the first class as positives; no global sort is needed."""
+    correction. U1 (first sample = ``first_class``) is the exact tie-aware pair count
+    sum_g n_g (cp_g - p_g / 2) over distinct values in descending order, where p counts the
+    first sample; the tie term sum (t^3 - t) comes from the same distinct-value table, so the
+    whole test is one aggregate over the distributed running totals."""
+    from riskflow.operators.metrics import score_points
     d = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"),
                                                  (F.col(label) == first_class).cast("int").alias("_first"))
-    r = rank_metrics(d, "_first", "v").select(
-        (F.col("auc_roc") * F.col("n_pos") * (F.col("n_rows") - F.col("n_pos"))).alias("u1"),
-        F.col("n_pos").alias("n1"), (F.col("n_rows") - F.col("n_pos")).alias("n2"))
-    ties = (d.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("t"))
-             .agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term")))
+    pts = score_points(d, "_first", "v")
+    t = (F.col("p") + F.col("n")).cast("double")
+    agg = pts.agg(F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2.0)).alias("u1"),
+                  F.sum("p").alias("n1"), F.sum("n").alias("n2"), F.sum(t * t * t - t).alias("tie_term"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    # Both sides are single-row aggregates: join them on a constant key.
-    out = (r.withColumn("_one", F.lit(1)).join(ties.withColumn("_one", F.lit(1)), "_one", "inner").drop("_one")
-            .withColumn("u", F.greatest(F.col("u1"), n1 * n2 - F.col("u1")))
-            .withColumn("mu", n1 * n2 / 2)
-            .withColumn("sigma", F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))))
+    out = (agg.withColumn("u", F.greatest(F.col("u1"), n1 * n2 - F.col("u1")))
+              .withColumn("mu", n1 * n2 / 2)
+              .withColumn("sigma", F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))))
     return out.withColumn("z", (F.col("u") - F.col("mu") - 0.5) / F.col("sigma"))
 
 
