@@ -68,4 +68,4 @@ def stream_drift(spark, sf_dir):
     edges = S.baseline_edges(baseline, "value")
     sink = S.drift_stream(spark, S.file_stream(spark, sf_dir, "events"), "value", "ts", edges)
     psi = S.window_psi(spark.read.parquet(sink), baseline, "value", edges)
-    return finish(psi.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "psi", "total", "status"))
+    return finish(psi.select(S.utc_day("window_start").alias("window_start"), "psi", "total", "status"))

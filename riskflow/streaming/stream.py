@@ -58,6 +58,20 @@ def score_stream(spark: SparkSession, source: DataFrame, transform: Callable[[Da
     return scored, quarantine
 
 
+def utc_instant(ts: str):
+    """Event time as an instant, reading a zone-less timestamp's wall clock as UTC whatever the
+    session time zone (watermarks need an instant type)."""
+    c = F.col(ts)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.expr(f"date_part('SECOND', {ts})"), F.lit("UTC"))
+
+
+def utc_day(col: str):
+    """'yyyy-MM-dd' of an instant's UTC day (session time zone independent)."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"),
+                                    F.floor(F.unix_seconds(F.col(col)) / 86400).cast("int")), "yyyy-MM-dd")
+
+
 def baseline_edges(baseline: DataFrame, col: str, buckets: int = 10) -> list[float]:
     """Quantile edges of the baseline population: one aggregate, 11 numbers to the driver."""
     return [float(x) for x in quantile_edges(baseline, col, buckets).collect()[0]["edges"]]
@@ -72,7 +86,7 @@ def drift_stream(spark: SparkSession, events: DataFrame, value: str, ts: str, ed
     in_range = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
     bin_ = F.when(in_range, F.size(F.filter(F.slice(e, 1, b), lambda v: v <= x)) - 1)
     root = unique_path(spark, "stream-drift", base)
-    counts = (events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    counts = (events.withColumn("_ts", utc_instant(ts))
                     .withWatermark("_ts", delay)
                     .groupBy(F.window("_ts", window).alias("w"), bin_.alias("bin"))
                     .agg(F.count(F.lit(1)).alias("n"))
