@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,4 +113,4 @@ def mean_abs(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
 
 
-__all__ = ["flatten_forest", "tree_attributions", "to_long", "mean_abs", "pd"]
+__all__ = ["flatten_forest", "tree_attributions", "to_long", "mean_abs"]

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.joins import bounded_broadcast
-from riskflow.operators.metrics import rank_metrics
 
 
 def _g(groups) -> list[str]:
