@@ -49,9 +49,7 @@ def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] =
              .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t"))
              .select(*g, "s", "p", (F.col("t") - F.col("p")).alias("n")))
     pref, w_in = prefix_sums(hist, "s", ["p", "n"], g, descending=True, buckets=buckets)
-    totals = hist.groupBy(*g).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))  # one row per group
-    pts = (pref.join(totals, g, "inner")
-               .withColumn("next_p", F.coalesce(F.lead("p").over(w_in), F.col("_next_head.p")))
+    pts = (pref.withColumn("next_p", F.coalesce(F.lead("p").over(w_in), F.col("_next_head.p")))
                .withColumn("next_n", F.coalesce(F.lead("n").over(w_in), F.col("_next_head.n")))
                .withColumnRenamed("cum_p", "cp").withColumnRenamed("cum_n", "cn")
                .drop("_head", "_next_head", "_b"))

@@ -44,9 +44,10 @@ def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Seq
                 descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Inclusive running totals ``cum_<w>`` of each weight column in value order per group.
 
-    ``hist`` must have one row per (groups, value). Adds ``_b`` and, per bucket,
-    ``_head`` (struct of the weights of the bucket's first row in order) and
-    ``_next_head`` (first row of the next non-empty bucket) for neighbour lookups."""
+    ``hist`` must have one row per (groups, value). Adds ``_b``, the group totals
+    ``tot_<w>``, and per bucket ``_head`` (struct of the weights of the bucket's first
+    row in order) and ``_next_head`` (first row of the next non-empty bucket) for
+    neighbour lookups. Every join is an equi-join on (groups, bucket)."""
     g = _g(groups)
     if not g:
         hist, g = hist.withColumn("_all", F.lit(0)), ["_all"]
@@ -60,6 +61,9 @@ def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Seq
     for w in weights:
         bt = bt.withColumn(f"_off_{w}", F.coalesce(F.sum(f"_bt_{w}").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                                                    F.lit(0)))
+    per_group = Window.partitionBy(*g)  # over the small per-bucket table
+    for w in weights:
+        bt = bt.withColumn(f"tot_{w}", F.sum(f"_bt_{w}").over(per_group))
     bt = bt.withColumn("_next_head", F.lead("_head").over(wb)).drop(*[f"_bt_{w}" for w in weights])
     order_v = F.col(value).desc() if descending else F.col(value).asc()
     w_in = Window.partitionBy(*g, "_b").orderBy(order_v)
@@ -82,23 +86,25 @@ def exact_quantiles(df: DataFrame, col: str, levels: Sequence[float], groups: Se
     d = df if g0 else df.withColumn("_all", F.lit(0))
     hist = d.filter(x.isNotNull()).groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     pref, _ = prefix_sums(hist, "_v", ["_c"], g, descending=False, buckets=buckets)
-    # Group sizes: a small per-group table.
-    sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    pos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
-    sized = sizes.select(*g, "_n", F.explode(pos).alias("_p")).select(
-        *g, "_n", F.col("_p.i").alias("_i"), (F.col("_p.q") * (F.col("_n") - 1).cast("double")).alias("_h"))
-    wanted = sized.select(*g, "_i", "_h", F.floor("_h").cast("long").alias("_lo"), F.ceil("_h").cast("long").alias("_hi"))
-    # Each distinct value covers 0-based positions [cum - c, cum). Find the value at _lo and _hi.
-    req = wanted.groupBy(*g).agg(F.collect_list(F.struct("_i", "_h", "_lo", "_hi")).alias("_req"))  # levels per group
-    j = pref.join(req, g, "inner")
+    # 0-based positions wanted per level: h = q (n - 1), floor(h) and ceil(h). Each distinct
+    # value covers positions [cum - c, cum); a row keeps the levels whose positions it covers.
+    levels_arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
+    nm1 = (F.col("tot__c") - 1).cast("double")
     start = F.col("cum__c") - F.col("_c")
-    hits = j.select(*g, "_v", F.explode(F.filter("_req", lambda r: ((r["_lo"] >= start) & (r["_lo"] < F.col("cum__c")))
-                                                  | ((r["_hi"] >= start) & (r["_hi"] < F.col("cum__c"))))).alias("_r"),
-                    start.alias("_s"), F.col("cum__c").alias("_e"))
-    lo_v = F.when((F.col("_r._lo") >= F.col("_s")) & (F.col("_r._lo") < F.col("_e")), F.col("_v"))
-    hi_v = F.when((F.col("_r._hi") >= F.col("_s")) & (F.col("_r._hi") < F.col("_e")), F.col("_v"))
-    per = hits.groupBy(*g, F.col("_r._i").alias("_i"), F.col("_r._h").alias("_h"), F.col("_r._lo").alias("_lo"),
-                       F.col("_r._hi").alias("_hi")).agg(F.max(lo_v).alias("_a"), F.max(hi_v).alias("_b2"))
+    end_ = F.col("cum__c")
+
+    def covers(r):
+        h = r["q"] * nm1
+        lo, hi = F.floor(h), F.ceil(h)
+        return ((lo >= start) & (lo < end_)) | ((hi >= start) & (hi < end_))
+
+    hits = (pref.select(*g, "_v", start.alias("_s"), end_.alias("_e"), nm1.alias("_nm1"),
+                        F.explode(F.filter(levels_arr, covers)).alias("_r"))
+                .select(*g, "_v", "_s", "_e", F.col("_r.i").alias("_i"), (F.col("_r.q") * F.col("_nm1")).alias("_h"))
+                .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h")))
+    lo_v = F.when((F.col("_lo") >= F.col("_s")) & (F.col("_lo") < F.col("_e")), F.col("_v"))
+    hi_v = F.when((F.col("_hi") >= F.col("_s")) & (F.col("_hi") < F.col("_e")), F.col("_v"))
+    per = hits.groupBy(*g, "_i", "_h", "_lo", "_hi").agg(F.max(lo_v).alias("_a"), F.max(hi_v).alias("_b2"))
     # Equal neighbours need no interpolation (exactly the value, as Spark and DuckDB return).
     val = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_a") == F.col("_b2")), F.col("_a")).otherwise(
         F.col("_a") + (F.col("_b2") - F.col("_a")) * (F.col("_h") - F.col("_lo")))
