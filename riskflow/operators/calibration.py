@@ -66,9 +66,13 @@ def density_by_class(df: DataFrame, col: str, label: str = "label", bins: int =
     the last bin is closed. Range = min/max over all rows of the group."""
     g = _g(groups)
     x = F.col(col).cast("double")
-    rng = df.groupBy(*g).agg(F.min(x).alias("lo"), F.max(x).alias("hi")) if g else \
-        df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    rows = _attach(df.filter(x.isNotNull()).select(*g, label, col), rng, g)
+    if g:
+        rng = df.groupBy(*g).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))  # one row per group
+        rows = _attach(df.filter(x.isNotNull()).select(*g, label, col), rng, g)
+    else:  # two scalars for the whole table
+        r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
+        rows = df.filter(x.isNotNull()).select(label, col, F.lit(r.lo).cast("double").alias("lo"),
+                                               F.lit(r.hi).cast("double").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
