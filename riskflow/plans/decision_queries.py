@@ -102,9 +102,9 @@ s AS (SELECT SK_ID_CURR, p,
       FROM r),
 a AS (SELECT SK_ID_CURR,
         array_to_string(list_transform(t, lambda x: substr(x, 3)), '|') AS advice,
-        len(list_filter(t, lambda x: x LIKE 'H:%')) AS n_high,
-        len(list_filter(t, lambda x: x LIKE 'M:%')) AS n_medium,
-        len(list_filter(t, lambda x: x LIKE 'L:%')) AS n_low
+        CAST(len(list_filter(t, lambda x: x LIKE 'H:%')) AS INTEGER) AS n_high,
+        CAST(len(list_filter(t, lambda x: x LIKE 'M:%')) AS INTEGER) AS n_medium,
+        CAST(len(list_filter(t, lambda x: x LIKE 'L:%')) AS INTEGER) AS n_low
       FROM s)"""
 
 
@@ -116,8 +116,8 @@ def advice_rules(spark, sf_dir):
 
 @register("advice_range", f"""WITH {_ADVICE_SQL}
 SELECT SK_ID_CURR,
-  CASE WHEN n_high + n_medium > 0 THEN least(n_high * 8 + n_medium * 4, 30) END AS improve_min_pct,
-  CASE WHEN n_high + n_medium > 0 THEN least(n_high * 15 + n_medium * 8, 50) END AS improve_max_pct
+  CAST(CASE WHEN n_high + n_medium > 0 THEN least(n_high * 8 + n_medium * 4, 30) END AS INTEGER) AS improve_min_pct,
+  CAST(CASE WHEN n_high + n_medium > 0 THEN least(n_high * 15 + n_medium * 8, 50) END AS INTEGER) AS improve_max_pct
 FROM a""")
 def advice_range(spark, sf_dir):
     """S-11: estimated improvement range from the number of high / medium advice items."""
@@ -151,7 +151,7 @@ def portfolio_kpis(spark, sf_dir):
 
 @register("portfolio_bands", f"""WITH {_BANDED}
 SELECT {_SCORE_BAND_SQL} AS risk_label, count(*) AS n,
-  list_position(['Low Risk', 'Medium Risk', 'High Risk', 'Very High Risk'], {_SCORE_BAND_SQL}) AS band_order
+  CAST(list_position(['Low Risk', 'Medium Risk', 'High Risk', 'Very High Risk'], {_SCORE_BAND_SQL}) AS BIGINT) AS band_order
 FROM b GROUP BY ALL""")
 def portfolio_bands(spark, sf_dir):
     """R-02 / K-08: population per score band in band order."""

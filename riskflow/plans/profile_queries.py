@@ -64,7 +64,7 @@ r AS (SELECT min(n_chars::DOUBLE) AS lo, max(n_chars::DOUBLE) AS hi FROM s),
 b AS (SELECT label, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((n_chars - lo) / ((hi - lo) / 40)), 39) END AS INT) AS bin
       FROM s, r WHERE n_chars IS NOT NULL),
 c AS (SELECT label, bin, lo, hi, count(*) AS n FROM b GROUP BY ALL)
-SELECT label, bin, n, sum(n) OVER (PARTITION BY label) AS class_total, lo + bin * ((hi - lo) / 40) AS bin_lo,
+SELECT label, bin, n, CAST(sum(n) OVER (PARTITION BY label) AS BIGINT) AS class_total, lo + bin * ((hi - lo) / 40) AS bin_lo,
   n / (sum(n) OVER (PARTITION BY label) * ((hi - lo) / 40)) AS density
 FROM c""", ["label", "bin", "n", "class_total"]))
 def hist_by_class(spark, sf_dir):
