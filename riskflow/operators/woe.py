@@ -122,3 +122,52 @@ def woe_transform_oof(df: DataFrame, oof_map: DataFrame, cols: Sequence[str], fo
                   .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(0.0)))
                   .drop(f"_cat_{c}"))
     return out
+
+
+# ------------------------------------------------------------------ Spark ML wrappers
+
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Estimator, Model  # noqa: E402
+from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
+
+
+class _WoEParams(Params):
+    inputCols = Param(Params._dummy(), "inputCols", "categorical columns", TypeConverters.toListString)
+    labelCol = Param(Params._dummy(), "labelCol", "0/1 label column", TypeConverters.toString)
+    smoothing = Param(Params._dummy(), "smoothing", "additive smoothing", TypeConverters.toFloat)
+    suffix = Param(Params._dummy(), "suffix", "output column suffix", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(labelCol="label", smoothing=0.5, suffix="_WOE")
+
+
+class WoEEncoder(Estimator, _WoEParams):
+    """E-01 .. E-04 as a Spark ML estimator, so WoE can sit in a ``Pipeline``."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, labelCol="label", smoothing=0.5, suffix="_WOE"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "WoEModel":
+        cols = self.getOrDefault(self.inputCols)
+        m = woe_fit(dataset, self.getOrDefault(self.labelCol), cols, self.getOrDefault(self.smoothing))
+        model = WoEModel(m, cols, self.getOrDefault(self.suffix))
+        return self._copyValues(model)
+
+
+class WoEModel(Model, _WoEParams):
+    """Fitted WoE map; ``transform`` adds ``<col>_WOE`` (unseen categories -> 0.0)."""
+
+    def __init__(self, woe_map: DataFrame | None = None, cols: Sequence[str] = (), suffix: str = "_WOE"):
+        super().__init__()
+        self.woe_map = woe_map
+        self._cols = list(cols)
+        self._suffix = suffix
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return woe_transform(dataset, self.woe_map, self._cols, self._suffix)
+
+    def information_value(self) -> DataFrame:
+        return information_value(self.woe_map)

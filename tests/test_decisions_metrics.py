@@ -96,3 +96,12 @@ def test_roc_points_drop_collinear(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.1)], "label int, prob double")
     pts = sorted((r.fpr, r.tpr) for r in metrics.roc_points(df).collect())
     assert pts == [(0.0, 0.0), (0.0, 1 / 3), (0.0, 1.0), (1.0, 1.0)]
+
+
+def test_woe_estimator_in_pipeline(spark):
+    from pyspark.ml import Pipeline
+    train = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0), ("b", 0), (None, 1)], "c string, label int")
+    model = Pipeline(stages=[woe.WoEEncoder(inputCols=["c"], labelCol="label")]).fit(train)
+    out = {r.c: r.c_WOE for r in model.transform(train).collect()}
+    direct = {r.c: r.c_WOE for r in woe.woe_transform(train, woe.woe_fit(train, "label", ["c"]), ["c"]).collect()}
+    assert out == direct
