@@ -121,13 +121,17 @@ def blend_search(df: DataFrame, label: str, members: Sequence[str], grid=None) -
                .withColumn("best", (F.row_number().over(best) == 1)))
 
 
-def blend(df: DataFrame, weights: dict[str, float], out: str = "prob", min_weight: float = 0.01) -> DataFrame:
-    """M-09: weighted blend of member probability columns; members with weight <= min_weight are skipped."""
+def blend(df: DataFrame, weights: dict[str, float], out: str = "prob", min_weight: float = 0.01,
+          defaults: dict[str, float] | None = None) -> DataFrame:
+    """M-09 / S-03: weighted blend of member probability columns; members with weight <= min_weight
+    are skipped and a missing member score takes its default (e.g. 0.5 / 0.5 / 0.0)."""
+    defaults = defaults or {}
     expr = None
     for col, w in weights.items():
         if w <= min_weight:
             continue
-        term = F.lit(float(w)) * F.col(col)
+        member = F.coalesce(F.col(col), F.lit(float(defaults[col]))) if col in defaults else F.col(col)
+        term = F.lit(float(w)) * member
         expr = term if expr is None else expr + term
     return df.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
 

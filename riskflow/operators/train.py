@@ -43,6 +43,8 @@ class ModelSpec:
 LOGISTIC = ModelSpec("logistic_baseline", "logistic", {"C": 0.1, "maxIter": 500}, 0.0)
 GBT_A = ModelSpec("gbt_depthwise", "gbt", {"maxIter": 1500, "maxDepth": 6, "stepSize": 0.02, "subsamplingRate": 0.8,
                                              "featureSubsetStrategy": "0.8"}, -999.0)
+GBT_B = ModelSpec("gbt_wide", "gbt", {"maxIter": 2000, "maxDepth": 6, "stepSize": 0.02, "subsamplingRate": 0.8,
+                                      "featureSubsetStrategy": "0.7"}, -999.0)  # leaf-wise member re-aimed depth-wise
 FOREST_C = ModelSpec("forest", "forest", {"numTrees": 300, "maxDepth": 6}, -999.0)
 
 

@@ -194,3 +194,20 @@ def evaluation_report(spark, sf_dir):
     cuts = (opt.select("model", F.lit("default").alias("cut"), F.lit(0.5).alias("threshold"))
                .unionByName(opt.select("model", F.lit("youden").alias("cut"), F.col("t_youden_j").alias("threshold"))))
     return finish(M.report_at_cuts(sl, cuts, "label", "prob", ["model"]), 5)
+
+
+# Stored blend weights and member defaults of the reference serving path.
+BLEND_WEIGHTS = {"m_len": 0.55, "m_mix": 0.45, "m_noise": 0.0}
+MEMBER_DEFAULTS = {"m_len": 0.5, "m_mix": 0.5, "m_noise": 0.0}
+
+
+@register("blend_scores", rounded_all(f"""WITH s AS ({an.SQL_SCORED})
+SELECT doc_id, label,
+  round(round(0.55 * coalesce(m_len, 0.5) + 0.45 * coalesce(m_mix, 0.5), 9), 6) AS default_probability
+FROM s""", ["doc_id", "label"]))
+def blend_scores(spark, sf_dir):
+    """M-09 / S-02 / S-03: stored-weight blend (members at weight <= 0.01 skipped, missing members
+    defaulted), score rounded to 6 digits."""
+    from riskflow.functions.rounding import round_double
+    b = T.blend(an.scored(spark, sf_dir), BLEND_WEIGHTS, "default_probability", defaults=MEMBER_DEFAULTS)
+    return finish(b.select("doc_id", "label", round_double(F.col("default_probability"), 6).alias("default_probability")))
