@@ -38,8 +38,9 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1)
 
 
 def score_stream(spark: SparkSession, source: DataFrame, transform: Callable[[DataFrame], DataFrame],
-                 rules, base: str | None = None, timeout_s: int = 600) -> tuple[str, str]:
-    """T-01: run the scoring stream to completion (availableNow) and return (scored, quarantine) paths."""
+                 rules, base: str | None = None, timeout_s: int = 600, progress: list | None = None) -> tuple[str, str]:
+    """T-01: run the scoring stream to completion (availableNow) and return (scored, quarantine) paths.
+    ``progress`` (optional list) receives each query's input-row total from its progress reports (S-07)."""
     root = unique_path(spark, "stream-score", base)
     scored, quarantine = f"{root}/scored", f"{root}/quarantine"
     checked = V.with_violations(transform(source), rules)
@@ -55,6 +56,8 @@ def score_stream(spark: SparkSession, source: DataFrame, transform: Callable[[Da
         q.awaitTermination(timeout_s)
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
+        if progress is not None:
+            progress.append(sum(int(p.get("numInputRows", 0)) for p in q.recentProgress))
     return scored, quarantine
 
 
