@@ -180,3 +180,22 @@ def probability_buckets(df: DataFrame, prob: str = "default_probability") -> Dat
     w = Window.partitionBy(F.lit(1))  # four rows
     return (df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("share", F.col("n") / F.sum("n").over(w)))
+
+
+def respond(df: DataFrame, prob: str = "default_probability", factors: str | None = None, id_col: str | None = None,
+            model_version: str = "1.0.0") -> DataFrame:
+    """S-02 .. S-06 response record per row: probability rounded to 6 digits, band, score,
+    action, top risk factors (array<struct>, empty when not requested), model version and a
+    reproducible prediction id (sha-256 of the row id and the version). Failed scores get the
+    fallback values (S-06)."""
+    from riskflow.functions.rounding import round_double
+    # The band and score are taken from the probability as returned (rounded to 6 digits).
+    d = with_fallback(df.withColumn(prob, round_double(F.col(prob), 6)), prob)
+    empty = F.array().cast("array<struct<feature:string,shap_value:double,direction:string,description:string>>")
+    pid = (F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(f":{model_version}")), 256) if id_col
+           else F.expr("uuid()"))
+    return d.withColumns({
+        "top_risk_factors": F.coalesce(F.col(factors), empty) if factors else empty,
+        "model_version": F.lit(model_version),
+        "prediction_id": pid,
+    })

@@ -210,3 +210,18 @@ def tree_reason_codes(spark, sf_dir):
     """S-05 (boosted member): top-5 signed attributions per document with direction and description."""
     from riskflow.operators import attribution as AT
     return TR.reason_codes(AT.to_long(_tree_attr(spark, sf_dir), FEATURES, ["doc_id"]), ["doc_id"], 5)
+
+
+@register("score_responses")
+def score_responses(spark, sf_dir):
+    """S-01 .. S-06: response records for every labelled document - score of the fitted logistic
+    member, band, score, action, top-5 reason codes and a reproducible prediction id."""
+    from riskflow.operators import decide as D
+    d = labelled(spark, sf_dir)
+    model = TR.fit(d, TR.LOGISTIC, FEATURES, "label")
+    scored = TR.score(model, d, TR.LOGISTIC, FEATURES, ["doc_id"], "default_probability")
+    reasons = TR.reason_codes(TR.linear_attributions(model, d.fillna(0.0, subset=FEATURES), FEATURES, ["doc_id"]),
+                              ["doc_id"], 5)
+    out = D.respond(scored.join(reasons, "doc_id", "left"), "default_probability", "top_risk_factors", "doc_id")
+    return out.select("doc_id", "default_probability", "risk_label", "risk_score", "recommended_action",
+                      "top_risk_factors", "model_version", "prediction_id", "is_fallback")

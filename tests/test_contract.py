@@ -48,3 +48,10 @@ def test_fallback_row_for_failed_score(spark):
     r = decide.with_fallback(df).collect()[0]
     assert (r.default_probability, r.risk_label, r.risk_score, r.recommended_action, r.is_fallback) == \
         (0.5, "High Risk", 500, "Manual review required", True)
+
+
+def test_response_record_shape(spark):
+    df = spark.createDataFrame([(1, 0.0843211), (2, None)], "id long, default_probability double")
+    r = {x.id: x for x in decide.respond(df, id_col="id").collect()}
+    assert (r[1].risk_label, r[1].risk_score, r[1].top_risk_factors) == ("Low Risk", 915, [])
+    assert r[2].is_fallback and r[2].risk_score == 500 and len(r[1].prediction_id) == 64
