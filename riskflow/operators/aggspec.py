@@ -11,14 +11,12 @@ aggregate on (key, value), which is also partially combined.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.functions import nullsafe as ns
-
 
 @dataclass(frozen=True)
 class AggSpec:
@@ -27,40 +25,39 @@ class AggSpec:
     col: str
     arg: object = None  # comparison value for count_eq / count_ge
 
-    def expr(self) -> Column:
-        c = F.col(self.col)
-        if self.fn == "count":
-            e = F.count(c)
-        elif self.fn == "sum":
-            e = ns.sum0(c)
-        elif self.fn == "mean":
-            e = F.avg(c)
-        elif self.fn == "max":
-            e = F.max(c)
-        elif self.fn == "min":
-            e = F.min(c)
-        elif self.fn == "std":
-            e = ns.std_samp(c)
-        elif self.fn == "nunique":
-            e = F.count_distinct(c)
-        elif self.fn == "count_eq":
-            e = ns.count_where(c == F.lit(self.arg))
-        elif self.fn == "count_ge":
-            e = ns.count_where(c >= F.lit(self.arg))
-        else:
+    def sql(self) -> str:
+        """The aggregate as a SQL expression (the N-rules: sum of nothing is 0, conditional
+        counts treat missing as false, std is the sample std)."""
+        c = f"`{self.col}`"
+        lit = repr(self.arg) if isinstance(self.arg, (int, float)) else "'" + str(self.arg).replace("'", "''") + "'"
+        forms = {
+            "count": f"count({c})",
+            "sum": f"coalesce(sum({c}), 0)",
+            "mean": f"avg({c})",
+            "max": f"max({c})",
+            "min": f"min({c})",
+            "std": f"stddev_samp({c})",
+            "nunique": f"count(DISTINCT {c})",
+            "count_eq": f"count_if(coalesce({c} = {lit}, false))",
+            "count_ge": f"count_if(coalesce({c} >= {lit}, false))",
+        }
+        if self.fn not in forms:
             raise ValueError(f"unknown aggregate {self.fn!r}")
-        return e.alias(self.out)
+        return f"{forms[self.fn]} AS `{self.out}`"
+
+    def expr(self) -> Column:
+        return F.expr(self.sql())
 
 
-PostSpec = tuple[str, Callable[[], Column]]
+PostSpec = tuple[str, str]  # (output, SQL expression over the aggregate outputs)
 
 
 def aggregate_block(df: DataFrame, keys: str | Sequence[str], specs: Sequence[AggSpec],
                     post: Sequence[PostSpec] = ()) -> DataFrame:
-    """One grouped aggregate for a whole block plus post-aggregate projections."""
+    """One grouped aggregate for a whole block plus one post-aggregate projection."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     needed = sorted({s.col for s in specs} - set(keys))
     out = df.select(*keys, *needed).groupBy(*keys).agg(*[s.expr() for s in specs])
-    for name, fn in post:
-        out = out.withColumn(name, fn())
+    if post:
+        out = out.selectExpr("*", *[f"{e} AS `{name}`" for name, e in post])
     return out

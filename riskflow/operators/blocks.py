@@ -4,6 +4,10 @@ Each block takes a DataFrame with the credit column names of its source
 table and returns one row per key. Column lists are presets: callers with
 other tables rename into these names (see ``riskflow.plans.analogues``).
 
+Post-aggregate ratios are SQL expressions with the same null rules as
+``riskflow.functions.nullsafe`` (``try_divide`` for the ``x + 1`` denominators,
+``coalesce(x > 0, false)`` flags), applied in one projection.
+
 Plan shape per block: narrow row projection -> partial aggregate ->
 exchange on the key -> final aggregate. The two-level bureau block
 aggregates the balance table on ``SK_ID_BUREAU`` *before* joining it to the
@@ -85,10 +89,10 @@ BUREAU_SPECS = [
 ]
 
 BUREAU_POST = [
-    ("bureau_active_ratio", lambda: F.col("bureau_active_loans") / (F.col("bureau_total_loans") + 1)),
-    ("bureau_debt_credit_ratio", lambda: ns.ratio_plus1("bureau_debt_sum", "bureau_credit_sum")),
-    ("bureau_overdue_credit_ratio", lambda: ns.ratio_plus1("bureau_overdue_sum", "bureau_credit_sum")),
-    ("bureau_avg_loan_age", lambda: F.abs(F.col("bureau_days_credit_mean"))),
+    ("bureau_active_ratio", "bureau_active_loans / (bureau_total_loans + 1)"),
+    ("bureau_debt_credit_ratio", "try_divide(bureau_debt_sum, bureau_credit_sum + 1)"),
+    ("bureau_overdue_credit_ratio", "try_divide(bureau_overdue_sum, bureau_credit_sum + 1)"),
+    ("bureau_avg_loan_age", "abs(bureau_days_credit_mean)"),
 ]
 
 
@@ -141,9 +145,9 @@ PREV_SPECS = [
 ]
 
 PREV_POST = [
-    ("prev_approval_rate", lambda: F.col("prev_approved_count") / (F.col("prev_total_applications") + 1)),
-    ("prev_refusal_rate", lambda: F.col("prev_refused_count") / (F.col("prev_total_applications") + 1)),
-    ("prev_annuity_credit_ratio", lambda: ns.ratio_plus1("prev_amt_annuity_mean", "prev_amt_credit_mean")),
+    ("prev_approval_rate", "prev_approved_count / (prev_total_applications + 1)"),
+    ("prev_refusal_rate", "prev_refused_count / (prev_total_applications + 1)"),
+    ("prev_annuity_credit_ratio", "try_divide(prev_amt_annuity_mean, prev_amt_credit_mean + 1)"),
 ]
 
 
@@ -180,10 +184,9 @@ POS_SPECS = [
 ]
 
 POS_POST = [
-    ("pos_dpd_ever_flag", lambda: ns.flag(F.col("pos_sk_dpd_max") > 0)),
-    ("pos_completion_rate", lambda: F.col("pos_completed_count") / (F.col("pos_total_records") + 1)),
-    ("pos_future_instalment_ratio",
-     lambda: ns.ratio_plus1("pos_cnt_instalment_future_mean", "pos_cnt_instalment_mean")),
+    ("pos_dpd_ever_flag", "CAST(coalesce(pos_sk_dpd_max > 0, false) AS INT)"),
+    ("pos_completion_rate", "pos_completed_count / (pos_total_records + 1)"),
+    ("pos_future_instalment_ratio", "try_divide(pos_cnt_instalment_future_mean, pos_cnt_instalment_mean + 1)"),
 ]
 
 
@@ -219,8 +222,8 @@ CARD_SPECS = [
 ]
 
 CARD_POST = [
-    ("cc_dpd_ever_flag", lambda: ns.flag(F.col("cc_sk_dpd_max") > 0)),
-    ("cc_balance_limit_ratio", lambda: ns.ratio_plus1("cc_amt_balance_mean", "cc_amt_credit_limit_mean")),
+    ("cc_dpd_ever_flag", "CAST(coalesce(cc_sk_dpd_max > 0, false) AS INT)"),
+    ("cc_balance_limit_ratio", "try_divide(cc_amt_balance_mean, cc_amt_credit_limit_mean + 1)"),
 ]
 
 
@@ -265,9 +268,9 @@ INST_SPECS = [
 ]
 
 INST_POST = [
-    ("inst_ever_late", lambda: ns.flag(F.col("inst_days_late_max") > 0)),
-    ("inst_total_paid", lambda: F.col("inst_amt_payment_sum")),
-    ("inst_late_rate", lambda: F.col("inst_late_flag_sum") / (F.col("inst_total_payments") + 1)),
+    ("inst_ever_late", "CAST(coalesce(inst_days_late_max > 0, false) AS INT)"),
+    ("inst_total_paid", "inst_amt_payment_sum"),
+    ("inst_late_rate", "inst_late_flag_sum / (inst_total_payments + 1)"),
 ]
 
 

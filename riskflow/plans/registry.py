@@ -25,13 +25,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-from riskflow.functions.rounding import SNAP, round_double  # noqa: E402
+from riskflow.functions.rounding import SNAP, round_double  # noqa: E402,F401
 
 
 def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round floating outputs so both engines agree despite summation order."""
-    return df.withColumns({f.name: round_double(F.col(f.name), digits)
-                           for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))})
+    """Round floating outputs so both engines agree despite summation order (same operations
+    as ``round_double``, written as one SQL projection: one call to build, not one per column)."""
+    scale = float(10 ** digits)
+    exprs = []
+    for f in df.schema.fields:
+        c = f"`{f.name}`"
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            exprs.append(f"round(round({c}, {SNAP}) * {scale!r}D, 0) / {scale!r}D AS {c}")
+        else:
+            exprs.append(c)
+    return df.selectExpr(*exprs)
 
 
 def rounded(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:  # noqa: D401
