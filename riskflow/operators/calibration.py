@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.functions.literals import double_array
 from riskflow.operators.joins import bounded_broadcast
 
 
@@ -34,7 +35,7 @@ def quantile_edges(df: DataFrame, col: str, n_bins: int, groups: Sequence[str] =
     if exact:
         from riskflow.operators.prefix import exact_quantiles
         return exact_quantiles(df, col, quantile_levels(n_bins), g).withColumnRenamed("q", "edges")
-    levels = F.array(*[F.lit(q) for q in quantile_levels(n_bins)])
+    levels = double_array(quantile_levels(n_bins))
     agg = F.percentile_approx(F.col(col).cast("double"), levels, accuracy)
     return df.groupBy(*g).agg(agg.alias("edges")) if g else df.agg(agg.alias("edges"))
 

@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.functions.literals import struct_array
+
 
 def _g(groups) -> list[str]:
     return [] if not groups else ([groups] if isinstance(groups, str) else list(groups))
@@ -88,7 +90,7 @@ def exact_quantiles(df: DataFrame, col: str, levels: Sequence[float], groups: Se
     pref, _ = prefix_sums(hist, "_v", ["_c"], g, descending=False, buckets=buckets)
     # 0-based positions wanted per level: h = q (n - 1), floor(h) and ceil(h). Each distinct
     # value covers positions [cum - c, cum); a row keeps the levels whose positions it covers.
-    levels_arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
+    levels_arr = struct_array([{"i": i, "q": float(q)} for i, q in enumerate(levels)])
     nm1 = (F.col("tot__c") - 1).cast("double")
     start = F.col("cum__c") - F.col("_c")
     end_ = F.col("cum__c")

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.functions.literals import double_array, struct_array
 from riskflow.functions.rounding import round_double
 from riskflow.operators.metrics import rank_metrics, with_rates
 
@@ -36,7 +37,7 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "prob", gr
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
     cuts = list(cuts) if cuts is not None else sweep_cuts()
     m = len(cuts)
-    grid = F.array(*[F.lit(float(c)) for c in cuts])
+    grid = double_array(cuts)
     hist = (df.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
               .groupBy(*g, "s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t")))
     hk = (hist.withColumn("k", F.size(F.filter(grid, lambda c: c <= F.col("s"))))
@@ -108,8 +109,7 @@ def blend_search(df: DataFrame, label: str, members: Sequence[str], grid=None) -
     one grouped rank-metric pass keyed by the grid position."""
     grid = grid or blend_grid()
     a, b, c = members
-    combos = F.array(*[F.struct(F.lit(i).alias("combo"), F.lit(w1).alias("w1"), F.lit(w2).alias("w2"),
-                                F.lit(w3).alias("w3")) for i, w1, w2, w3 in grid])
+    combos = struct_array([{"combo": i, "w1": w1, "w2": w2, "w3": w3} for i, w1, w2, w3 in grid])
     rows = (df.select(F.col(label).alias("label"), a, b, c, F.explode(combos).alias("w"))
               .select("label", F.col("w.combo").alias("combo"),
                       (F.col("w.w1") * F.col(a) + F.col("w.w2") * F.col(b) + F.col("w.w3") * F.col(c)).alias("prob")))
@@ -141,7 +141,7 @@ def threshold_sensitivity(df: DataFrame, score: str, cuts: Sequence[float],
     """R-03: approvals (score >= cut), declines, shares and revenue for every cut, without
     pairing rows with cuts (same k(s) expansion as the sweep)."""
     m = len(cuts)
-    grid = F.array(*[F.lit(float(c)) for c in cuts])
+    grid = double_array(cuts)
     hk = (df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("t"))
             .withColumn("k", F.size(F.filter(grid, lambda c: c <= F.col("s"))))
             .groupBy("k").agg(F.sum("t").alias("t")))

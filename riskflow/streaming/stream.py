@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskflow.functions.literals import double_array
 from riskflow.operators import stability as ST
 from riskflow.operators import validate as V
 from riskflow.operators.calibration import quantile_edges
@@ -84,7 +85,7 @@ def drift_stream(spark: SparkSession, events: DataFrame, value: str, ts: str, ed
                  window: str = "1 day", delay: str = "1 hour", base: str | None = None, timeout_s: int = 600) -> str:
     """T-02: windowed bin counts with a watermark, appended to Parquet; returns the sink path."""
     b = len(edges) - 1
-    e = F.array(*[F.lit(x) for x in edges])
+    e = double_array(edges)
     x = F.col(value).cast("double")
     in_range = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
     bin_ = F.when(in_range, F.size(F.filter(F.slice(e, 1, b), lambda v: v <= x)) - 1)
@@ -105,7 +106,7 @@ def drift_stream(spark: SparkSession, events: DataFrame, value: str, ts: str, ed
 def window_psi(counts: DataFrame, baseline: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """PSI of every emitted window against the baseline shares (both floored at 1e-4)."""
     b = len(edges) - 1
-    e = F.array(*[F.lit(x) for x in edges])
+    e = double_array(edges)
     x = F.col(value).cast("double")
     in_range = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
     base_bins = (baseline.select(F.when(in_range, F.size(F.filter(F.slice(e, 1, b), lambda v: v <= x)) - 1).alias("bin"))
