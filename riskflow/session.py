@@ -20,6 +20,9 @@ _SCALE_DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skip capturing Python call sites for every Column built on the driver (error-message
+    # context only); plan construction is several times faster without it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
