@@ -83,3 +83,42 @@ def test_falsy_default(spark):
     df = spark.createDataFrame([(0.0, 7.0), (None, 7.0), (3.0, 7.0)], "x double, y double")
     got = [r.v for r in df.select(ns.falsy_default("x", F.col("y")).alias("v")).collect()]
     assert got == [7.0, 7.0, 3.0]
+
+
+def test_row_statistics_match_numpy_on_random_rows(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(21)
+    rows = [tuple(None if rnd.random() < 0.3 else round(rnd.random(), 3) for _ in range(3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "EXT_SOURCE_1 double, EXT_SOURCE_2 double, EXT_SOURCE_3 double")
+    got = features.row_stat_features(df).collect()
+    for r, src in zip(sorted(got, key=lambda x: tuple(-1 if v is None else v for v in x[:3])),
+                      sorted(rows, key=lambda x: tuple(-1 if v is None else v for v in x))):
+        vals = np.array([np.nan if v is None else v for v in src])
+        present = vals[~np.isnan(vals)]
+        if present.size == 0:
+            assert r.EXT_SOURCE_MEAN is None and r.EXT_SOURCE_MAX is None
+        else:
+            assert math.isclose(r.EXT_SOURCE_MEAN, present.mean(), abs_tol=1e-12)
+            assert r.EXT_SOURCE_MAX == present.max() and r.EXT_SOURCE_MIN == present.min()
+        if present.size >= 2:
+            assert math.isclose(r.EXT_SOURCE_STD, present.std(ddof=1), abs_tol=1e-12)
+        else:
+            assert r.EXT_SOURCE_STD is None
+        assert math.isclose(r.EXT_SOURCE_PROD, float(np.prod(np.nan_to_num(vals, nan=0.0))), abs_tol=1e-12)
+
+
+def test_block_aggregates_match_python_on_random_groups(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(rnd.randint(1, 20), None if rnd.random() < 0.25 else float(rnd.randint(-5, 5))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    specs = [AggSpec("s", "sum", "x"), AggSpec("c", "count", "x"), AggSpec("ge", "count_ge", "x", 1),
+             AggSpec("mx", "max", "x"), AggSpec("nu", "nunique", "x")]
+    got = {r.k: r for r in aggregate_block(df, "k", specs).collect()}
+    for k in set(g for g, _ in rows):
+        xs = [x for g, x in rows if g == k and x is not None]
+        r = got[k]
+        assert r.s == sum(xs) and r.c == len(xs) and r.ge == sum(1 for x in xs if x >= 1)
+        assert r.mx == (max(xs) if xs else None) and r.nu == len(set(xs))
