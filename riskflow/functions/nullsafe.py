@@ -25,6 +25,16 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _names(*cs) -> bool:
+    """True when every argument is a column name: the rule is then built as one SQL
+    expression (one driver call) instead of a tree of Column objects."""
+    return all(isinstance(c, str) for c in cs)
+
+
+def _q(c: str) -> str:
+    return f"`{c}`"
+
+
 # ---------------------------------------------------------------- aggregates
 
 def sum0(c: ColumnOrName) -> Column:
@@ -51,6 +61,13 @@ def flag(pred: Column) -> Column:
 
 def clip(c: ColumnOrName, lo: float | None = None, hi: float | None = None) -> Column:
     """N6: clip into [lo, hi]; missing stays missing (bare greatest would give lo)."""
+    if _names(c):
+        e = _q(c)
+        if lo is not None:
+            e = f"greatest({e}, {float(lo)!r}D)"
+        if hi is not None:
+            e = f"least({e}, {float(hi)!r}D)"
+        return F.expr(f"CASE WHEN {_q(c)} IS NOT NULL THEN {e} END")
     x = _c(c)
     out = x
     if lo is not None:
@@ -62,11 +79,15 @@ def clip(c: ColumnOrName, lo: float | None = None, hi: float | None = None) -> C
 
 def ratio(num: ColumnOrName, den: ColumnOrName) -> Column:
     """N11: division that yields missing instead of raising on a zero denominator."""
+    if _names(num, den):
+        return F.expr(f"try_divide({_q(num)}, {_q(den)})")
     return F.try_divide(_c(num), _c(den))
 
 
 def ratio_plus1(num: ColumnOrName, den: ColumnOrName) -> Column:
     """The reference's ``num / (den + 1)`` with N11 safety."""
+    if _names(num, den):
+        return F.expr(f"try_divide({_q(num)}, {_q(den)} + 1)")
     return F.try_divide(_c(num), _c(den) + F.lit(1))
 
 
@@ -87,13 +108,26 @@ def _present(cols: Sequence[ColumnOrName]) -> Column:
     return sum((_c(c).isNotNull().cast("int") for c in cols), F.lit(0))
 
 
+def _present_sql(cols: Sequence[str]) -> str:
+    return "(0" + "".join(f" + CAST({_q(c)} IS NOT NULL AS INT)" for c in cols) + ")"
+
+
+def _row_mean_sql(cols: Sequence[str]) -> str:
+    s = "0.0D" + "".join(f" + coalesce(CAST({_q(c)} AS DOUBLE), 0.0D)" for c in cols)
+    return f"CASE WHEN {_present_sql(cols)} > 0 THEN ({s}) / {_present_sql(cols)} END"
+
+
 def row_sum0(cols: Sequence[ColumnOrName]) -> Column:
     """N8: row sum, missing counted as 0."""
+    if _names(*cols):
+        return F.expr("0" + "".join(f" + coalesce({_q(c)}, 0)" for c in cols))
     return sum((F.coalesce(_c(c), F.lit(0)) for c in cols), F.lit(0))
 
 
 def row_prod0(cols: Sequence[ColumnOrName]) -> Column:
     """N10: row product after filling missing with 0."""
+    if _names(*cols):
+        return F.expr("1.0D" + "".join(f" * coalesce(CAST({_q(c)} AS DOUBLE), 0.0D)" for c in cols))
     out = F.lit(1.0)
     for c in cols:
         out = out * F.coalesce(_c(c).cast("double"), F.lit(0.0))
@@ -102,6 +136,8 @@ def row_prod0(cols: Sequence[ColumnOrName]) -> Column:
 
 def row_mean(cols: Sequence[ColumnOrName]) -> Column:
     """N7: mean of the present values; missing when none is present."""
+    if _names(*cols):
+        return F.expr(_row_mean_sql(cols))
     n = _present(cols)
     s = sum((F.coalesce(_c(c).cast("double"), F.lit(0.0)) for c in cols), F.lit(0.0))
     return F.when(n > 0, s / n)
@@ -109,6 +145,11 @@ def row_mean(cols: Sequence[ColumnOrName]) -> Column:
 
 def row_std(cols: Sequence[ColumnOrName]) -> Column:
     """N7: sample std of the present values; missing below two values."""
+    if _names(*cols):
+        m = _row_mean_sql(cols)
+        ss = "0.0D" + "".join(f" + coalesce((CAST({_q(c)} AS DOUBLE) - ({m})) * (CAST({_q(c)} AS DOUBLE) - ({m})), 0.0D)"
+                              for c in cols)
+        return F.expr(f"CASE WHEN {_present_sql(cols)} >= 2 THEN sqrt(({ss}) / ({_present_sql(cols)} - 1)) END")
     n = _present(cols)
     mean = row_mean(cols)
     ss = sum((F.coalesce((_c(c).cast("double") - mean) * (_c(c).cast("double") - mean), F.lit(0.0))
@@ -118,10 +159,14 @@ def row_std(cols: Sequence[ColumnOrName]) -> Column:
 
 def row_max(cols: Sequence[ColumnOrName]) -> Column:
     """N7: ``greatest`` already skips missing."""
+    if _names(*cols):
+        return F.expr("greatest(" + ", ".join(_q(c) for c in cols) + ")")
     return F.greatest(*[_c(c) for c in cols])
 
 
 def row_min(cols: Sequence[ColumnOrName]) -> Column:
+    if _names(*cols):
+        return F.expr("least(" + ", ".join(_q(c) for c in cols) + ")")
     return F.least(*[_c(c) for c in cols])
 
 
