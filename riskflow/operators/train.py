@@ -101,9 +101,17 @@ def score(model: PipelineModel, df: DataFrame, spec: ModelSpec, features: Sequen
 
 
 def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], id_col: str, label: str,
-                   fold: str = "fold", k: int = 5, balanced: bool = True) -> tuple[DataFrame, DataFrame]:
+                   fold: str = "fold", k: int = 5, balanced: bool = True,
+                   materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """M-06: OOF table and per-fold metrics. Each fold's rows are scored by the model fitted
-    on the other folds; the OOF table is the union of the k scored slices."""
+    on the other folds; the OOF table is the union of the k scored slices.
+
+    The training columns are first written as a reliable checkpoint in the shared folder
+    (``materialize``), so the k fits and every optimizer pass read that instead of
+    re-running the feature plan."""
+    if materialize:
+        from riskflow.session import cut_lineage
+        df = cut_lineage(df.select(id_col, label, fold, *[c for c in features if c not in (id_col, label, fold)]))
     parts = []
     for i in range(k):
         train = df.filter(F.col(fold) != i)
