@@ -116,7 +116,7 @@ def blend_search(df: DataFrame, label: str, members: Sequence[str], grid=None) -
     auc = rank_metrics(rows, "label", "prob", ["combo"]).select("combo", "auc_roc")
     wdf = df.sparkSession.createDataFrame([(i, round(w1, 1), round(w2, 1), round(w3, 2)) for i, w1, w2, w3 in grid],
                                           "combo int, w1 double, w2 double, w3 double")
-    best = Window.partitionBy(F.lit(1)).orderBy(F.col("auc_roc").desc(), F.col("combo"))
+    best = Window.partitionBy(F.lit(1)).orderBy(F.col("auc_roc").desc(), F.col("combo"))  # one row per grid point
     return (auc.join(F.broadcast(wdf), "combo")
                .withColumn("best", (F.row_number().over(best) == 1)))
 
