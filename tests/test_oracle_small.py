@@ -12,7 +12,7 @@ from riskflow.sources.tables import DRIVER_TABLES
 SMALL = "/root/testdata/sf0.001"
 KEYS = ["feat_two_level_credit", "feat_instalment_block", "feat_row_stats", "rank_metrics", "roc_points",
         "threshold_sweep", "woe_oof", "calibration_bins", "psi_score", "box_stats", "validate_split",
-        "advice_rules", "stream_score"]
+        "advice_rules", "stream_score", "stream_counters", "evaluation_report", "blend_scores", "feat_star_join"]
 
 
 def _norm(v):
