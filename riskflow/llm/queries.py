@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import decontaminate, exact, licenses, secrets
+from riskflow.llm import decontaminate, exact, licenses, secrets, substrings
 from riskflow.llm.store import read_docs
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_docs(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(read_docs(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(read_docs(spark, sf_dir)))
 
@@ -24,7 +28,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_scan(read_docs(spark, sf_dir)))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op5_secret_scan": op5_secret_scan,
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate, "op9_license_scan": op9_license_scan}
 
 ORACLES = {

@@ -59,7 +59,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = Powers(_BASE), Powers(_WORD_BASE)
+_BYTES, _WORDS, _WORDS2 = Powers(_BASE), Powers(_WORD_BASE), Powers(0xC2B2AE3D27D4EB4F | 5)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -122,9 +122,9 @@ class Words:
         at = at[at + length <= left]
         return at, self.window_hash(length)[at]
 
-    def window_hash(self, length: int) -> np.ndarray:
-        """Fingerprint of ``length`` consecutive words from each word on, documents ignored."""
-        up, down = _WORDS.upto(len(self.hash) + 1)
+    def window_hash(self, length: int, second: bool = False) -> np.ndarray:
+        """Fingerprint of ``length`` consecutive words from each word on, documents ignored; ``second``: another one."""
+        up, down = (_WORDS2 if second else _WORDS).upto(len(self.hash) + 1)
         sums = np.zeros(len(self.hash) + 1, np.uint64)
         np.cumsum(self.hash * up[:-1], out=sums[1:])
         k = len(self.hash) - length + 1
