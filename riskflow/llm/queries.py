@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskflow.llm import decontaminate, exact, licenses, secrets, substrings
-from riskflow.llm.store import read_docs
+from riskflow.llm import decontaminate, exact, language, licenses, secrets, substrings, toxicity as tox
+from riskflow.llm.store import fold, read_docs
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_docs(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_docs(spark, sf_dir)
+    held = fold(F.col("doc_id"), 5) == 0
+    model = tox.fit(docs, read_docs(spark, sf_dir, "labels"), ~held)
+    return tox.toxicity(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_difference")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(read_docs(spark, sf_dir))
 
@@ -24,12 +33,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark")))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_docs(spark, sf_dir)
+    held = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs, ~held)
+    return language.identify(docs, model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_scan(read_docs(spark, sf_dir)))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
-           "op6_decontaminate": op6_decontaminate, "op9_license_scan": op9_license_scan}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_toxicity": op3_toxicity,
+           "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
+           "op6_decontaminate": op6_decontaminate,
+           "op8_language": op8_language, "op9_license_scan": op9_license_scan}
 
 ORACLES = {
     "op1_exact_dedup": r"""

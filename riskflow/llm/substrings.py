@@ -22,14 +22,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm.store import materialize
-from riskflow.llm.tokens import SPACED, Words, int_list, long_list, slices
+from riskflow.llm.tokens import SLICE_BYTES, SPACED, Words, int_list, long_list, slices
 
 LENGTH = 35
 
@@ -58,17 +62,28 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"))
 
 
-def _joined_sha(words: Words, keep: np.ndarray | None = None) -> list[str]:
-    """sha256 of the words of each document joined by one space; ``keep`` marks the words that stay."""
-    out, data = [], words.data
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames: what is joined with its anchors later is shuffled at less than half its size."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [press.compress(t.as_buffer()) for t in batch["text"].cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(packed, pa.binary())], names=["id", "k", "z"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of packed batches with their words."""
+    press = zstandard.ZstdDecompressor()
+    for batch in slices(batches, "z", SLICE_BYTES // 3):
+        texts = pa.array([press.decompress(z.as_buffer()) for z in batch["z"]], pa.large_binary())
+        yield batch, Words(texts.cast(pa.large_string()), SPACED, lower=False)
+
+
+def _kept(words: Words, keep: np.ndarray | None = None) -> list[bytes]:
+    """The words of each document joined by one space; ``keep`` marks the words that stay, by default all."""
+    out = []
     for d in range(len(words.first) - 1):
-        if keep is None:
-            body = data[words.offsets[d]:words.offsets[d + 1]].tobytes()
-            out.append(hashlib.sha256(b" ".join(body.split())).hexdigest())
-            continue
-        k = keep[words.first[d]:words.first[d + 1]]
-        body = data[words.offsets[d]:words.offsets[d + 1]].tobytes().split()
-        out.append(hashlib.sha256(b" ".join([w for w, x in zip(body, k.tolist()) if x])).hexdigest())
+        body = words.data[words.offsets[d]:words.offsets[d + 1]].tobytes().split()
+        out.append(b" ".join(body if keep is None else compress(body, keep[words.first[d]:words.first[d + 1]].tolist())))
     return out
 
 
@@ -83,87 +98,97 @@ def _first_level(length: int):
             offs = np.searchsorted(anchor, words.first)
             doc = np.searchsorted(words.first, anchor, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["k"], pa.array(words.counts.astype(np.int64)), pa.array(_joined_sha(words)),
+                [batch["id"], batch["k"], pa.array(words.counts.astype(np.int64)),
+                 pa.array([hashlib.sha256(b).hexdigest() for b in _kept(words)], pa.string()),
                  long_list(grams[anchor], offs), int_list(anchor - words.first[doc], offs)],
                 names=["id", "k", "n_words", "sha", "h", "pos"])
     return run
 
 
-def _windows(length: int):
-    """Candidate windows of documents with repeated anchors: starts, fingerprints and second-level anchors."""
-    gram, half = levels(length)
+class Candidates(NamedTuple):
+    """Windows whose first-level anchor is repeated; ``first`` and ``half_first`` are offsets by document."""
+
+    start: np.ndarray        # word number of the window
+    first: np.ndarray
+    half: np.ndarray         # word number of each distinct second-level anchor
+    half_first: np.ndarray
+    which: np.ndarray        # the window's second-level anchor, numbered within the document
+    grams: np.ndarray        # second-level fingerprints by word number
 
+
+def candidates(words: Words, marked: pa.ListArray, length: int) -> Candidates:
+    gram, half = levels(length)
+    at, anchor, _ = anchors(words, gram, length)
+    _, second, grams = anchors(words, half, length)
+    good = np.zeros(len(words.hash) + 1, bool)
+    good[np.repeat(words.first[:-1], np.diff(marked.offsets.to_numpy())) + marked.flatten().to_numpy()] = True
+    at, second = at[good[anchor]], second[good[anchor]]
+    new = np.diff(second, prepend=-1) != 0
+    half_first = np.searchsorted(second[new], words.first)
+    doc = np.searchsorted(words.first, at, "right") - 1
+    return Candidates(at, np.searchsorted(at, words.first), second[new], half_first,
+                      np.cumsum(new) - 1 - half_first[doc], grams)
+
+
+def _second_level(length: int):
+    """(rid, i, w): fingerprints of the second-level anchors, numbered by i within a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch["text"], SPACED, lower=False)
-            at, anchor, _ = anchors(words, gram, length)
-            _, second, halves = anchors(words, half, length)
-            whole, other = ([words.window_hash(length, second) for second in (False, True)]
-                            if len(words.hash) >= length else [np.zeros(0, np.uint64)] * 2)
-            good = np.zeros(len(words.hash) + 1, bool)
-            lists = batch["pos"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            good[np.repeat(words.first[:-1], sizes) + flat] = True
-            keep = good[anchor]
-            at, second = at[keep], second[keep]
-            offs = np.searchsorted(at, words.first)
-            new = np.flatnonzero(np.diff(second, prepend=-1))
-            base = words.first[np.searchsorted(words.first, at, "right") - 1]
-            which = np.cumsum(np.diff(second, prepend=-1) != 0) - 1          # number of the window's second anchor
-            anchor_offs = np.searchsorted(second[new], words.first)
-            which -= anchor_offs[np.searchsorted(words.first, at, "right") - 1]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["k"], batch["text"].cast(pa.string()), long_list(halves[second[new]], anchor_offs),
-                 int_list(at - base, offs), int_list(which, offs), long_list(whole[at], offs),
-                 long_list(other[at], offs)],
-                names=["id", "k", "text", "half", "pos", "which", "whole", "other"])
+        for batch, words in _unpack(batches):
+            c = candidates(words, batch["pos"], length)
+            size = np.diff(c.half_first)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(batch["rid"].to_numpy(), size)),
+                pa.array((np.arange(len(c.half)) - np.repeat(c.half_first[:-1], size)).astype(np.int32)),
+                pa.array(c.grams[c.half].view(np.int64))], names=["rid", "i", "w"])
     return run
 
 
-def _numbers(listed: pa.ListScalar) -> np.ndarray:
-    return listed.values.to_numpy() if listed.is_valid else np.zeros(0, np.int32)
+def _listed(column: pa.ListArray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """Mask over ``size`` flat places of those that a list column names within each row; null names none."""
+    out = np.zeros(size, bool)
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    out[np.repeat(offsets[:-1], sizes) + pc.list_flatten(column).to_numpy()] = True
+    return out
 
 
-def _halves_repeated(which: pa.ListScalar, single: pa.ListScalar) -> np.ndarray:
-    """For each window of a row: is its second-level anchor a repeated one."""
-    return ~np.isin(_numbers(which), _numbers(single))
+def _left(c: Candidates, half_single: pa.ListArray) -> np.ndarray:
+    """Mask of the candidates whose second-level anchor is repeated."""
+    single = _listed(half_single, c.half_first, len(c.half))
+    return ~single[c.which + np.repeat(c.half_first[:-1], np.diff(c.first))]
 
 
-def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, i, w, x) of the windows whose second-level anchor is repeated."""
-    for batch in batches:
-        for d in range(batch.num_rows):
-            i = np.flatnonzero(_halves_repeated(batch["which"][d], batch["single"][d]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), batch["rid"][d].as_py())), pa.array(i.astype(np.int32)),
-                     pa.array(_numbers(batch["whole"][d])[i]), pa.array(_numbers(batch["other"][d])[i])],
-                    names=["rid", "i", "w", "x"])
+def _last_level(length: int):
+    """(rid, i, w, x): both fingerprints of the windows left after the second level."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in _unpack(batches):
+            c = candidates(words, batch["pos"], length)
+            left = np.flatnonzero(_left(c, batch["half_single"]))
+            if not len(left):
+                continue
+            size = np.diff(c.first)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(batch["rid"].to_numpy(), size)[left]),
+                pa.array((left - np.repeat(c.first[:-1], size)[left]).astype(np.int32)),
+                *[pa.array(words.window_hash(length, second)[c.start[left]].view(np.int64)) for second in (False, True)],
+            ], names=["rid", "i", "w", "x"])
+    return run
 
 
 def _removal(length: int, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch["text"], SPACED, lower=False)
+        for batch, words in _unpack(batches):
+            c = candidates(words, batch["pos"], length)
+            start = c.start[_left(c, batch["half_single"]) & ~_listed(batch["single"], c.first, len(c.start))]
             n = len(words.hash)
-            gone = np.zeros(n + length + 1, np.int64)
-            for d in range(batch.num_rows):
-                starts = batch["pos"][d].values.to_numpy().astype(np.int64)
-                single = ~_halves_repeated(batch["which"][d], batch["half_single"][d])
-                single[_numbers(batch["single"][d])] = True
-                starts = starts[~single]
-                np.add.at(gone, words.first[d] + starts, 1)
-                np.add.at(gone, words.first[d] + starts + length, -1)
+            gone = np.bincount(start, minlength=n + 1)[:n + 1] - np.bincount(start + length, minlength=n + 1)[:n + 1]
             keep = np.cumsum(gone)[:n] == 0
-            removed = words.counts - np.add.reduceat(np.append(keep, False).astype(np.int64), words.first[:-1]) * (words.counts > 0)
-            kept = [None] * batch.num_rows
-            if text:
-                for d, body in enumerate(batch["text"].to_pylist()):
-                    k = keep[words.first[d]:words.first[d + 1]].tolist()
-                    kept[d] = b" ".join([w for w, x in zip(body.encode().split(), k) if x]).decode()
+            kept = np.concatenate([[0], np.cumsum(keep)])
+            removed = words.counts - (kept[words.first[1:]] - kept[words.first[:-1]])
+            bodies = _kept(words, keep)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["k"], pa.array(removed), pa.array(_joined_sha(words, keep)), pa.array(kept, pa.string())],
+                [batch["id"], batch["k"], pa.array(removed.astype(np.int64)),
+                 pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()),
+                 pa.array([b.decode() if text else None for b in bodies], pa.string())],
                 names=["id", "k", "n_removed", "sha2", "kept_text"])
     return run
 
@@ -178,22 +203,23 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     each loses the windows they share. An empty table gives an empty result; other columns are not read."""
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = _row_key(docs, id_col, text_col)
-    first = materialize(keyed.mapInArrow(_first_level(length), f"id {id_type}, k long, n_words long, sha string, "
-                                                               "h array<long>, pos array<int>"), "op4-anchors")
-    places = first.select("id", "k", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("id", "k", "a.h", "a.pos")
+    first = keyed.mapInArrow(_first_level(length), f"id {id_type}, k long, n_words long, sha string, "
+                                                   "h array<long>, pos array<int>")
+    first = materialize(first.withColumn("rid", F.monotonically_increasing_id()), "op4-anchors")
+    places = first.select("rid", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("rid", "a.h", "a.pos")
     repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    marked = places.join(repeated, "h").groupBy("id", "k").agg(F.collect_set("pos").alias("pos"))
-    docs_marked = keyed.join(marked.withColumnRenamed("id", "id2").withColumnRenamed("k", "k2"),
-                             F.expr("k = k2 AND id <=> id2")).select("id", "k", "text", "pos")
-    windows = docs_marked.mapInArrow(_windows(length), f"id {id_type}, k long, text string, half array<long>, "
-                                                       "pos array<int>, which array<int>, whole array<long>, other array<long>")
-    windows = materialize(windows.filter("size(pos) > 0").withColumn("rid", F.monotonically_increasing_id()), "op4-windows")
-    half_single = _singles(windows.select("rid", F.posexplode("half").alias("i", "w")), ["w"])
-    remaining = windows.select("rid", "which", "whole", "other").join(half_single, "rid", "left").mapInArrow(
-        _remaining, "rid long, i int, w long, x long")
-    dropped = half_single.withColumnRenamed("single", "half_single").join(_singles(remaining, ["w", "x"]), "rid", "full")
-    final = (windows.select("rid", "id", "k", "text", "pos", "which").join(dropped, "rid", "left")
-             .select("id", "k", "text", "pos", "which", "half_single", "single")
+    marked = places.join(repeated, "h").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+    marked = first.select("rid", "id", "k").join(marked, "rid").groupBy("id", "k").agg(F.any_value("pos").alias("pos"))
+    packed = keyed.mapInArrow(_pack, f"id {id_type}, k long, z binary")
+    rows = packed.join(marked.withColumnsRenamed({"id": "id2", "k": "k2"}), F.expr("k = k2 AND id <=> id2")).select(
+        F.monotonically_increasing_id().alias("rid"), "id", "k", "z", "pos")
+    rows = materialize(rows, "op4-rows")
+    half_single = _singles(rows.mapInArrow(_second_level(length), "rid long, i int, w long"), ["w"])
+    half_single = half_single.withColumnRenamed("single", "half_single")
+    last = rows.select("rid", "z", "pos").join(half_single, "rid", "left").mapInArrow(
+        _last_level(length), "rid long, i int, w long, x long")
+    final = (rows.join(half_single.join(_singles(last, ["w", "x"]), "rid", "full"), "rid", "left")
+             .select("id", "k", "z", "pos", "half_single", "single")
              .mapInArrow(_removal(length, with_text),
                          f"id2 {id_type}, k2 long, n_removed long, sha2 string, kept_text string"))
     out = first.select("id", "k", "n_words", "sha").join(final.distinct(), F.expr("k = k2 AND id <=> id2"), "left")

@@ -89,7 +89,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word bounds (byte offsets), per-document word offsets and word fingerprints of a batch."""
 
-    def __init__(self, column: pa.Array, table: np.ndarray, lower: bool):
+    def __init__(self, column: pa.Array, table: np.ndarray, lower: bool, fingerprints: bool = True):
         self.data, self.offsets = text_buffer(column)
         n, data, offs = len(self.data), self.data, self.offsets
         inside = table[data]
@@ -102,7 +102,8 @@ class Words:
         ends[edge] = inside[edge - 1]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, offs)     # word range of document d: first[d]:first[d + 1]
-        self.hash = _fingerprints(data, self.start, self.end, _FOLDED if lower else _VALUES)
+        if fingerprints:
+            self.hash = _fingerprints(data, self.start, self.end, _FOLDED if lower else _VALUES)
 
     @property
     def counts(self) -> np.ndarray:
