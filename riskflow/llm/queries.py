@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontaminate, exact, language, licenses, secrets, substrings, toxicity as tox
+from riskflow.llm import decontaminate, exact, jaccard, language, licenses, secrets, substrings, toxicity as tox
 from riskflow.llm.store import fold, read_docs
 
 
@@ -33,6 +33,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_docs(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_docs(spark, sf_dir)
     held = fold(F.col("doc_id"), 4) == 2
@@ -48,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_toxicity": op3_toxicity,
            "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate,
-           "op8_language": op8_language, "op9_license_scan": op9_license_scan}
+           "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan}
 
 ORACLES = {
     "op1_exact_dedup": r"""
