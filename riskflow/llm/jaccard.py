@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,7 +40,8 @@ from riskflow.llm.tokens import SLICE_BYTES, SPACED, Words, long_list, mix, slic
 WORDS = 3
 PERCENT = 90
 DIMENSIONS = 64
-BLOCK = 20_000
+BLOCK = 20_000          # members of a cell that are searched as one
+BUCKET = 20_000         # rows of whole cells that are searched in one call, about
 LEAF = 16
 _BAND = 1.5
 _DEALS = 8
@@ -151,7 +151,7 @@ def _points(size: int):
             good = pa.array([_fingerprint(x) == m for x, m in zip(sets, batch["m"].to_pylist())], pa.bool_())
             out = pa.RecordBatch.from_arrays(
                 [batch["m"], batch["z"], pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array([point(x) for x in sets], pa.list_(pa.int64()))], names=["m", "z", "n", "point"])
+                 pa.array([point(x) for x in sets], pa.list_(pa.int32()))], names=["m", "z", "n", "point"])
             yield out.filter(good)
     return run
 
@@ -198,7 +198,8 @@ class Tree:
         return (np.stack([top[g].max(axis=0) for g in groups]), np.array([small[g].min() for g in groups]),
                 np.array([large[g].max() for g in groups]), np.array(one))
 
-    def _bound(self, level, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    @staticmethod
+    def bound(level, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Pairs of nodes that may hold a linked pair of different components."""
         top, small, large, comp = level
         good = (100 * large[i] >= percent * small[j]) & (100 * large[j] >= percent * small[i]) & ~(
@@ -216,17 +217,17 @@ class Tree:
         """Row pairs of different components that pass the bound, a chunk at a time."""
         i = j = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, 0, -1):
-            keep = self._bound(self.levels[depth], i, j, percent)
+            keep = self.bound(self.levels[depth], i, j, percent)
             size = len(self.levels[depth - 1][0])
             i, j = self._children(i[keep], j[keep], size)
-        keep = self._bound(self.levels[0], i, j, percent)
+        keep = self.bound(self.levels[0], i, j, percent)
         points = (self.points, self.sizes, self.sizes, self.comps)
         for a, b in zip(i[keep].tolist(), j[keep].tolist()):
             x, y = np.meshgrid(self.leaves[a], self.leaves[b], indexing="ij")
             x, y = x.ravel(), y.ravel()
             if a == b:
                 x, y = x[x < y], y[x < y]
-            good = self._bound(points, x, y, percent)
+            good = self.bound(points, x, y, percent)
             if len(good):
                 yield x[good], y[good]
 
@@ -239,36 +240,49 @@ class Tree:
         return a[good], b[good]
 
 
+def _small_cells(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All row pairs of each of many small cells."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for n in np.unique(size).tolist():
+        x, y = np.triu_indices(n, 1)
+        at = begin[size == n][:, None]
+        out.append(((at + x).ravel(), (at + y).ravel()))
+    return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+
+
 def _search(percent: int, best: bool):
-    """Pairs (a, b) of a cell; ``best``: only the pair of largest overlap bound for each member."""
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates(["m", "block"])
-        points, sizes, m = np.stack(cell["point"]), cell["n"].to_numpy(), cell["m"].to_numpy()
-        comps = pd.factorize(cell["comp"])[0]
-        block, apart = cell["block"].to_numpy(), bool(cell["i"].iloc[0] != cell["j"].iloc[0])
-        tree = Tree(points, sizes, comps)
-        out_a, out_b = [], []
-        top = np.full(len(m), -1.0)
-        with_ = np.zeros(len(m), np.int64)
-        for x, y in tree.pairs(percent):
-            if apart:
-                other = block[x] != block[y]
-                x, y = x[other], y[other]
-            if not best:
-                out_a.append(m[x])
-                out_b.append(m[y])
-                continue
-            overlap = np.minimum(points[x], points[y]).sum(axis=1) / (sizes[x] + sizes[y])
-            for p, q in ((x, y), (y, x)):
-                order = np.argsort(overlap, kind="stable")
-                better = overlap[order] > top[p[order]]
-                p, q, v = p[order][better], q[order][better], overlap[order][better]
-                with_[p], top[p] = q, v      # ascending, so the largest stays
-        if best:
-            p = np.flatnonzero(top >= 0)
-            out_a, out_b = [m[p]], [m[with_[p]]]
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Pairs (a, b) of the cells of a bucket; ``best``: of each member in a cell, only that of the largest overlap bound."""
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by([(c, "ascending") for c in ("key", "i", "j", "m", "block")]).combine_chunks()
+        key, i, j, m, block, comps, sizes = (bucket[c].to_numpy() for c in ("key", "i", "j", "m", "block", "comp", "n"))
+        points = bucket["point"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS).astype(np.int32)
+        new = np.ones(len(m), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(m)))
+        small = size <= LEAF
+        found = []
+        x, y = _small_cells(begin[small], size[small])
+        for s in range(0, len(x), 1 << 16):
+            a, b = x[s:s + (1 << 16)], y[s:s + (1 << 16)]
+            good = Tree.bound((points, sizes, sizes, comps), a, b, percent)
+            found.append((a[good], b[good]))
+        for s, n in zip(begin[~small].tolist(), size[~small].tolist()):
+            cell = slice(s, s + n)
+            for a, b in Tree(points[cell], sizes[cell], comps[cell]).pairs(percent):
+                found.append((a + s, b + s))
+        x, y = (np.concatenate([p[k] for p in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        apart = (i[x] == j[x]) | (block[x] != block[y])      # of two blocks, pairs across only
+        x, y = x[apart], y[apart]
+        if best and len(x):
+            overlap = np.concatenate([np.minimum(points[x[s:s + 65536]], points[y[s:s + 65536]]).sum(axis=1)
+                                      for s in range(0, len(x), 65536)]) / (sizes[x] + sizes[y])
+            one, two, both = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([overlap, overlap])
+            order = np.lexsort((-both, one))
+            first = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
+            x, y = one[first], two[first]
+        pairs = np.unique(np.stack([np.minimum(m[x], m[y]), np.maximum(m[x], m[y])], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
     return run
 
 
@@ -299,7 +313,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
                          "op7-members")
     needed = cells.select("m").distinct().join(copies.select("m", "k"), "m")
     texts = keyed.select("k", "text").mapInArrow(_pack, "k long, z binary").join(needed, "k").select("m", "z")
-    members = materialize(texts.mapInArrow(_points(size), "m long, z binary, n long, point array<long>")
+    members = materialize(texts.mapInArrow(_points(size), "m long, z binary, n long, point array<int>")
                           .groupBy("m").agg(F.any_value("z").alias("z"), F.any_value("n").alias("n"),
                                             F.any_value("point").alias("point")), "op7-points")
 
@@ -335,5 +349,7 @@ def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent:
     spread = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "m", "comp", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
-    return spread.join(members.select("m", "n", "point"), "m").groupBy("key", "i", "j").applyInPandas(
-        _search(percent, best), "a long, b long")
+    buckets = max(1, -(-spread.count() // BUCKET))
+    return (spread.join(members.select("m", "n", "point"), "m")
+            .groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket"))
+            .applyInArrow(_search(percent, best), "a long, b long"))

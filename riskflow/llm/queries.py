@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontaminate, exact, jaccard, language, licenses, secrets, substrings, toxicity as tox
+from riskflow.llm import decontaminate, exact, jaccard, language, licenses, lines, mixing, secrets, substrings, toxicity as tox
 from riskflow.llm.store import fold, read_docs
 
 
@@ -13,6 +13,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_docs(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(read_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_docs(spark, sf_dir)
     held = fold(F.col("doc_id"), 5) == 0
@@ -49,10 +54,29 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_scan(read_docs(spark, sf_dir)))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_toxicity": op3_toxicity,
+#: Token weights of the domains of ``labels``: quality (q) and toxic (t), 0 or 1.
+TARGETS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.015, "q0t1": 0.005}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled rows; null where a label is."""
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"),
+                                            F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_docs(spark, sf_dir)
+    model = mixing.fit(docs, domains(read_docs(spark, sf_dir, "labels")), TARGETS)
+    return mixing.apply(docs, model).select(
+        "doc_id", "mix_domain", "mix_tokens", "mix_rate", "mix_copies",
+        *[F.get("mix_posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)])
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity,
            "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate,
-           "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan}
+           "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan,
+           "op10_mixture": op10_mixture}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -60,4 +84,21 @@ ORACLES = {
              g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256
         FROM t JOIN g USING (x)""",
+    # The same chunks from the same rolling hash, told apart by their text.
+    "op2_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i, line,
+                          ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
+                   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) AS s),
+             r AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS ends
+                   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+             c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
+             k AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
+                   FROM c GROUP BY doc_id, chunk),
+             f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AND n > 1 AS gone FROM k)
+        SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks,
+               coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+               sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""",
 }
