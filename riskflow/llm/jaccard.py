@@ -17,9 +17,10 @@ Shingles are hashed to groups in two ways.
 size differs by a few sigma, which is far below the difference that the threshold allows.)
 
 Documents with equal sets are one member, so copies never meet. For components, a first round verifies
-each member with the member it shares most pivots with, a second one its best neighbour in another
-component, and the last one every pair of a cell that still lies in different components and passes the
-bound. Links within a component are not needed, so a group of near copies costs a few pairs a member.
+each member with the member it shares most pivots with; the next ones its best neighbours in other
+components, 1, 8, 64 and so on, until no member has a pair left that passes the bound in a cell, lies in
+different components and was not verified. Links within a component are not needed, so a group of near
+copies costs a few pairs a member.
 Cells above ``BLOCK`` members are searched block against block.
 """
 
@@ -250,8 +251,9 @@ def _small_cells(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
 
 
-def _search(percent: int, best: bool):
-    """Pairs (a, b) of the cells of a bucket; ``best``: of each member in a cell, only that of the largest overlap bound."""
+def _search(percent: int, most: int):
+    """Pairs (a, b, more) of the cells of a bucket: of each member in a cell the ``most`` of the largest overlap bounds;
+    ``more`` marks pairs of a member that has others."""
     def run(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([(c, "ascending") for c in ("key", "i", "j", "m", "block")]).combine_chunks()
         key, i, j, m, block, comps, sizes = (bucket[c].to_numpy() for c in ("key", "i", "j", "m", "block", "comp", "n"))
@@ -274,15 +276,17 @@ def _search(percent: int, best: bool):
         x, y = (np.concatenate([p[k] for p in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         apart = (i[x] == j[x]) | (block[x] != block[y])      # of two blocks, pairs across only
         x, y = x[apart], y[apart]
-        if best and len(x):
-            overlap = np.concatenate([np.minimum(points[x[s:s + 65536]], points[y[s:s + 65536]]).sum(axis=1)
-                                      for s in range(0, len(x), 65536)]) / (sizes[x] + sizes[y])
-            one, two, both = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([overlap, overlap])
-            order = np.lexsort((-both, one))
-            first = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
-            x, y = one[first], two[first]
-        pairs = np.unique(np.stack([np.minimum(m[x], m[y]), np.maximum(m[x], m[y])], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        overlap = np.concatenate([np.zeros(0), *[np.minimum(points[x[s:s + 65536]], points[y[s:s + 65536]]).sum(axis=1)
+                                                 for s in range(0, len(x), 65536)]]) / (sizes[x] + sizes[y])
+        one, two = np.concatenate([x, y]), np.concatenate([y, x])
+        order = np.lexsort((-np.concatenate([overlap, overlap]), one))
+        one, two = one[order], two[order]
+        begin = np.searchsorted(one, one)                    # pairs of a member are side by side, the best first
+        keep = np.arange(len(one)) - begin < most
+        more = (np.searchsorted(one, one, "right") - begin > most)[keep]
+        one, two = m[one[keep]], m[two[keep]]
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "more": more}).group_by(["a", "b"]).aggregate(
+            [("more", "max")]).rename_columns(["a", "b", "more"])
     return run
 
 
@@ -320,16 +324,20 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     first = cells.filter("m <> pivot").groupBy("m", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = first.groupBy("m").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
     first = first.select(F.least("m", "pivot").alias("a"), F.greatest("m", "pivot").alias("b")).distinct()
-    tried = materialize(first, "op7-tried")
-    links = _verified(tried, members, size, percent, "op7-links")
-    comps = components(links)
-    for best in (True, False):
-        found = _cell_pairs(cells, members, comps, percent, best, block).join(tried, ["a", "b"], "left_anti").distinct()
-        found = materialize(found, "op7-found")
-        more = _verified(found, members, size, percent, "op7-links")
-        tried, links = tried.unionByName(found), links.unionByName(more)
-        if not more.isEmpty():
-            comps = components(links)
+    tried = materialize(first, "op7-new")
+    comps = components(_verified(tried, members, size, percent, "op7-links"))
+    most = 1
+    while True:
+        found = materialize(_cell_pairs(cells, members, comps, percent, most, block), "op7-found")
+        new = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        new = materialize(new, "op7-new")
+        links = _verified(new, members, size, percent, "op7-links")
+        if not links.isEmpty():               # what is known of a component is a star of its members
+            stars = comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            comps = components(stars.unionByName(links))
+        if found.filter("more").isEmpty():
+            break
+        tried, most = tried.unionByName(new), most * 8
 
     labelled = copies.join(comps.withColumnRenamed("node", "m"), "m", "left").select(
         "m", "least", F.coalesce("comp", "m").alias("comp"))
@@ -340,16 +348,18 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent: int, best: bool, block: int) -> DataFrame:
-    """Pairs within the cells whose members lie in several components."""
+def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent: int, most: int, block: int) -> DataFrame:
+    """Pairs (a, b, more) within the cells whose members lie in several components; of cells of the same members, one."""
     labelled = cells.select("key", "m").join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn(
         "comp", F.coalesce("comp", "m"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = mixed.filter("x < y").select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    mixed = labelled.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"),
+        F.bit_xor(F.xxhash64("m")).alias("h1"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("h2")).filter("x < y")
+    mixed = mixed.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     spread = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "m", "comp", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
     buckets = max(1, -(-spread.count() // BUCKET))
     return (spread.join(members.select("m", "n", "point"), "m")
             .groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket"))
-            .applyInArrow(_search(percent, best), "a long, b long"))
+            .applyInArrow(_search(percent, most), "a long, b long, more boolean"))
