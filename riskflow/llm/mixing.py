@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from riskflow.llm.store import materialize
 
 PER_DOMAIN = 2000
-VOCABULARY = 200
+VOCABULARY = 64
 LEAST_DOCS = 5          # of the sample, that hold a word of the vocabulary
 MOST_DOMAINS = 64
 STEPS = 40
 CLOSE = 1e-7            # residual, relative to all tokens, that ends the steps
+PATIENCE = 5            # steps without a tenth less residual that end them
 
 
 class Mixture(NamedTuple):
@@ -39,17 +40,20 @@ class Mixture(NamedTuple):
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of a text (letters of any script) and its runs of other signs, in one array.
+    """Lower-case words of a text in an array: runs of a-z and of all signs beyond ASCII. It may begin or end with ''."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x60\x7B-\x7F]+")
 
-    Digits count as letters; white space only parts."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.concat(F.split(lower, r"[^\p{L}\p{N}]+"), F.split(F.regexp_replace(lower, r"[\p{L}\p{N}\s]+", " "), " "))
 
+def signs(text: Column) -> Column:
+    """Runs of ASCII punctuation in an array."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[!-/:-@\[-`{-~]+"), F.lit(0))
 
-def n_tokens(text: Column) -> Column:
-    """Number of words between white space."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+def n_tokens(found: Column) -> Column:
+    """Number of words in an array of ``words``."""
+    ends = F.when(F.element_at(found, 1) == "", 1).otherwise(0) + F.when(
+        (F.size(found) > 1) & (F.element_at(found, -1) == ""), 1).otherwise(0)
+    return (F.size(found) - ends).cast("long")
 
 
 def _doubles(values) -> str:
@@ -71,9 +75,10 @@ def _posterior(model: Mixture, present: Column) -> Column:
         lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0])[0] if k else total
 
 
-def posterior(model: Mixture, text: Column) -> Column:
+def posterior(model: Mixture, found: Column, text: Column) -> Column:
+    """``found``: the ``words`` of the text."""
     listed = F.array(*[F.lit(w) for w in model.weights]) if model.weights else F.expr("CAST(array() AS array<string>)")
-    return _posterior(model, F.array_intersect(words(text), listed))
+    return _posterior(model, F.array_intersect(F.concat(found, signs(text)), listed))
 
 
 def rate(model: Mixture, post: Column) -> Column:
@@ -96,7 +101,7 @@ def _classifier(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str
                          F.col("domain"))
     picked = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    sample = materialize(sample.select("domain", F.array_distinct(words(F.col("text"))).alias("ws")), "op10-sample")
+    sample = materialize(sample.select("domain", F.array_distinct(F.concat(words(F.col("text")), signs(F.col("text")))).alias("ws")), "op10-sample")
     seen = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = np.array([seen.get(k, 0) for k in domains], float)
     counts = (sample.select("domain", F.explode("ws").alias("w")).filter("w <> ''").groupBy("w")
@@ -128,15 +133,18 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     if not k:
         return model
     text = F.col(text_col)
-    rows = materialize(docs.select(n_tokens(text).alias("t"), posterior(model, text).alias("p")).groupBy("p").agg(
-        F.sum("t").cast("double").alias("t")), "op10-posteriors")     # equal posteriors get equal rates
+    rows = docs.select(text.alias("text"), words(text).alias("ws")).select(
+        n_tokens(F.col("ws")).cast("double").alias("t"), posterior(model, F.col("ws"), F.col("text")).alias("p"))
+    # Documents of equal posteriors get equal rates: they are one row of the fit.
+    rows = materialize(rows.groupBy(*[F.col("p")[i].alias(f"p{i}") for i in range(k)]).agg(F.sum("t").alias("t")).select(
+        F.array(*[f"p{i}" for i in range(k)]).alias("p"), "t"), "op10-posteriors")
     weight = np.array([max(0.0, float(targets.get(x, 0.0))) for x in model.domains])
     tokens = rows.agg(F.sum("t")).first()[0] or 0.0
     if not tokens or not weight.sum():
         return model
     goal = weight / weight.sum()
     p = [F.col("p")[i] for i in range(k)]
-    best = model._replace(residual=float("inf"))
+    best, history = model._replace(residual=float("inf")), []
     for _ in range(STEPS + 1):
         at = rows.withColumn("r", rate(model, F.col("p")))
         sums = at.agg(*[F.sum(F.col("r") * F.col("t") * p[i]).alias(f"s{i}") for i in range(k)],
@@ -146,7 +154,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
         left = float(np.abs(residual).max())
         if left < best.residual:
             best = model._replace(residual=left)
-        if left < CLOSE or len(model.steps) >= STEPS:
+        history.append(left)
+        stalled = len(history) > PATIENCE and min(history[-PATIENCE:]) > 0.9 * min(history[:-PATIENCE])
+        if left < CLOSE or len(model.steps) >= STEPS or stalled:
             break
         matrix = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / tokens
         step = np.linalg.solve(matrix + 1e-9 * np.eye(k), residual)
@@ -160,9 +170,10 @@ def apply(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no tokens; their posteriors are those of a text without any listed word. Repeated rows
     are rated each for itself; without domains or targets every rate is 1 (and domain null)."""
-    post = posterior(model, F.col(text_col))
     names = F.expr("array(" + ", ".join("'" + d.replace("\\", "\\\\").replace("'", "\\'") + "'" for d in model.domains) + ")")
-    out = docs.withColumn("mix_posterior", post).withColumn("mix_tokens", n_tokens(F.col(text_col)))
+    found = F.col("_mix_words")
+    out = docs.withColumn("_mix_words", words(F.col(text_col))).withColumns(
+        {"mix_posterior": posterior(model, found, F.col(text_col)), "mix_tokens": n_tokens(found)}).drop("_mix_words")
     out = out.withColumn("mix_rate", rate(model, F.col("mix_posterior")))
     top = F.element_at(names, F.array_position("mix_posterior", F.array_max("mix_posterior")).cast("int")) if model.domains \
         else F.lit(None).cast("string")
