@@ -4,7 +4,7 @@ Shingles are hashed to groups in two ways.
 
 * Cells. Sets with 100 * |A & B| >= t * |A | B| differ in r = (100 - t) * n / t elements at most, n the
   smaller size. Of more than r groups one at least holds the same elements in both, so a document is
-  put into one cell for each of its first r + 1 groups with two elements or more, keyed by the content
+  put into one cell for each of its first r + 1 groups with three elements or more, keyed by the content
   of the group: linked documents share a cell. (With too few such groups it is dealt again by another
   hash; two documents that miss each other under one hash both are.) The number of groups follows the
   size, in bands of 1 : 1.5; a document near the lower end of its band joins the band below as well.
@@ -18,7 +18,7 @@ size differs by a few sigma, which is far below the difference that the threshol
 
 Documents with equal sets are one member, so copies never meet. For components, a first round verifies
 each member with the member it shares most pivots with; the next ones its best neighbours in other
-components, 1, 8, 64 and so on, until no member has a pair left that passes the bound in a cell, lies in
+components, 2, 64 and so on, until no member has a pair left that passes the bound in a cell, lies in
 different components and was not verified. Links within a component are not needed, so a group of near
 copies costs a few pairs a member.
 Cells above ``BLOCK`` members are searched block against block.
@@ -40,7 +40,7 @@ from riskflow.llm.tokens import SLICE_BYTES, SPACED, Words, long_list, mix, slic
 
 WORDS = 3
 PERCENT = 90
-DIMENSIONS = 64
+DIMENSIONS = 256
 BLOCK = 20_000          # members of a cell that are searched as one
 BUCKET = 20_000         # rows of whole cells that are searched in one call, about
 LEAF = 16
@@ -86,7 +86,7 @@ def cell_keys(items: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
     out = []
     for b in bands:
         allowed = (int(ends[b + 1]) - 1) * (100 - percent) // percent
-        groups = allowed + 3 + allowed // 25
+        groups = allowed + 4 + allowed // 5
         for deal in range(_DEALS):
             mixed = mix(items ^ np.uint64((0x9E3779B97F4A7C15 * (deal + 1)) & ((1 << 64) - 1)))
             group = (mixed % np.uint64(groups)).astype(np.int64)
@@ -94,7 +94,7 @@ def cell_keys(items: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
             count = np.bincount(group, minlength=groups)
             begin = np.cumsum(count) - count
             last = deal == _DEALS - 1
-            strong = np.flatnonzero(count >= (0 if last else 2))[:allowed + 1]
+            strong = np.flatnonzero(count >= (0 if last else 3))[:allowed + 1]
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(mixed)[order], dtype=np.uint64)])
             content = sums[begin[strong] + count[strong]] - sums[begin[strong]]
             place = strong.astype(np.uint64) + np.uint64(((b * _DEALS + deal) << 32) + 1)
@@ -141,7 +141,7 @@ def _sets(packed: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def point(items: np.ndarray) -> np.ndarray:
-    return np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS)
+    return np.bincount((items >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS)
 
 
 def _points(size: int):
@@ -325,19 +325,18 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     first = first.groupBy("m").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
     first = first.select(F.least("m", "pivot").alias("a"), F.greatest("m", "pivot").alias("b")).distinct()
     tried = materialize(first, "op7-new")
-    comps = components(_verified(tried, members, size, percent, "op7-links"))
-    most = 1
+    comps = materialize(_merged(members.select(F.col("m").alias("node"), F.col("m").alias("comp")),
+                                _verified(tried, members, size, percent, "op7-links")), "op7-comps")
+    most = 2
     while True:
         found = materialize(_cell_pairs(cells, members, comps, percent, most, block), "op7-found")
-        new = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        new = materialize(new, "op7-new")
+        new = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "op7-new")
         links = _verified(new, members, size, percent, "op7-links")
-        if not links.isEmpty():               # what is known of a component is a star of its members
-            stars = comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-            comps = components(stars.unionByName(links))
+        if not links.isEmpty():
+            comps = materialize(_merged(comps, links), "op7-comps")
         if found.filter("more").isEmpty():
             break
-        tried, most = tried.unionByName(new), most * 8
+        tried, most = tried.unionByName(new), most * 32
 
     labelled = copies.join(comps.withColumnRenamed("node", "m"), "m", "left").select(
         "m", "least", F.coalesce("comp", "m").alias("comp"))
@@ -348,10 +347,17 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the links (a, b): components are joined as wholes, not node by node."""
+    a, b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    wholes = links.join(a, "a").join(b, "b").filter("ca <> cb").select("ca", "cb").distinct()
+    joined = components(wholes, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    return comps.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+
+
 def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent: int, most: int, block: int) -> DataFrame:
     """Pairs (a, b, more) within the cells whose members lie in several components; of cells of the same members, one."""
-    labelled = cells.select("key", "m").join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn(
-        "comp", F.coalesce("comp", "m"))
+    labelled = cells.select("key", "m").join(comps.withColumnRenamed("node", "m"), "m")
     mixed = labelled.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"),
         F.bit_xor(F.xxhash64("m")).alias("h1"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("h2")).filter("x < y")
