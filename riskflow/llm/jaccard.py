@@ -252,7 +252,7 @@ def _small_cells(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _search(percent: int, most: int):
-    """Pairs (a, b, more) of the cells of a bucket: of each member in a cell the ``most`` of the largest overlap bounds;
+    """Pairs (a, b, more) of the cells of a bucket: of each member the ``most`` of the largest overlap bounds;
     ``more`` marks pairs of a member that has others."""
     def run(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([(c, "ascending") for c in ("key", "i", "j", "m", "block")]).combine_chunks()
@@ -276,15 +276,20 @@ def _search(percent: int, most: int):
         x, y = (np.concatenate([p[k] for p in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         apart = (i[x] == j[x]) | (block[x] != block[y])      # of two blocks, pairs across only
         x, y = x[apart], y[apart]
+        a, b = np.minimum(m[x], m[y]), np.maximum(m[x], m[y])
+        order = np.lexsort((b, a))                           # a pair may share many cells of the bucket: once is enough
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        x, y, a, b = (v[order[new]] for v in (x, y, a, b))
         overlap = np.concatenate([np.zeros(0), *[np.minimum(points[x[s:s + 65536]], points[y[s:s + 65536]]).sum(axis=1)
                                                  for s in range(0, len(x), 65536)]]) / (sizes[x] + sizes[y])
-        one, two = np.concatenate([x, y]), np.concatenate([y, x])
+        one, two = np.concatenate([a, b]), np.concatenate([b, a])
         order = np.lexsort((-np.concatenate([overlap, overlap]), one))
         one, two = one[order], two[order]
         begin = np.searchsorted(one, one)                    # pairs of a member are side by side, the best first
         keep = np.arange(len(one)) - begin < most
         more = (np.searchsorted(one, one, "right") - begin > most)[keep]
-        one, two = m[one[keep]], m[two[keep]]
+        one, two = one[keep], two[keep]
         return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "more": more}).group_by(["a", "b"]).aggregate(
             [("more", "max")]).rename_columns(["a", "b", "more"])
     return run
@@ -361,11 +366,17 @@ def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent:
     mixed = labelled.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"),
         F.bit_xor(F.xxhash64("m")).alias("h1"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("h2")).filter("x < y")
-    mixed = mixed.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    mixed = mixed.groupBy("c", "h1", "h2").agg(F.min("key").alias("key"), F.min("x").alias("x"))
+    mixed = materialize(mixed.select("key", "c", "x"), "op7-mixed")
+    # Cells with the same least component mostly hold the same members: they are searched together, as far as
+    # about BUCKET rows hold them, so that a pair which shares many cells is met once.
+    parts = mixed.groupBy("x").agg(F.ceil(F.sum("c") / BUCKET).cast("int").alias("parts"))
+    mixed = mixed.join(parts, "x").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select(
+        "key", "x", "part", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     spread = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "m", "comp", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
+        "key", "x", "part", "m", "comp", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
     buckets = max(1, -(-spread.count() // BUCKET))
     return (spread.join(members.select("m", "n", "point"), "m")
-            .groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket"))
+            .groupBy(F.pmod(F.xxhash64("x", "part", "i", "j"), F.lit(buckets)).alias("bucket"))
             .applyInArrow(_search(percent, most), "a long, b long, more boolean"))
