@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators import blocks, features, woe
 from riskflow.operators.joins import star_join
+from riskflow.sources.io import read_csv
 from riskflow.sources.schemas import APPLICATION_CATEGORICALS, CREDIT_SOURCES
 
 KEY = "SK_ID_CURR"
@@ -26,8 +27,7 @@ def read_credit_tables(spark: SparkSession, base_dir: str, fmt: str = "csv") ->
     out = {}
     for name, schema in CREDIT_SOURCES.items():
         path = f"{base_dir.rstrip('/')}/{name}.{fmt}"
-        r = spark.read.schema(schema)
-        out[name] = (r.option("header", True).option("nullValue", "").csv(path) if fmt == "csv" else r.parquet(path))
+        out[name] = read_csv(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).parquet(path)
     return out
 
 

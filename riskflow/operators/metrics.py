@@ -53,7 +53,7 @@ def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] =
                .withColumn("next_n", F.coalesce(F.lead("n").over(w_in), F.col("_next_head.n")))
                .withColumnRenamed("cum_p", "cp").withColumnRenamed("cum_n", "cn")
                .drop("_head", "_next_head", "_b"))
-    return pts.drop("_all") if "_all" in g else pts
+    return pts if groups else pts.drop("_all")
 
 
 def rank_metrics(df: DataFrame, label: str = "label", score: str = "prob", groups: Sequence[str] = (),

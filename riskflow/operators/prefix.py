@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.literals import struct_array
+from riskflow.session import cut_lineage
 
 
 def _g(groups) -> list[str]:
@@ -39,7 +40,8 @@ def with_buckets(hist: DataFrame, value: str, groups: Sequence[str], buckets: in
     within a group. ``buckets`` fixes the number of ranges (default: shuffle partitions)."""
     keys = [*_g(groups), value]
     h = hist.repartitionByRange(buckets, *keys) if buckets else hist.repartitionByRange(*keys)
-    return h.withColumn("_b", F.spark_partition_id())
+    # The boundaries are sampled: written once, so that offsets and rows read the same bucket ids.
+    return cut_lineage(h.withColumn("_b", F.spark_partition_id()))
 
 
 def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str] = (),
@@ -70,7 +72,10 @@ def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Seq
     order_v = F.col(value).desc() if descending else F.col(value).asc()
     w_in = Window.partitionBy(*g, "_b").orderBy(order_v)
     run = w_in.rowsBetween(Window.unboundedPreceding, 0)
-    out = h.join(bt, [*g, "_b"], "inner")
+    # A NULL group is a group like any other.
+    names = {c: f"_k_{c}" for c in [*g, "_b"]}
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    out = h.join(bt.withColumnsRenamed(names), same, "inner").drop(*names.values())
     for w in weights:
         out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(run)).drop(f"_off_{w}")
     return out, w_in

@@ -102,7 +102,9 @@ def applicable(df: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
 def with_violations(df: DataFrame, rules: Sequence[Rule], out: str = "violations") -> DataFrame:
     """Q-06: ``violations`` array (rule order) and ``is_valid``."""
     rs = applicable(df, rules)
-    v = F.array_compact(F.array(*[r.expr() for r in rs])) if rs else F.array().cast("array<string>")
+    absent = [F.lit(r.name) for r in rules if r.name.startswith("required:") and not set(r.cols) <= set(df.columns)]
+    checks = [*absent, *[r.expr() for r in rs]]      # a required column that is absent fails every row
+    v = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
     return df.withColumn(out, v).withColumn("is_valid", F.size(out) == 0)
 
 

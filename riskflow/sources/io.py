@@ -31,10 +31,15 @@ def unique_path(spark: SparkSession, name: str, base: str | None = None) -> str:
 # ------------------------------------------------------------------ IO-01 / IO-02 / IO-04
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
-    """IO-01: CSV with header and an explicit schema (no inference pass); empty fields are NULL.
+    """IO-01: CSV with header; the columns of ``schema`` are taken by name, in any order in the file, and cast
+    (no inference pass); further columns are ignored, empty fields are NULL, a column that is absent raises.
     IO-02: ``limit`` bounds the scan (the feature of the bounded loader)."""
-    df = (spark.read.schema(schema).option("header", True).option("nullValue", "")
-          .option("mode", "PERMISSIVE").csv(path))
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).option("nullValue", "").option("mode", "PERMISSIVE").csv(path)
+    absent = [f.name for f in wanted if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"columns absent from {path}: {', '.join(absent)}")
+    df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
     return df.limit(limit) if limit else df
 
 
@@ -152,7 +157,7 @@ def feature_names(registry: DataFrame, importance: DataFrame | None = None) -> D
     names = registry.select(F.explode_outer("feature_names").alias("feature")).filter(F.col("feature").isNotNull())
     if importance is None:
         return names
-    return names.unionByName(importance.select("feature").join(names, "feature", "left_anti"))
+    return importance.select("feature") if names.isEmpty() else names
 
 
 # ------------------------------------------------------------------ IO-12 / IO-13
