@@ -17,10 +17,11 @@ Shingles are hashed to groups in two ways.
 size differs by a few sigma, which is far below the difference that the threshold allows.)
 
 Documents with equal sets are one member, so copies never meet. For components, a first round verifies
-each member with the member it shares most pivots with; the next ones its best neighbours in other
-components, 2, 64 and so on, until no member has a pair left that passes the bound in a cell, lies in
-different components and was not verified. Links within a component are not needed, so a group of near
-copies costs a few pairs a member.
+each member with the member it shares most pivots with. The pairs that pass the bound in a cell and lie in
+different components are then a graph of components: a round verifies the edges of a spanning forest of it
+(if all are links, the components are found), the next one those of 8 forests, later ones the best 64, 2048 and
+so on of each member, until no such pair is left unverified. Links within a component are not needed, so a
+group of near copies costs about a pair a member.
 Cells above ``BLOCK`` members are searched block against block.
 """
 
@@ -251,12 +252,57 @@ def _small_cells(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
 
 
-def _search(percent: int, most: int):
-    """Pairs (a, b, more) of the cells of a bucket: of each member the ``most`` of the largest overlap bounds;
-    ``more`` marks pairs of a member that has others."""
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the edges of a spanning forest (Boruvka); edges come with the best first."""
+    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = ends[:len(x)], ends[len(x):]
+    label, left, taken = np.arange(len(names)), np.arange(len(x)), [np.zeros(0, np.int64)]
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return np.unique(np.concatenate(taken))
+        best = np.full(len(names), len(x))
+        np.minimum.at(best, label[x[left]], left)
+        np.minimum.at(best, label[y[left]], left)
+        roots = np.flatnonzero(best < len(x))
+        pick = best[roots]
+        taken.append(pick)
+        up = np.arange(len(names))
+        up[roots] = label[x[pick]] + label[y[pick]] - roots      # the other end
+        mutual = roots[(up[up[roots]] == roots) & (roots < up[roots])]
+        up[mutual] = mutual
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _forests(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+    """Mask of the edges of ``count`` spanning forests that share no edge, the best edges first."""
+    keep, left = np.zeros(len(x), bool), np.arange(len(x))
+    for _ in range(count):
+        part = _forest(x[left], y[left])
+        keep[left[part]] = True
+        left = np.delete(left, part)
+    return keep
+
+
+def _best(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the pairs that are among the first ``most`` of either member; pairs come with the best first."""
+    keep, places = np.zeros(len(a), bool), np.arange(len(a))
+    ends, place = np.concatenate([a, b]), np.concatenate([places, places])
+    order = np.lexsort((place, ends))
+    ends = ends[order]
+    keep[place[order][np.arange(len(ends)) - np.searchsorted(ends, ends) < most]] = True
+    return keep
+
+
+def _search(percent: int, forests: int, most: int):
+    """Pairs (a, b, more) of the cells of a bucket: the edges of ``forests`` spanning forests of the components, or
+    (``forests`` 0) of each member the ``most`` of the largest overlap bounds; ``more``: the bucket has others."""
     def run(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([(c, "ascending") for c in ("key", "i", "j", "m", "block")]).combine_chunks()
         key, i, j, m, block, comps, sizes = (bucket[c].to_numpy() for c in ("key", "i", "j", "m", "block", "comp", "n"))
+        comps = np.unique(comps, return_inverse=True)[1]          # fingerprints may be negative; -1 stands for several
         points = bucket["point"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS).astype(np.int32)
         new = np.ones(len(m), bool)
         new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
@@ -283,15 +329,11 @@ def _search(percent: int, most: int):
         x, y, a, b = (v[order[new]] for v in (x, y, a, b))
         overlap = np.concatenate([np.zeros(0), *[np.minimum(points[x[s:s + 65536]], points[y[s:s + 65536]]).sum(axis=1)
                                                  for s in range(0, len(x), 65536)]]) / (sizes[x] + sizes[y])
-        one, two = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.lexsort((-np.concatenate([overlap, overlap]), one))
-        one, two = one[order], two[order]
-        begin = np.searchsorted(one, one)                    # pairs of a member are side by side, the best first
-        keep = np.arange(len(one)) - begin < most
-        more = (np.searchsorted(one, one, "right") - begin > most)[keep]
-        one, two = one[keep], two[keep]
-        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "more": more}).group_by(["a", "b"]).aggregate(
-            [("more", "max")]).rename_columns(["a", "b", "more"])
+        order = np.lexsort((b, a, -overlap))                 # the best first
+        x, y, a, b = (v[order] for v in (x, y, a, b))
+        keep = _forests(comps[x], comps[y], forests) if forests else _best(a, b, most)
+        more = np.full(int(keep.sum()), not keep.all())
+        return pa.table({"a": a[keep], "b": b[keep], "more": more})
     return run
 
 
@@ -332,16 +374,15 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     tried = materialize(first, "op7-new")
     comps = materialize(_merged(members.select(F.col("m").alias("node"), F.col("m").alias("comp")),
                                 _verified(tried, members, size, percent, "op7-links")), "op7-comps")
-    most = 2
-    while True:
-        found = materialize(_cell_pairs(cells, members, comps, percent, most, block), "op7-found")
+    for forests, most in _rounds():
+        found = materialize(_cell_pairs(cells, members, comps, percent, forests, most, block), "op7-found")
         new = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "op7-new")
         links = _verified(new, members, size, percent, "op7-links")
         if not links.isEmpty():
             comps = materialize(_merged(comps, links), "op7-comps")
         if found.filter("more").isEmpty():
             break
-        tried, most = tried.unionByName(new), most * 32
+        tried = tried.unionByName(new)
 
     labelled = copies.join(comps.withColumnRenamed("node", "m"), "m", "left").select(
         "m", "least", F.coalesce("comp", "m").alias("comp"))
@@ -352,6 +393,16 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _rounds() -> Iterator[tuple[int, int]]:
+    """Forests of a round, then pairs of a member; without end."""
+    yield 1, 0
+    yield 8, 0
+    most = 64
+    while True:
+        yield 0, most
+        most *= 32
+
+
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after the links (a, b): components are joined as wholes, not node by node."""
     a, b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
@@ -360,7 +411,8 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
 
 
-def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent: int, most: int, block: int) -> DataFrame:
+def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent: int, forests: int, most: int,
+                block: int) -> DataFrame:
     """Pairs (a, b, more) within the cells whose members lie in several components; of cells of the same members, one."""
     labelled = cells.select("key", "m").join(comps.withColumnRenamed("node", "m"), "m")
     mixed = labelled.groupBy("key").agg(
@@ -379,4 +431,4 @@ def _cell_pairs(cells: DataFrame, members: DataFrame, comps: DataFrame, percent:
     buckets = max(1, -(-spread.count() // BUCKET))
     return (spread.join(members.select("m", "n", "point"), "m")
             .groupBy(F.pmod(F.xxhash64("x", "part", "i", "j"), F.lit(buckets)).alias("bucket"))
-            .applyInArrow(_search(percent, most), "a long, b long, more boolean"))
+            .applyInArrow(_search(percent, forests, most), "a long, b long, more boolean"))
