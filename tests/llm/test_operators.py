@@ -415,3 +415,36 @@ def test_mixture_cuts_rates_at_zero(spark):
     assert min(r.mix_rate for r in out) == 0 or model.residual < 1e-3
     assert all(r.mix_rate >= 0 for r in out)
     assert sum(r.mix_rate * r.mix_tokens for r in out if r.doc_id % 4 == 0) > 0.95 * sum(r.mix_rate * r.mix_tokens for r in out)
+
+
+def test_jaccard_forests():
+    x, y = np.array([7, 7, 5, 7, 3]), np.array([5, 5, 3, 3, 9])        # best edges first; 7-5 twice
+    assert jaccard._forests(x, y, 1).tolist() == [True, False, True, False, True]
+    assert jaccard._forests(x, y, 2).tolist() == [True, True, True, True, True]
+    assert jaccard._forests(x[:0], y[:0], 8).tolist() == []
+
+
+def test_jaccard_forest_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = rng.integers(-20, 20, (2, 60))
+        keep = jaccard._forest(x, y)
+
+        def labels(places):
+            label = {n: n for n in np.concatenate([x, y]).tolist()}
+            for p in places:
+                a, b = label[int(x[p])], label[int(y[p])]
+                label = {n: a if v == b else v for n, v in label.items()}
+            return label
+        full, part = labels(range(len(x))), labels(keep)
+        assert len(set(full.values())) == len(set(part.values()))
+        assert len(keep) == len(full) - len(set(full.values()))          # no edge too many
+
+
+@pytest.mark.parametrize("comps,pairs", [([-5, -5], 0), ([-5, 3], 1), ([4, 4], 0)])
+def test_jaccard_search_leaves_out_pairs_within_a_component(comps, pairs):
+    point = jaccard.point(np.arange(40, dtype=np.uint64) << np.uint64(56)).astype(np.int32)
+    bucket = pa.table({"key": [1, 1], "i": [0, 0], "j": [0, 0], "block": [0, 0], "m": [11, -12], "n": [40, 40],
+                       "comp": comps, "point": [point, point]})
+    for forests, most in ((1, 0), (0, 2)):
+        assert jaccard._search(90, forests, most)(bucket).num_rows == pairs
