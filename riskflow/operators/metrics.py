@@ -37,6 +37,13 @@ def _g(groups) -> list[str]:
     return [groups] if isinstance(groups, str) else list(groups)
 
 
+def _join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Inner join on the group columns; a NULL group is a group like any other."""
+    names = {c: f"_r_{c}" for c in groups}
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    return left.join(right.withColumnsRenamed(names), same, "inner").drop(*names.values())
+
+
 def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
                  buckets: int | None = None) -> DataFrame:
     """One row per (groups, distinct score) with p, n, inclusive descending running totals
@@ -112,7 +119,7 @@ def full_metrics(df: DataFrame, label: str = "label", score: str = "prob", thres
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
     r = rank_metrics(df, label, score, g, buckets)
     c = confusion_at(df, label, score, threshold, g).withColumn("threshold", F.lit(float(threshold)))
-    out = r.join(c, g, "inner")
+    out = _join_groups(r, c, g)
     return out.drop("_all") if "_all" in g else out
 
 
@@ -168,11 +175,13 @@ def report_at_cuts(df: DataFrame, cuts: DataFrame, label: str = "label", score:
     g = _g(groups) or ["_all"]
     d = df if "_all" not in g else df.withColumn("_all", F.lit(0))
     c = cuts if "_all" not in g else cuts.withColumn("_all", F.lit(0))
-    pred = F.col(score) >= F.col("threshold")
     y = F.col(label) == 1
-    conf = (d.select(*g, label, score).join(c, g, "inner")
-             .groupBy(*g, "cut", "threshold")
-             .agg(F.count_if(pred & y).alias("TP"), F.count_if(pred & ~y).alias("FP"),
-                  F.count_if(~pred & ~y).alias("TN"), F.count_if(~pred & y).alias("FN")))
-    out = with_rates(conf).join(rank_metrics(d, label, score, g), g, "inner")
+    # The rows are collapsed to distinct scores before they meet the cuts.
+    hist = d.groupBy(*g, F.col(score).alias("_s")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+    conf = (_join_groups(hist, c, g).withColumn("_pred", F.col("_s") >= F.col("threshold"))
+            .groupBy(*g, "cut", "threshold")
+            .agg(*[F.coalesce(F.sum(F.when(side, F.col(w))), F.lit(0)).alias(x) for x, side, w in (
+                ("TP", F.col("_pred"), "_p"), ("FP", F.col("_pred"), "_n"),
+                ("TN", ~F.col("_pred"), "_n"), ("FN", ~F.col("_pred"), "_p"))]))
+    out = _join_groups(with_rates(conf), rank_metrics(d, label, score, g), g)
     return out.drop("_all") if "_all" in g else out

@@ -3,8 +3,8 @@
 The sweep never pairs rows with cuts. Each distinct score s maps to
 k(s) = number of cuts <= s (a fixed 98-element literal array, filtered per
 distinct score), the histogram is reduced to at most 99 rows per group, and
-those rows are expanded over the cuts they pass (``sequence``/``explode``)
-into the dense (group x cut) table, which is at most 98 rows per group.
+each of the 98 cuts sums the rows on its two sides in an array expression:
+one scan, no join.
 """
 
 from __future__ import annotations
@@ -42,19 +42,14 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "prob", gr
               .groupBy(*g, "s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t")))
     hk = (hist.withColumn("k", F.size(F.filter(grid, lambda c: c <= F.col("s"))))
               .groupBy(*g, "k").agg(F.sum("p").alias("p"), F.sum(F.col("t") - F.col("p")).alias("n")))
-    # Rows passing cut i (i < k) count as predicted positive at cut i.
-    passed = (hk.filter(F.col("k") > 0)
-                .select(*g, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "p", "n"))
-    totals = hk.groupBy(*g).agg(F.sum("p").alias("P_all"), F.sum("n").alias("N_all"))
-    dense = totals.select(*g, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"),
-                          F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
-    counts = (passed.unionByName(dense).groupBy(*g, "i")
-                    .agg(F.sum("p").alias("TP"), F.sum("n").alias("FP"))
-                    .join(totals, g, "inner"))
-    counts = (counts.withColumn("FN", F.col("P_all") - F.col("TP"))
-                    .withColumn("TN", F.col("N_all") - F.col("FP"))
-                    .withColumn("threshold", round_double(F.element_at(grid, F.col("i") + 1), 2))
-                    .drop("P_all", "N_all"))
+    # At most 99 rows per group: rows passing cut i (i < k) count as predicted positive at cut i.
+    per = hk.groupBy(*g).agg(F.collect_list(F.struct("k", "p", "n")).alias("h")).select(
+        *g, "h", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
+
+    def total(w: str, side: str):
+        return F.expr(f"aggregate(filter(h, x -> x.k {side} i), 0L, (acc, x) -> acc + coalesce(x.{w}, 0L))").alias
+    counts = per.select(*g, "i", total("p", ">")("TP"), total("n", ">")("FP"), total("p", "<=")("FN"),
+                        total("n", "<=")("TN"), round_double(F.element_at(grid, F.col("i") + 1), 2).alias("threshold"))
     r = with_rates(counts)
     out = r.select(
         *g, "i", "threshold",
@@ -70,21 +65,15 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "prob", gr
 
 def threshold_optima(sweep: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """V-12: best cut by F1, by Youden J (max) and by cost (min); ties go to the lowest cut.
-    Each window runs over the sweep table (at most 98 rows per group)."""
+    One aggregate over the sweep table (at most 98 rows per group); a NULL group is a group."""
     g = _g(groups)
-    if not g:
-        sweep, g = sweep.withColumn("_all", F.lit(0)), ["_all"]
-    part = Window.partitionBy(*g)
-
-    def pick(metric: str, desc: bool) -> DataFrame:
-        o = F.col(metric).desc() if desc else F.col(metric).asc()
-        return (sweep.withColumn("_r", F.row_number().over(part.orderBy(o, F.col("threshold"))))
-                     .filter("_r = 1").select(*g, F.col("threshold").alias(f"t_{metric}"),
-                                              F.col(metric).alias(f"best_{metric}")))
-    out = pick("f1", True)
-    for metric, desc in (("youden_j", True), ("biz_cost", False)):
-        out = out.join(pick(metric, desc), g, "inner")
-    return out.drop("_all") if "_all" in g else out
+    columns = []
+    for metric, pick, tie in (("f1", F.max_by, -F.col("threshold")), ("youden_j", F.max_by, -F.col("threshold")),
+                              ("biz_cost", F.min_by, F.col("threshold"))):
+        best = pick(F.struct("threshold", metric), F.struct(F.col(metric), tie))
+        columns += [best["threshold"].alias(f"t_{metric}"), best[metric].alias(f"best_{metric}")]
+    out = sweep.groupBy(*g).agg(*columns)
+    return out if g else out.filter("t_f1 is not null")       # no row for an empty sweep
 
 
 # The reference blend grid, w1, w2 over np.arange(0.3, 0.7, 0.1), w3 = 1 - w1 - w2 kept in [0, 0.4].
