@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.joins import bounded_broadcast
+from riskflow.session import cut_lineage
 
 MISSING = "__MISSING__"
 # IV strength bands of the reference report (E-03).
@@ -79,16 +80,21 @@ def information_value(woe_map: DataFrame) -> DataFrame:
 
 
 def woe_transform(df: DataFrame, woe_map: DataFrame, cols: Sequence[str], suffix: str = "_WOE") -> DataFrame:
-    """E-04 / J-04: add ``<col>_WOE`` for each column; unseen categories get 0.0 (N14).
+    """E-04 / J-04: add ``<col>_WOE`` for each column; unseen categories get 0.0 (N14)."""
+    return _apply_map(df, woe_map, cols, [], suffix)
 
-    One equi-join per column against that column's slice of the map, broadcast
-    only after its row count is checked."""
+
+def _apply_map(df: DataFrame, woe_map: DataFrame, cols: Sequence[str], keys: Sequence[str], suffix: str) -> DataFrame:
+    """The map (one row per category) is written once, so fitting it is not planned again for every column; then
+    one equi-join per column with its slice, broadcast where its counted rows allow it."""
+    woe_map = cut_lineage(woe_map.filter(F.col("column").isin(list(cols))).select(*keys, "column", "category", "woe"))
+    sizes = {r["column"]: r["n"] for r in woe_map.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        m = (woe_map.filter(F.col("column") == c)
-                    .select(F.col("category").alias(f"_cat_{c}"), F.col("woe").alias(f"{c}{suffix}")))
+        m = woe_map.filter(F.col("column") == c).select(
+            *keys, F.col("category").alias(f"_cat_{c}"), F.col("woe").alias(f"{c}{suffix}"))
         out = (out.withColumn(f"_cat_{c}", _category(c))
-                  .join(bounded_broadcast(m), f"_cat_{c}", "left")
+                  .join(bounded_broadcast(m, sizes.get(c, 0)), [*keys, f"_cat_{c}"], "left")
                   .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(0.0)))
                   .drop(f"_cat_{c}"))
     return out
@@ -113,15 +119,7 @@ def woe_fit_oof(df: DataFrame, label: str, cols: Sequence[str], fold: str = "fol
 def woe_transform_oof(df: DataFrame, oof_map: DataFrame, cols: Sequence[str], fold: str = "fold",
                       suffix: str = "_WOE") -> DataFrame:
     """E-05 transform: each row is encoded with the map of its own fold (unseen -> 0.0)."""
-    out = df
-    for c in cols:
-        m = (oof_map.filter(F.col("column") == c)
-                    .select(F.col(fold), F.col("category").alias(f"_cat_{c}"), F.col("woe").alias(f"{c}{suffix}")))
-        out = (out.withColumn(f"_cat_{c}", _category(c))
-                  .join(bounded_broadcast(m), [fold, f"_cat_{c}"], "left")
-                  .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(0.0)))
-                  .drop(f"_cat_{c}"))
-    return out
+    return _apply_map(df, oof_map, cols, [fold], suffix)
 
 
 # ------------------------------------------------------------------ Spark ML wrappers

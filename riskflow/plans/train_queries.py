@@ -131,6 +131,15 @@ def calibrate_scores(spark, sf_dir):
     return finish(C.isotonic_calibration(oof, "label", "prob", "prob_calibrated").select("id", "label", "prob", "prob_calibrated"))
 
 
+@register("calibrate_sigmoid")
+def calibrate_sigmoid(spark, sf_dir):
+    """M-14: sigmoid calibration of the logistic OOF scores on their log odds."""
+    oof, _ = TR.cross_validate(labelled(spark, sf_dir), TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K)
+    p = F.least(F.greatest("prob", F.lit(1e-15)), F.lit(1 - 1e-15))
+    return finish(C.platt_scaling(oof.withColumn("margin", F.ln(p / (1 - p))), "label", "margin", "prob_calibrated").select(
+        "id", "label", "prob", "prob_calibrated"))
+
+
 def _linear(spark, sf_dir):
     d = labelled(spark, sf_dir)
     model = TR.fit(d, TR.LOGISTIC, FEATURES, "label")

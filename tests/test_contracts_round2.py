@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow.operators import metrics, profile, validate
+from riskflow.operators import metrics, profile, thresholds, validate, woe
 from riskflow.sources import io
 
 
@@ -58,3 +58,32 @@ def test_feature_names_fall_back_only_without_any(spark):
     none = spark.createDataFrame([(None,)], "feature_names array<string>")
     assert [r.feature for r in io.feature_names(reg, imp).collect()] == ["a", "b"]
     assert [r.feature for r in io.feature_names(none, imp).collect()] == ["b", "zz"]
+
+
+def test_sweep_keeps_null_groups_and_scans_once(spark):
+    df = scored(spark)
+    sweep = thresholds.threshold_sweep(df, "label", "prob", ["g"])
+    assert "Join" not in sweep._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.g, r.threshold): r for r in sweep.collect()}
+    assert len(rows) == 2 * 98
+    data = [(r.g, r.prob, r.label) for r in df.collect()]
+    for g, cut in (("a", 0.25), (None, 0.5)):
+        mine = [(p, y) for h, p, y in data if h == g]
+        r = rows[g, cut]
+        assert (r.TP, r.FP) == (sum(p >= cut and y == 1 for p, y in mine), sum(p >= cut and y == 0 for p, y in mine))
+        assert r.TP + r.FN + r.FP + r.TN == 1000
+    optima = {r.g: r for r in thresholds.threshold_optima(sweep, ["g"]).collect()}
+    for g in ("a", None):
+        mine = sorted((r for (h, _), r in rows.items() if h == g), key=lambda r: r.threshold)
+        assert optima[g].t_f1 == max(mine, key=lambda r: r.f1).threshold
+        assert optima[g].t_biz_cost == min(mine, key=lambda r: r.biz_cost).threshold
+    cuts = spark.createDataFrame([("a", "x", 0.25), (None, "x", 0.5)], "g string, cut string, threshold double")
+    report = {r.g: r for r in metrics.report_at_cuts(df, cuts, "label", "prob", ["g"]).collect()}
+    assert set(report) == {"a", None} and report[None].TP == rows[None, 0.5].TP and report["a"].FP == rows["a", 0.25].FP
+
+
+def test_woe_map_is_fitted_once(spark):
+    df = scored(spark).withColumn("h", F.col("g"))
+    plan = woe.woe_transform(df, woe.woe_fit(df, "label", ["g", "h"]), ["g", "h"])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert plan.filter("g_WOE is null or g_WOE <> h_WOE").count() == 0 and plan.count() == 2000
