@@ -7,7 +7,9 @@ one. The exact rank is a distributed prefix sum: the first three hex digits
 of the hash give 65536 buckets (uniform by construction, so a class holding a
 third of all rows is still spread evenly), bucket counts form a small table
 whose running totals give each bucket's offset, and ``row_number`` runs only
-inside a (class, bucket) partition.
+inside a (class, bucket) partition. Rows without a label are a class of
+their own; rows without an id come last in their class, in buckets by a hash
+of the whole row. No row is lost.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ def fold_hash(id_col: str, seed: int):
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
-    """W-01: add ``fold`` in [0, k) stratified by ``label``."""
-    h = fold_hash(id_col, seed)
-    d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
-    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wb = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    """W-01: add ``fold`` in [0, k) stratified by ``label``; a NULL label is a class of its own."""
+    h, n = fold_hash(id_col, seed), 16 ** HASH_BUCKET_HEX
+    known = F.conv(F.substring("_h", 1, HASH_BUCKET_HEX), 16, 10).cast("int")
+    rest = (F.lit(n) + F.pmod(F.xxhash64(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))), F.lit(n))).cast("int")
+    d = df.withColumn("_h", h).withColumn("_b", F.when(F.col("_h").isNull(), rest).otherwise(known))
+    counts = d.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.partitionBy("_l").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))
-    # Offsets table: classes x 65536 buckets (binary label: at most 131072 rows).
-    return (d.join(bounded_broadcast(offs, bound=2 * 16 ** HASH_BUCKET_HEX), [label, "_b"], "inner")
+    # Offsets table: classes x buckets (binary label or NULL, id or NULL: at most 3 x 131072 rows).
+    on = F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_bucket"))
+    return (d.join(bounded_broadcast(offs, bound=6 * n), on, "inner")
              .withColumn(out, ((F.col("_off") + rn - 1) % F.lit(k)).cast("int"))
-             .drop("_h", "_b", "_off"))
+             .select(label, *[f"`{c}`" for c in df.columns if c not in (label, out)], out))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

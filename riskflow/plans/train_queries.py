@@ -37,14 +37,15 @@ def _text_features(df):
 
 
 def labelled(spark, sf_dir):
-    """Labelled documents with text features, stratified folds and fold-safe WoE (E-05).
+    """Labelled documents with text features, stratified folds and fold-safe WoE (E-05); rows without a label
+    cannot be fitted and are left out here, not by the folds.
 
     Materialized once by a reliable checkpoint in the shared folder: every fold fit
     and every optimizer iteration then starts from the checkpoint, not the full plan."""
     lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
     doc = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source",
                                                         F.col("n_chars").cast("double").alias("n_chars"))
-    d = _text_features(lab.join(doc, "doc_id", "inner")).drop("text")
+    d = _text_features(lab.filter("label IS NOT NULL").join(doc, "doc_id", "inner")).drop("text")
     d = FO.stratified_folds(d, "doc_id", "label", K, SEED)
     m = W.woe_fit_oof(d, "label", CATS, "fold", K)
     out = W.woe_transform_oof(d, m, CATS, "fold").withColumn("quality", F.col("quality").cast("double"))
