@@ -55,7 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the rate at which each is to be drawn."""
+    """All documents, each once, with the rate at which it is to be drawn. The rate is the decision: rows meet the
+    target weights only where a reader takes each ``mix_copies`` times (0: not at all) or weighs it by ``mix_rate``."""
     model = mixing.fit(docs, domains(read_docs(spark, sf_dir, "labels")), TARGETS)
     return mixing.apply(docs, model)
 
