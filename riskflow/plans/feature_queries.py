@@ -275,7 +275,7 @@ def instalment_block(spark, sf_dir):
 # ---------------------------------------------------------------- J-02 star join
 
 def star_features(spark, sf_dir):
-    """J-02: application features + four history blocks, all left-joined on the applicant key.
+    """J-02: application features + five history blocks, all left-joined on the applicant key.
 
     Each block has one row per key, so every join is 1:1 on ``SK_ID_CURR``;
     AQE turns sides whose measured size is small into broadcasts at run time
@@ -287,6 +287,7 @@ def star_features(spark, sf_dir):
     parts = [
         blocks.bureau_block(an.bureau(spark, sf_dir), an.bureau_balance(spark, sf_dir)),
         blocks.previous_block(an.previous(spark, sf_dir)),
+        blocks.pos_block(an.pos(spark, sf_dir)),
         blocks.card_block(an.card(spark, sf_dir)),
         blocks.instalment_block(an.instalments(spark, sf_dir)),
     ]

@@ -168,7 +168,7 @@ def argmax_risk(spark, sf_dir):
 
 @register("feature_pipeline")
 def feature_pipeline(spark, sf_dir):
-    """E-06 / IO-05: the whole feature build - application expressions, four history blocks left-joined
+    """E-06 / IO-05: the whole feature build - application expressions, five history blocks left-joined
     on the applicant key, WoE of the categoricals fitted on the labelled applicants, categoricals
     dropped (id kept) - written as a Parquet table and scanned back."""
     from riskflow.operators import woe as W

@@ -21,8 +21,8 @@ K, SEED = 5, 42
 CATS = ["lang", "source"]
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "quality", "lang_WOE", "source_WOE"]
 
-# Scaled-down tree configurations for the registered keys (the reference configs are
-# TR.GBT_A / TR.FOREST_C; its own fast variant also trains reduced models).
+# Scaled-down tree configurations for the registered keys but train_forest_oof (the reference
+# configs are TR.GBT_A / TR.FOREST_C; its own fast variant also trains reduced models).
 GBT_KEY = TR.ModelSpec("gbt", "gbt", {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8}, -999.0)
 FOREST_KEY = TR.ModelSpec("forest", "forest", {"numTrees": 50, "maxDepth": 6}, -999.0)
 
@@ -71,8 +71,8 @@ def train_gbt_oof(spark, sf_dir):
 
 @register("train_forest_oof")
 def train_forest_oof(spark, sf_dir):
-    """M-05 + M-06: random forest as the third, diverse member, OOF table."""
-    return _oof(spark, sf_dir, FOREST_KEY)
+    """M-05 + M-06: random forest (300 trees) as the third, diverse member, OOF table."""
+    return _oof(spark, sf_dir, TR.FOREST_C)
 
 
 @register("fold_metrics")
