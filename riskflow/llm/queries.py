@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontaminate, exact, jaccard, language, licenses, lines, mixing, secrets, substrings, toxicity as tox
+from riskflow.llm import (decontaminate, exact, jaccard, language, licenses, lines, mixing, search, secrets, substrings,
+                          toxicity as tox)
 from riskflow.llm.store import fold, read_docs
 
 
@@ -72,11 +73,15 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.get("mix_posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)])
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity,
            "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate,
            "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan,
-           "op10_mixture": op10_mixture}
+           "op10_mixture": op10_mixture, "op12_lexical_search": op12_lexical_search}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -101,4 +106,22 @@ ORACLES = {
                coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
                sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
         FROM f GROUP BY doc_id""",
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+             s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+             p AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf
+                   FROM (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) AS u
+                   WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+             w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * (SELECT n_docs FROM s) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+                   FROM p GROUP BY t),
+             g AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS gain
+                   FROM p JOIN w USING (t) CROSS JOIN s),
+             f AS (SELECT item_id, r, doc_id, sum(gain)::BIGINT AS score FROM q JOIN g USING (t) GROUP BY ALL HAVING sum(gain) > 0),
+             o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
