@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import (decontaminate, exact, jaccard, language, licenses, lines, mixing, search, secrets, substrings,
-                          toxicity as tox)
+from riskflow.llm import (decontaminate, exact, jaccard, language, licenses, lines, mixing, search, secrets, spelling,
+                          substrings, toxicity as tox)
 from riskflow.llm.store import fold, read_docs
 
 
@@ -73,6 +73,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.get("mix_posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_docs(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
@@ -81,7 +85,8 @@ QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup,
            "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate,
            "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan,
-           "op10_mixture": op10_mixture, "op12_lexical_search": op12_lexical_search}
+           "op10_mixture": op10_mixture, "op11_spelling_variants": op11_spelling_variants,
+           "op12_lexical_search": op12_lexical_search}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -124,4 +129,31 @@ ORACLES = {
              f AS (SELECT item_id, r, doc_id, sum(gain)::BIGINT AS score FROM q JOIN g USING (t) GROUP BY ALL HAVING sum(gain) > 0),
              o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f)
         SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    # crc32 byte by byte from its table; near words meet by a deletion, or by one place left open.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+             tab AS (SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+                     FROM (SELECT unnest(range(256))::BIGINT AS i) AS b),
+             run AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w
+                     FROM documents),
+             low AS (SELECT id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+                     FROM run WHERE length(w) >= 7 GROUP BY ALL),
+             crc AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || w, ''),
+                            lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+                            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM low, tab),
+             cut AS (SELECT c, CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM crc),
+             voc AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+             pos AS MATERIALIZED (SELECT word, n, unnest(range(length(word))) AS i FROM voc),
+             open AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM pos),
+             pair AS MATERIALIZED (SELECT DISTINCT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM open AS a JOIN voc AS b ON a.rest = b.word
+                      UNION SELECT a.word, a.n, b.word, b.n FROM open AS a JOIN open AS b ON a.rest = b.rest AND a.i = b.i AND a.word < b.word),
+             side AS (SELECT a AS word, b AS o, nb AS m FROM pair UNION ALL SELECT b, a, na FROM pair),
+             best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'o': o}) AS x FROM side GROUP BY word),
+             form AS MATERIALIZED (SELECT voc.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -x.m >= 10 * n THEN x.o END AS form,
+                      CASE WHEN -x.m >= 10 * n THEN -x.m END AS form_n FROM voc LEFT JOIN best USING (word)),
+             chain AS (SELECT word, word AS at FROM form UNION ALL
+                       SELECT chain.word, form.form FROM chain JOIN form ON chain.at = form.word WHERE form.form IS NOT NULL)
+        SELECT form.word, form.form, chain.at AS root, form.n, form.n_near, form.form_n
+        FROM form JOIN chain ON form.word = chain.word JOIN form AS top ON chain.at = top.word AND top.form IS NULL""",
 }
