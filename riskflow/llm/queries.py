@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import (decontaminate, exact, jaccard, language, licenses, lines, mixing, search, secrets, spelling,
+from riskflow.llm import (decontaminate, exact, jaccard, language, licenses, lines, mixing, pii, search, secrets, spelling,
                           substrings, toxicity as tox)
 from riskflow.llm.store import fold, read_docs
 
@@ -81,12 +81,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(read_docs(spark, sf_dir)))
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity,
            "op4_substring_dedup": op4_substring_dedup, "op5_secret_scan": op5_secret_scan,
            "op6_decontaminate": op6_decontaminate,
            "op7_jaccard_join": op7_jaccard_join, "op8_language": op8_language, "op9_license_scan": op9_license_scan,
            "op10_mixture": op10_mixture, "op11_spelling_variants": op11_spelling_variants,
-           "op12_lexical_search": op12_lexical_search}
+           "op12_lexical_search": op12_lexical_search, "op13_personal_data": op13_personal_data}
 
 ORACLES = {
     "op1_exact_dedup": r"""
