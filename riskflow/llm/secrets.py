@@ -30,9 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")       # maximal runs, so the same as runs of one or more kept from 16 on
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-PERCENT = re.compile(r"[A-Za-z0-9_.~*+/=:-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~*+/=:-]*)+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9_.~*+/=:-])*"
-                    r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9_.~*+/=:-])*")
+#: Maximal runs of plain signs and escapes, each read once; runs without an escape are passed over by ``_escaped``.
+PERCENT = re.compile(r"(?:[A-Za-z0-9_.~*+/=:-]++|%[0-9A-Fa-f]{2})++")
+ESCAPE = re.compile(r"(?:[A-Za-z0-9_.~*+/=:-]++|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})++")
 #: Runs of one alphabet each.
 BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 #: The same over several lines, the first of 16 signs or more.
@@ -86,8 +86,9 @@ def _inflate(data: bytes) -> tuple[str, bytes] | None:
 
 def _open(raw: bytes, coding: str) -> tuple[str, str | None] | None:
     """(coding, text) of decoded bytes, through compressed layers nested without text between; text None is a bomb."""
-    cut = False
-    for _ in range(64):
+    cut, seen = False, set()
+    while raw not in seen:                  # a stream may unpack to itself
+        seen.add(raw)
         if not (opened := _inflate(raw)) or opened[0].endswith("-cut") and _readable(raw):
             break
         coding, raw, cut = f"{coding}.{opened[0]}", opened[1], cut or opened[0].endswith("-cut")
@@ -145,14 +146,19 @@ def _wrapped(text: str) -> Iterator[tuple[str, int, int, str | None]]:
                 i = j
 
 
+def _escaped(text: str, pattern: re.Pattern, mark: str) -> Iterator[re.Match]:
+    """The runs of ``pattern`` that hold an escape, whose first sign is ``mark``."""
+    return (m for m in pattern.finditer(text) if text.find(mark, m.start(), m.end()) >= 0)
+
+
 def layers(text: str) -> Iterator[tuple[str, int, int, str | None]]:
     """(coding, start, end, decoded text) of the encoded runs of one layer; decoded None is an unopened bomb."""
     if "%" in text:
-        for m in PERCENT.finditer(text):
+        for m in _escaped(text, PERCENT, "%"):
             if got := _percent(m[0]):
                 yield got[0], m.start(), m.end(), got[1]
     if "\\u" in text or "\\x" in text:
-        for m in ESCAPE.finditer(text):
+        for m in _escaped(text, ESCAPE, "\\"):
             got = _escapes(m[0])
             yield got[0], m.start(), m.end(), got[1]
     joined = sorted(_wrapped(text), key=lambda x: x[1:3]) if "\n" in text else []

@@ -2,6 +2,8 @@
 
 import base64
 import gzip
+import re
+import time
 import urllib.parse
 import zlib
 
@@ -61,3 +63,29 @@ def test_cut_streams_are_told():
     assert {"base64.zlib-cut", "base64.zlib-cut.assign"} <= kinds
     two = gzip.compress(b"first ", mtime=0) + gzip.compress(SECRET.encode(), mtime=0)
     assert [x[0] for x in found(base64.b64encode(two).decode())] == ["base64.gzip.assign"]
+
+
+def test_long_unbroken_runs_take_linear_time():
+    rng = np.random.default_rng(11)
+    run = "".join(rng.choice(list("ghijklmnopqrstuvwxyzGHIJ"), 1_000_000))
+    encoded = base64.b64encode(rng.bytes(750_000)).decode()
+    for text in (f"%41 {run}", f"{run}%41", f"\\x41 {run}", f"\\u0041 {run}", f"{run}\\x41", f"%41 {encoded}", "%4" * 500_000, "\\x4" * 300_000,
+                 f"%41{run} {SECRET}", "a%" * 500_000 + "%41"):
+        began = time.perf_counter()
+        spans = secrets.scan(text)
+        assert time.perf_counter() - began < 2
+        assert [(k, s, e) for k, s, e, _ in spans if "." not in k] == secrets.base_spans(text)
+    text = f"%70assword%3Dhunter2hunter2{run}"
+    assert found(text)[0] == ("url.assign", 0, len(text))
+
+
+def test_escaped_runs_are_those_of_the_plain_rule():
+    plain = r"[A-Za-z0-9_.~*+/=:-]"
+    percent = re.compile(rf"{plain}*(?:%[0-9A-Fa-f]{{2}}{plain}*)+")
+    one = r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})"
+    escape = re.compile(rf"(?:{one}|{plain})*{one}(?:{one}|{plain})*")
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(["%", "%4", "%41", "a", "zz", " ", "\\", "\\x", "\\x4", "\\x41", "\\u00e9", "\\u00", "=", "4", "1"], 12))
+        assert [m.span() for m in secrets._escaped(text, secrets.PERCENT, "%")] == [m.span() for m in percent.finditer(text)]
+        assert [m.span() for m in secrets._escaped(text, secrets.ESCAPE, "\\")] == [m.span() for m in escape.finditer(text)]
