@@ -34,7 +34,7 @@ LEAST_LENGTH, LEAST_COUNT, FORM_RATIO = 7, 2, 10
 #: A run loses a code point where the crc32 of ``<id>:<run>`` is a multiple of this.
 DROP_EVERY = 31
 SHARD_WORDS, BITS_A_WORD, PASS_BYTES = 1 << 16, 16, 1 << 27
-_BATCH_BYTES, _CHUNK, _SHORT = 8 << 20, 1 << 21, 48
+_HELD, _CHUNK, _SHORT = 1 << 19, 1 << 18, 48
 _BLOCK = 8                                  # 64-bit words
 _VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -87,7 +87,7 @@ def batch_words(ids: pa.Array, column: pa.Array, least: int = LEAST_LENGTH) -> p
     edge = offs[(offs > 0) & (offs < n)]
     starts[edge], ends[edge] = inside[edge], inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends)
-    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)]
     some = points[end] - points[start] >= least
     start, end = start[some], end[some]
     doc = np.searchsorted(offs, start, "right") - 1
@@ -112,9 +112,21 @@ def batch_words(ids: pa.Array, column: pa.Array, least: int = LEAST_LENGTH) -> p
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=_BATCH_BYTES):
+    held: list[pa.Table] = []
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"])
+        held.clear()
+        for part in total.to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([part["word"].cast(pa.string()), part["n_sum"]], names=["word", "n"])
+
+    for batch in slices(batches):
         found = pc.value_counts(batch_words(batch["id"], batch["text"]))
-        yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["word", "n"])
+        held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+        if sum(t.num_rows for t in held) > _HELD:
+            yield from summed()
+    if held:
+        yield from summed()
 
 
 def _matrices(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
