@@ -2,34 +2,43 @@
 
 The automaton of one shard of items (``shard_words`` words at most, or one longer item) is built once
 and broadcast; a larger benchmark is matched shard by shard, each broadcast within that bound, and the
-hits are merged. Training tokens are streamed through it and the longest matching length is tracked;
-a match of ``window`` words or more, or a whole shorter item, marks its words. Tokens outside every
+hits are merged. Items are cut into words and hashed in tasks; the driver sees the word hashes of one
+shard at a time. Training tokens are streamed through the automaton and the longest matching length is
+tracked. A match is removed where it exceeds the length limit (``window`` words) or the coverage limit
+(``coverage`` of the words of an item, the whole of it by default). Tokens outside every
 item bigram cannot be inside such a match, so runs of known bigrams (found with numpy) are all that
 the automaton walks over. There is no shuffle: each document is read where it lies.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.store import materialize
-from riskflow.llm.tokens import ALNUM, Words, slices
+from riskflow.llm.store import id_schema, materialize
+from riskflow.llm.tokens import ALNUM, Words, long_list, slices
 
 WINDOW = 10
+COVERAGE = 1.0
 SHARD_WORDS = 1_000_000
 
 
+def least_match(n: int, window: int, coverage: float) -> int:
+    """Words of an item of ``n`` words that a match must have to be removed."""
+    return min(window, max(1, math.ceil(coverage * n - 1e-9))) if n else 0
+
+
 class ItemAutomaton:
     """Generalised suffix automaton over word numbers, with the items of each window state."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str, list[int]]], window: int, coverage: float = 1.0):
         self.window = window
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -41,10 +50,11 @@ class ItemAutomaton:
                 last = self._extend(last, w)
                 if self.length[last] >= window:
                     self.items[last].add(name)
-            if 0 < len(words) < window:
-                state = 0
-                for w in words:
-                    state = self.step[state][w]
+            least = least_match(len(words), window, coverage)
+            for i in range(len(words) - least + 1 if 0 < least < window else 0):
+                state = 0                   # runs that the coverage limit removes end in a state of their own
+                for w in words[i:i + least]:
+                    state = self._extend(state, w)
                 self.whole.setdefault(state, set()).add(name)
         self._finish()
 
@@ -116,14 +126,14 @@ class ItemAutomaton:
 class Matcher:
     """Automaton of a shard, with the vocabulary and bigrams that select the runs to walk."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int, coverage: float = 1.0):
         every = np.concatenate([h for _, h in items]) if items else np.zeros(0, np.uint64)
         self.vocab = np.unique(every)
         numbered = [(name, np.searchsorted(self.vocab, h).tolist()) for name, h in items]
-        self.least = min([window, *(len(w) for _, w in numbered if w)])
+        self.least = min([window, *(least_match(len(w), window, coverage) for _, w in numbered if w)])
         size = len(self.vocab)
         self.bigrams = np.unique(np.array([a * size + b for _, w in numbered for a, b in zip(w, w[1:])], np.int64))
-        self.automaton = ItemAutomaton([x for x in numbered if x[1]], window)
+        self.automaton = ItemAutomaton([x for x in numbered if x[1]], window, coverage)
 
     def runs(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, and begin and end of the maximal runs of known bigrams of ``least`` words or more."""
@@ -193,11 +203,17 @@ def _match(batches: Iterator[pa.RecordBatch], matcher: Matcher, last: bool) -> I
             names=["id", "text", "n_words", "hits", "items", "longest", "clean_text"])
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "t"):
+        words = Words(batch["t"], ALNUM, lower=True)
+        yield pa.RecordBatch.from_arrays([batch["i"], long_list(words.hash, words.first)], names=["i", "h"])
+
+
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    shard, size = [], 0
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    for row in items.toLocalIterator():
-        h = Words(pa.array([row["t"]], pa.string()), ALNUM, lower=True).hash
+    shard, size = [], 0
+    for row in materialize(items.mapInArrow(_hashed, "i string, h array<long>"), "op6-items").toLocalIterator():
+        h = np.asarray(row["h"], np.int64).view(np.uint64)
         if shard and size + len(h) > limit:
             yield shard
             shard, size = [], 0
@@ -208,15 +224,17 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  shard_words: int = SHARD_WORDS) -> DataFrame:
+                  shard_words: int = SHARD_WORDS, coverage: float = COVERAGE, most_covered: float = 1.0) -> DataFrame:
     """One row per input row: id, n_words, hits (word ranges), items (sorted ids), longest (match length in words,
-    at least where ``window`` is reached) and clean_text (the text without the matched ranges).
+    at least where ``window`` is reached), covered (share of the words hit, 0 without words) and clean_text (the text
+    without the matched ranges; null where ``covered`` is above ``most_covered``, as the whole document goes then).
+
+    A run of words is hit where it is ``window`` words of an item long, or ``coverage`` of an item's words (rounded up).
 
     Null or empty texts have no words and no hits; clean_text keeps null. Repeated documents are matched each for
     itself, repeated items count once per id, a null item id counts as the empty string. An item without words
     never matches; an empty benchmark matches nothing. Further columns of either table are not read."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                       F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("hits"),
                       F.expr("CAST(array() AS array<string>)").alias("items"), F.lit(0).alias("longest"))
@@ -224,22 +242,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     shard, k = next(shards), 0
     while shard is not None:
         following = next(shards, None)
-        sent, last = spark.sparkContext.broadcast(cloudpickle.dumps(Matcher(shard, window))), following is None
+        sent, last = spark.sparkContext.broadcast(cloudpickle.dumps(Matcher(shard, window, coverage))), following is None
 
         def match(batches, sent=sent, last=last):
             return _match(batches, pickle.loads(sent.value), last)
 
-        out = out.mapInArrow(match, f"id {id_type}, text string, n_words long, hits array<struct<start:int,end:int>>, "
-                                    "items array<string>, longest int, clean_text string")
+        out = out.mapInArrow(match, id_schema(docs, id_col, "text string, n_words long, hits array<struct<start:int,end:int>>, "
+                                                            "items array<string>, longest int, clean_text string"))
         if not last:                        # one broadcast automaton at a time
             out = materialize(out, f"op6-shard{k}")
         shard, k = following, k + 1
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", "longest", "clean_text")
+    covered = F.when(F.col("n_words") > 0, n_hit() / F.col("n_words")).otherwise(0.0)
+    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", "longest", covered.alias("covered"),
+                      F.when(covered <= most_covered, F.col("clean_text")).alias("clean_text"))
+
+
+def n_hit() -> Column:
+    """Words within ``hits``."""
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["end"] - h["start"]).cast("long"))
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counted form: id, n_words, n_hit, n_items, items_sha256, contaminated, longest."""
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["end"] - h["start"]).cast("long"))
+    hit = n_hit()
     return result.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                          F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
                          (hit > 0).alias("contaminated"), "longest")

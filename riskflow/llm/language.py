@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.llm.store import id_schema
 from riskflow.llm.tokens import LETTERS, Words, slices
 
 PER_LANGUAGE = 5000
@@ -236,8 +237,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         return _predict(batches, pickle.loads(sent.value), switch)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(
-        run, f"id {id_type}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
+        run, id_schema(docs, id_col, "lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
     ).withColumnRenamed("id", id_col)

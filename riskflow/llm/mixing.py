@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.store import materialize
+from riskflow.llm.store import free_name, materialize
 
 PER_DOMAIN = 2000
 VOCABULARY = 64
@@ -171,9 +171,10 @@ def apply(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str
     Null and empty texts have no tokens; their posteriors are those of a text without any listed word. Repeated rows
     are rated each for itself; without domains or targets every rate is 1 (and domain null)."""
     names = F.expr("array(" + ", ".join("'" + d.replace("\\", "\\\\").replace("'", "\\'") + "'" for d in model.domains) + ")")
-    found = F.col("_mix_words")
-    out = docs.withColumn("_mix_words", words(F.col(text_col))).withColumns(
-        {"mix_posterior": posterior(model, found, F.col(text_col)), "mix_tokens": n_tokens(found)}).drop("_mix_words")
+    held = free_name(docs, "_mix_words")
+    found = F.col(held)
+    out = docs.withColumn(held, words(F.col(text_col))).withColumns(
+        {"mix_posterior": posterior(model, found, F.col(text_col)), "mix_tokens": n_tokens(found)}).drop(held)
     out = out.withColumn("mix_rate", rate(model, F.col("mix_posterior")))
     top = F.element_at(names, F.array_position("mix_posterior", F.array_max("mix_posterior")).cast("int")) if model.domains \
         else F.lit(None).cast("string")

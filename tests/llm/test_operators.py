@@ -1,6 +1,7 @@
 """Operators against brute force, on the smallest tables and on rows made to be awkward."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -155,12 +156,13 @@ def test_substrings(table, length):
     assert as_counter(got) == expected_substrings(rows_of(df), length)
 
 
-def expected_hits(rows, items, window=10):
+def expected_hits(rows, items, window=10, coverage=1.0):
     places = {}
     for i, t in items:
         w = lower_words(t)
-        for j in range(max(1, len(w) - window + 1)) if w else ():
-            places.setdefault(tuple(w[j:j + window]), set()).add(str(i))
+        n = min(window, max(1, math.ceil(coverage * len(w))))
+        for j in range(len(w) - n + 1) if w else ():
+            places.setdefault(tuple(w[j:j + n]), set()).add(str(i))
     out = Counter()
     for d, t in rows:
         w, hit, found = lower_words(t), set(), set()
@@ -193,16 +195,32 @@ def test_decontaminate(spark, table, shard):
         assert len(lower_words(r.clean_text)) == len(lower_words(r.text)) - n
 
 
+@pytest.mark.parametrize("coverage", [0.5, 0.25, 0.1])
+@pytest.mark.parametrize("shard", [1_000_000, 60])
+def test_coverage_limits(spark, coverage, shard):
+    rng = np.random.default_rng(9)
+    def text(n):
+        return " ".join(rng.choice(list("abcde"), n))
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 5, 8, 9, 12, 13, 16, 19, 20, 24, 30, 45, 60, 14, 15])]
+    rows = [(i, f"{text(9)} . {items[i % 17][1][:22]} {text(7)}") for i in range(120)]
+    bench, docs = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((items, "item_id"), (rows, "doc_id")))
+    result = decontaminate.decontaminate(docs, bench, shard_words=shard, coverage=coverage, most_covered=0.9)
+    assert as_counter(decontaminate.digest(result).drop("longest").collect()) == expected_hits(rows, items, coverage=coverage)
+    for r in result.collect():
+        n = sum(h.end - h.start for h in r.hits)
+        assert r.covered == pytest.approx(n / r.n_words) and (r.clean_text is None) == (r.covered > 0.9)
+
+
 def test_decontaminate_without_items(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digest(decontaminate.decontaminate(odd, bench)).filter("contaminated").isEmpty()
 
 
-def expected_components(rows, percent=90):
+def expected_components(rows, percent=90, size=3):
     sets = []
     for d, t in rows:
         w = text_words(t, lower=True)
-        sets.append((d, frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()))
+        sets.append((d, frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()))
     comp = list(range(len(sets)))
 
     def find(x):
