@@ -16,7 +16,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(read_docs(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_runs", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,22 +98,18 @@ ORACLES = {
              g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256
         FROM t JOIN g USING (x)""",
-    # The same chunks from the same rolling hash, told apart by their text.
+    # Every two adjacent lines but blank ones are a chunk; a line goes with any chunk that is not the first of its text.
     "op2_line_dedup": r"""
-        WITH l AS (SELECT doc_id, i, line,
-                          ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
+        WITH l AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS follow
                    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) AS s),
-             r AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS ends
-                   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-             c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
-             k AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
-                   FROM c GROUP BY doc_id, chunk),
-             f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AND n > 1 AS gone FROM k)
-        SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks,
-               coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
-               sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
+             c AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, follow ORDER BY doc_id, i) > 1 AS again
+                   FROM l WHERE follow IS NOT NULL AND regexp_matches(line || follow, '[^\x09-\x0D\x20]')),
+             g AS (SELECT doc_id, i FROM c WHERE again UNION SELECT doc_id, i + 1 FROM c WHERE again),
+             f AS (SELECT l.*, g.i IS NOT NULL AS gone, coalesce(lag(g.i) OVER (PARTITION BY l.doc_id ORDER BY l.i), -1) AS before
+                   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND before <> i - 1) AS n_runs, count(*) FILTER (gone) AS n_removed_lines,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM f GROUP BY doc_id""",
     "op12_lexical_search": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),

@@ -101,25 +101,21 @@ def test_exact(table, block, bits):
 
 
 def expected_lines(rows):
-    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
-    docs, places = [], {}
+    places = {}
     for d, t in rows:
         ls = (t or "").split("\n")
-        hs, chunks, start = [h(x) for x in ls], [], 0
-        for i in range(len(ls)):
-            roll = hs[i] + (31 * hs[i - 1] if i > 0 else 0) + (961 * hs[i - 2] if i > 1 else 0)
-            if roll % 4 == 0 or i == len(ls) - 1:
-                chunks.append(ls[start:i + 1])
-                start = i + 1
-        docs.append((d, ls, chunks))
-        for pos, c in enumerate(chunks):
-            if len(c) > 1:
-                places.setdefault("\n".join(c), []).append((d is not None, d or 0, pos))
+        for i, two in enumerate(zip(ls, ls[1:])):
+            if re.search(r"[^\x09-\x0D\x20]", "".join(two)):
+                places.setdefault(two, []).append((d is not None, d or 0, i))
     out = Counter()
-    for d, ls, chunks in docs:
-        gone = [len(c) > 1 and min(places["\n".join(c)]) != (d is not None, d or 0, pos) for pos, c in enumerate(chunks)]
-        kept = "\n".join(x for c, g in zip(chunks, gone) if not g for x in c)
-        out[(d, len(ls), len(chunks), sum(len(c) for c, g in zip(chunks, gone) if g), kept)] += 1
+    for d, t in rows:
+        ls = (t or "").split("\n")
+        gone = set()
+        for i, two in enumerate(zip(ls, ls[1:])):
+            if two in places and min(places[two]) != (d is not None, d or 0, i):
+                gone |= {i, i + 1}
+        kept = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+        out[(d, len(ls), len([i for i in gone if i - 1 not in gone]), len(gone), kept)] += 1
     return out
 
 
@@ -136,6 +132,24 @@ def test_lines(spark, table, bits):
         assert sum(k[3] for k in expected) > 40
 
 
+def test_short_repeated_passages_go_whole(spark):
+    """Passages of two lines or more that stand again anywhere, whatever is around them; single lines and blanks stay."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passages = [[f"{word()} {word()}" for _ in range(2 + k % 4)] for k in range(60)]
+    rows, planted = [], {}
+    for i in range(300):
+        own = [[f"own {i} {word()}" for _ in range(rng.integers(1, 4))] for _ in range(2)]
+        put = passages[i % 60]
+        planted[i] = put if i >= 60 else []
+        rows.append((i, "\n".join([*own[0], *put, "", "", *own[1], passages[(i + 1) % 60][0]])))
+    out = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in out.collect():
+        kept = r.kept_text.split("\n")
+        assert not set(planted[r.doc_id]) & set(kept[:-1]) and f"own {r.doc_id} " in r.kept_text
+        assert r.n_removed_lines <= len(planted[r.doc_id]) + 1
+
+
 def expected_substrings(rows, length):
     words = [(d, text_words(t)) for d, t in rows]
     count = Counter(tuple(w[i:i + length]) for _, w in words for i in range(len(w) - length + 1))
