@@ -286,20 +286,34 @@ _CUTS = ("model int, leaf int, feature int, gain double, cut int, missing_left b
          "g double, h double, n double")
 
 
+def _cut_row(model: int, leaf: int, feature: int, g: np.ndarray, h: np.ndarray, n: np.ndarray, specs: dict[int, BoostSpec]) -> tuple:
+    if leaf < 0:
+        return model, leaf, feature, _auc(g, h), 0, False, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+    return model, leaf, feature, *best_cut(g, h, n, specs[model]), float(g.sum()), float(h.sum()), float(n.sum())
+
+
+def _cut_columns(rows: list[tuple]) -> dict[str, pa.Array]:
+    names = [c.split()[0] for c in _CUTS.split(", ")]
+    return {c: pa.array([r[k] for r in rows], pa.int32() if c in ("model", "leaf", "feature", "cut") else pa.bool_() if c == "missing_left" else pa.float64())
+            for k, c in enumerate(names)}
+
+
 def _cuts(specs: dict[int, BoostSpec]):
+    """Best cut of one (model, leaf, feature) from the sums of all tasks."""
     def run(table: pa.Table) -> pa.Table:
-        model, leaf, feature = (table[c][0].as_py() for c in ("model", "leaf", "feature"))
-        g, h = (np.sum([np.asarray(x) for x in table[c].to_pylist()], axis=0) for c in "gh")
-        if leaf < 0:
-            row = (model, leaf, feature, _auc(g, h), 0, False, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        else:
-            n = np.sum([np.asarray(x) for x in table["n"].to_pylist()], axis=0)
-            row = (model, leaf, feature, *best_cut(g, h, n, specs[model]), float(g.sum()), float(h.sum()), float(n.sum()))
-        names = [c.split()[0] for c in _CUTS.split(", ")]
-        return pa.table({c: pa.array([x], pa.int32() if c in ("model", "leaf", "feature", "cut") else None) for c, x in zip(names, row, strict=True)})
+        sums = [np.sum([np.asarray(x) for x in table[c].to_pylist()], axis=0) for c in "ghn"]
+        return pa.table(_cut_columns([_cut_row(*(table[c][0].as_py() for c in ("model", "leaf", "feature")), *sums, specs)]))
     return run
 
 
+def _cuts_at_once(batches: Iterator[pa.RecordBatch], specs: dict[int, BoostSpec]) -> Iterator[pa.RecordBatch]:
+    """The same where one task has read all rows, so that its sums are the sums."""
+    for b in batches:
+        rows = [_cut_row(m, v, f, *(np.asarray(x) for x in sums), specs) for m, v, f, *sums in zip(*(b[c].to_pylist() for c in b.schema.names), strict=True)]
+        columns = _cut_columns(rows)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 # ------------------------------------------------------------------ growing
 
 class _Model:
@@ -467,6 +481,7 @@ def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
     weights = _class_weights(rows, jobs)
     models = [_Model(k, spec, held, weights[k], width) for k, (spec, held) in enumerate(jobs)]
     current = rows.select("id", "draw", "fold", "label", "codes", "margins")
+    alone = current.rdd.getNumPartitions() == 1                      # one task reads all rows: nothing to shuffle
     while live := [m for m in models if not m.done]:
         if sum(len(m.pending) for m in live) >= REFRESH:
             current = _refreshed(current, live, len(models), width)
@@ -481,11 +496,12 @@ def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
             turn.append(m)
         states, specs = [m.state() for m in turn], {m.number: m.spec for m in turn}
 
-        def run(batches: Iterator[pa.RecordBatch], states=states) -> Iterator[pa.RecordBatch]:
-            return _histograms(batches, states, len(models), width)
+        def run(batches: Iterator[pa.RecordBatch], states=states, specs=specs, alone=alone) -> Iterator[pa.RecordBatch]:
+            partial = _histograms(batches, states, len(models), width)
+            return _cuts_at_once(partial, specs) if alone else partial
 
-        partial = current.drop("id").mapInArrow(run, "model int, leaf int, feature int, g array<double>, h array<double>, n array<double>")
-        found = partial.groupBy("model", "leaf", "feature").applyInArrow(_cuts(specs), _CUTS).collect()
+        partial = current.drop("id").mapInArrow(run, _CUTS if alone else "model int, leaf int, feature int, g array<double>, h array<double>, n array<double>")
+        found = (partial if alone else partial.groupBy("model", "leaf", "feature").applyInArrow(_cuts(specs), _CUTS)).collect()
         for m in turn:
             m.take([r for r in found if r.model == m.number])
     return [m.ensemble(features, edges) for m in models]
