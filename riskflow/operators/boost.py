@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskflow.operators.stages import fingerprint, run_slices, spec_hash
 from riskflow.sources.io import unique_path
 
 MAX_BINS = 255          # with code 0 for missing values, one byte
@@ -525,27 +526,63 @@ def score(df: DataFrame, models: Sequence[Ensemble], keep: Sequence[str], out: S
     return rows.mapInArrow(run, schema)
 
 
-def cross_validate(df: DataFrame, spec: BoostSpec, features: Sequence[str], id_col: str, label: str, fold: str = "fold",
-                   k: int = 5) -> tuple[DataFrame, list[Ensemble]]:
-    """M-06 with M-03 / M-04: OOF table (id, label, fold, model, prob) and the model of each fold. Every fold's rows are
-    scored by the model that left them out and stopped by them; all folds are fitted in the same passes."""
-    edges = bin_edges(df.filter(F.col(label).isNotNull()), features)
-    rows = binned(df, features, edges, id_col, label, fold)
-    fitted = fit_many(rows, features, edges, [(spec, i) for i in range(k)])
-    trees, width = [[t.arrays() for t in m.trees] for m in fitted], len(features)
+def _oof(rows: DataFrame, fitted: Sequence[Ensemble], name: str) -> DataFrame:
+    """(id, label, fold, model, prob) of the rows that each model left out."""
+    trees, width = {m.held_out: [t.arrays() for t in m.trees] for m in fitted}, len(fitted[0].features)
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("label int, fold int, prob double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, held = _matrix(b["codes"], width), b["fold"].to_numpy()
             prob = np.zeros(b.num_rows)
-            for i, own in enumerate(trees):
+            for i, own in trees.items():
                 at = np.flatnonzero(held == i)
                 prob[at] = 1 / (1 + np.exp(-_margin({"pending": own}, codes[at], np.zeros(len(at)))))
             yield pa.RecordBatch.from_arrays([b["id"], b["label"].cast(pa.int32()), b["fold"], pa.array(prob)], names=schema.names)
 
-    oof = rows.filter(F.col("fold").between(0, k - 1) & F.col("label").isNotNull()).mapInArrow(run, schema)
-    return oof.select("id", "label", "fold", F.lit(spec.name).alias("model"), "prob"), fitted
+    oof = rows.filter(F.col("fold").isin(list(trees)) & F.col("label").isNotNull()).mapInArrow(run, schema)
+    return oof.select("id", "label", "fold", F.lit(name).alias("model"), "prob")
+
+
+def cross_validate(df: DataFrame, spec: BoostSpec, features: Sequence[str], id_col: str, label: str, fold: str = "fold",
+                   k: int = 5) -> tuple[DataFrame, list[Ensemble]]:
+    """M-06 with M-03 / M-04: OOF table (id, label, fold, model, prob) and the model of each fold. Every fold's rows are
+    scored by the model that left them out and stopped by them; all folds are fitted in the same passes."""
+    edges = bin_edges(df.filter(F.col(label).isNotNull()), features)
+    rows = binned(df, features, edges, id_col, label, fold)
+    fitted = fit_many(rows, features, edges, [(spec, i) for i in range(k)])
+    return _oof(rows, fitted, spec.name), fitted
+
+
+def cross_validate_stage(df: DataFrame, spec: BoostSpec, features: Sequence[str], id_col: str, label: str, root: str,
+                         fold: str = "fold", k: int = 5, at_once: int | None = None) -> tuple[DataFrame, list[Ensemble], list[int]]:
+    """M-12: ``cross_validate`` as a stage below ``root``: folds that are finished there for the same specification and
+    the same rows are read, the others fitted ``at_once`` (all) in shared passes. The last value lists these."""
+    key = spec_hash(spec, list(features), k, fingerprint(df, [id_col, label, fold, *features]))
+    edges = bin_edges(df.filter(F.col(label).isNotNull()), features)
+    shared: list[DataFrame] = []
+
+    def compute(folds: list[int]):
+        if not shared:
+            shared.append(binned(df, features, edges, id_col, label, fold))
+        for m in fit_many(shared[0], features, edges, [(spec, i) for i in folds]):
+            yield m.held_out, _oof(shared[0], [m], spec.name), m.to_json()
+
+    oof, notes, fitted_now = run_slices(df.sparkSession, root, spec.name, key, range(k), compute, at_once)
+    return oof, [Ensemble.from_json(notes[i]) for i in range(k)], fitted_now
+
+
+def runs(fitted: Sequence[Ensemble]) -> list[tuple]:
+    """IO-11 rows (run_id, name, tags, params, metrics, step) of fitted models: what was asked and what was kept."""
+    out = []
+    for m in fitted:
+        params = {n: str(v) for n, v in asdict(m.spec).items() if v is not None}
+        metrics = {"n_trees": float(len(m.trees)), "n_rounds": float(len(m.history) or len(m.trees))}
+        if m.history:
+            metrics |= {"best_iteration": float(len(m.trees) - 1), "auc_roc": m.best_auc}
+        out.append((f"{m.spec.name}-fold{m.held_out}", m.spec.name, {"model_type": "boosted", "fold": str(m.held_out)}, params, metrics,
+                    m.held_out))
+    return out
 
 
 def search(df: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str], id_col: str, label: str, fold: str = "fold",

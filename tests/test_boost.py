@@ -148,3 +148,54 @@ def test_empty_and_one_class_tables(spark):
     for rows in (df.limit(0), df.filter("label = 1"), df.withColumn("label", F.lit(None).cast("int"))):
         m = B.fit(rows, B.BoostSpec("none", 2), FEATURES, "id", "label")
         assert all(r.p >= 0.5 for r in B.score(df, [m], ["id"], ["p"]).collect())
+
+
+def test_a_stage_resumes_where_it_ended(spark, tmp_path, monkeypatch):
+    df, _ = table(spark, 200, 8, folds=5)
+    spec = B.BoostSpec("staged", 6, 0.3, 2)
+    whole, fitted = B.cross_validate(df, spec, FEATURES, "id", "label", "fold", 5)
+    real, calls = B.fit_many, []
+
+    def ends_after_two(rows, features, edges, jobs):
+        calls.append([held for _, held in jobs])
+        if len(calls) == 3:
+            raise RuntimeError("the run ends here")
+        return real(rows, features, edges, jobs)
+
+    monkeypatch.setattr(B, "fit_many", ends_after_two)
+    args = (df, spec, FEATURES, "id", "label", str(tmp_path))
+    with pytest.raises(RuntimeError):
+        B.cross_validate_stage(*args, at_once=1)
+    oof, models, now = B.cross_validate_stage(*args)
+    assert calls == [[0], [1], [2], [2, 3, 4]] and now == [2, 3, 4]
+    assert sorted(map(tuple, oof.collect())) == sorted(map(tuple, whole.collect()))
+    assert [m.trees for m in models] == [m.trees for m in fitted]
+    assert B.cross_validate_stage(*args)[2] == []
+    # Another specification, other rows, or a slice that lost a file are not taken for finished.
+    assert B.cross_validate_stage(df, replace(spec, n_trees=2), *args[2:])[2] == [0, 1, 2, 3, 4]
+    assert B.cross_validate_stage(df.filter("id <> 3"), *args[1:])[2] == [0, 1, 2, 3, 4]
+    from riskflow.operators import stages
+    kept = stages.read_manifest(spark, str(tmp_path)).filter("slice = 4").orderBy("finished").first()
+    for f in __import__("glob").glob(f"{kept.path}/part-*"):
+        __import__("os").truncate(f, 0)
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):  # noqa: B017  a damaged file is an error, not an absent slice
+        B.cross_validate_stage(*args)
+
+
+def test_a_slice_that_is_gone_is_fitted_again(spark, tmp_path):
+    from riskflow.operators import stages
+    made = []
+
+    def compute(slices):
+        made.append(list(slices))
+        for s in slices:
+            yield s, spark.range(s + 1), f"note {s}"
+
+    out, notes, now = stages.run_slices(spark, str(tmp_path), "x", "k" * 20, [0, 1, 2], compute, 1)
+    assert (out.count(), notes[2], now) == (6, "note 2", [0, 1, 2])
+    path = stages.read_manifest(spark, str(tmp_path)).filter("slice = 1").first().path
+    spark.range(9).write.mode("overwrite").parquet(path)          # not the rows that the manifest says
+    assert stages.run_slices(spark, str(tmp_path), "x", "k" * 20, [0, 1, 2], compute)[2] == [1]
+    assert stages.run_slices(spark, str(tmp_path), "x", "other-hash-of-a-spec", [0], compute)[2] == [0]
+    assert made == [[0], [1], [2], [1], [0]]
