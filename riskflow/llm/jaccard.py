@@ -8,6 +8,11 @@ Shingles are hashed to groups in two ways.
   of the group: linked documents share a cell. (With too few such groups it is dealt again by another
   hash; two documents that miss each other under one hash both are.) The number of groups follows the
   size, in bands of 1 : 1.5; a document near the lower end of its band joins the band below as well.
+  Below ``FEW_GROUPS`` percent so many groups would hold one or two elements each. There the cells are those of
+  single elements: linked sets share one of their first n - t * n / 100 + 1 elements in any one order. The order is
+  that of a hash, with the elements that very many documents hold at the end, so a passage that they share makes no
+  cell of them all. Which elements these are is told by counts over all documents in ``SKETCH`` hash buckets (an
+  element beside a frequent one goes to the end as well, which loses nothing).
 * Points. The element counts of ``DIMENSIONS`` groups are a point. The summed minima of two points'
   coordinates bound the overlap of the sets; within a cell, an R-tree of the points with the coordinate
   maxima of its boxes finds the pairs that can still be linked. Pairs that survive are verified on
@@ -45,6 +50,9 @@ DIMENSIONS = 256
 BLOCK = 20_000          # members of a cell that are searched as one
 BUCKET = 20_000         # rows of whole cells that are searched in one call, about
 LEAF = 16
+FEW_GROUPS = 85
+SKETCH, FREQUENT, LEAST_FREQUENT = 1 << 21, 1024, 64     # buckets; a frequent one counts so many documents, or one of so many
+_CHUNK = 1 << 15
 _BAND = 1.5
 _DEALS = 8
 
@@ -75,7 +83,38 @@ def _band_ends(percent: int) -> np.ndarray:
     return np.array(ends)
 
 
-def cell_keys(items: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
+def _bucket(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(43)).astype(np.int64) % SKETCH
+
+
+def frequent_buckets(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
+    """Mask of the buckets whose shingles stand in very many documents; a task sends one count a bucket at most."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(SKETCH, np.uint32), 0
+        for batch in slices(batches):
+            sets = shingles(Words(batch["text"], SPACED, lower=True), size)
+            n += len(sets)
+            total += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH).astype(np.uint32)
+        for k in range(SKETCH // _CHUNK if n else 0):
+            part = total[k * _CHUNK:(k + 1) * _CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.tobytes()], pa.binary())],
+                                             names=["chunk", "n", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total, n = np.zeros(_CHUNK, np.int64), sum(table["n"].to_pylist())
+        for x in table["counts"]:
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        mask = np.packbits(total >= max(LEAST_FREQUENT, n // FREQUENT))
+        return pa.table({"chunk": table["chunk"][:1], "mask": pa.array([mask.tobytes()], pa.binary())})
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "chunk int, n long, counts binary")
+    out = np.zeros(SKETCH, bool)
+    for r in counts.groupBy("chunk").applyInArrow(add, "chunk int, mask binary").collect():      # a bit a bucket
+        out[r.chunk * _CHUNK:(r.chunk + 1) * _CHUNK] = np.unpackbits(np.frombuffer(r.mask, np.uint8)).astype(bool)
+    return out
+
+
+def cell_keys(items: np.ndarray, percent: int, ends: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
     """Keys of the cells of one set."""
     n = len(items)
     band = int(np.searchsorted(ends, n, "right")) - 1
@@ -84,6 +123,11 @@ def cell_keys(items: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
     bands = [band]
     if band and n * percent < 100 * ends[band]:      # a partner may be in the band below
         bands.append(band - 1)
+    if percent < FEW_GROUPS:
+        late = frequent[_bucket(items)] if frequent is not None else np.zeros(n, bool)
+        first = mix(items)
+        first = first[np.lexsort((first, late))][:n - -(-percent * n // 100) + 1]
+        return np.concatenate([mix(first + mix(np.uint64([(b << 32) + 7]))) for b in bands])
     out = []
     for b in bands:
         allowed = (int(ends[b + 1]) - 1) * (100 - percent) // percent
@@ -110,7 +154,7 @@ def _fingerprint(items: np.ndarray) -> int:
     return int((mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(items))).view(np.int64))
 
 
-def _profiles(size: int, percent: int):
+def _profiles(size: int, percent: int, frequent: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = _band_ends(percent)
         met: set[int] = set()                 # members whose cells this task has given already
@@ -119,7 +163,7 @@ def _profiles(size: int, percent: int):
             members = [_fingerprint(x) for x in sets]
             keys = []
             for m, x in zip(members, sets):
-                keys.append(np.zeros(0, np.uint64) if m in met else cell_keys(x, percent, ends))
+                keys.append(np.zeros(0, np.uint64) if m in met else cell_keys(x, percent, ends, frequent))
                 met.add(m)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             yield pa.RecordBatch.from_arrays(
@@ -354,7 +398,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"))
-    profiles = materialize(keyed.mapInArrow(_profiles(size, percent), f"id {id_type}, k long, n long, m long, keys array<long>"),
+    frequent = frequent_buckets(docs, size, text_col) if percent < FEW_GROUPS else None
+    profiles = materialize(keyed.mapInArrow(_profiles(size, percent, frequent), f"id {id_type}, k long, n long, m long, keys array<long>"),
                            "op7-profiles")
     rows = profiles.select(F.explode("keys").alias("key"), "m")
     cells = rows.groupBy("key").agg(F.min("m").alias("pivot"), F.max("m").alias("most")).filter("pivot < most").select(

@@ -273,6 +273,28 @@ def test_jaccard(spark, table, block):
     assert as_counter(got) == expected_components(rows_of(df))
 
 
+@pytest.mark.parametrize("percent,size", [(80, 5), (60, 3), (84, 4)])
+@pytest.mark.parametrize("frequent", [64, 4])
+def test_lower_thresholds(spark, small, monkeypatch, percent, size, frequent):
+    """Cells of single elements, with passages that many documents share: no link is lost and none is added."""
+    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", frequent)
+    rng = np.random.default_rng(6)
+    passage = [f"p{x}" for x in range(60)]
+    texts = [t for _, t in rows_of(small)[:80]] + [None, "", "a b", "a b c d e f"]
+    for k in range(60):
+        own = [f"t{x}" for x in rng.integers(0, 900, rng.integers(20, 120))]
+        texts.append(" ".join(own[:10] + passage[:rng.integers(20, 61)] + own[10:]))
+        for _ in range(2):
+            w = texts[-1].split()
+            for x in rng.integers(0, len(w), rng.integers(0, 5)):
+                w[x] = f"u{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, *[None] * 7) for i, t in enumerate(texts)], SCHEMA)
+    got = jaccard.jaccard_components(df, size=size, percent=percent).collect()
+    expected = expected_components(rows_of(df), percent, size)
+    assert as_counter(got) == expected and len({comp for _, _, comp in expected}) < len(texts) - 40
+
+
 def test_jaccard_empty(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
