@@ -50,21 +50,22 @@ FOREST_C = ModelSpec("forest", "forest", {"numTrees": 300, "maxDepth": 6}, -999.
 
 def _estimator(spec: ModelSpec, label: str, weight: str | None, total_weight: float | None):
     p = dict(spec.params)
+    weighted = {"weightCol": weight} if weight else {}
     if spec.kind == "logistic":
         c = p.pop("C", 1.0)
         reg = 1.0 / (c * total_weight) if total_weight else 0.0
         scaler = StandardScaler(inputCol=FEATURES, outputCol="_scaled", withMean=True, withStd=True)
-        lr = LogisticRegression(featuresCol="_scaled", labelCol=label, weightCol=weight, regParam=reg,
+        lr = LogisticRegression(featuresCol="_scaled", labelCol=label, regParam=reg, **weighted,
                                 elasticNetParam=0.0, standardization=False, maxIter=int(p.get("maxIter", 100)))
         return [scaler, lr]
     if spec.kind == "gbt":
         kw = {k: v for k, v in p.items() if k in {"maxIter", "maxDepth", "stepSize", "subsamplingRate",
-                                                 "featureSubsetStrategy", "maxBins", "minInstancesPerNode", "seed"}}
-        return [GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=weight, seed=p.get("seed", 42), **kw)]
+                                                 "featureSubsetStrategy", "maxBins", "minInstancesPerNode", "validationIndicatorCol", "validationTol"}}
+        return [GBTClassifier(featuresCol=FEATURES, labelCol=label, seed=p.get("seed", 42), **weighted, **kw)]
     if spec.kind == "forest":
         kw = {k: v for k, v in p.items() if k in {"numTrees", "maxDepth", "featureSubsetStrategy", "subsamplingRate",
                                                  "maxBins", "minInstancesPerNode"}}
-        return [RandomForestClassifier(featuresCol=FEATURES, labelCol=label, weightCol=weight, seed=p.get("seed", 42), **kw)]
+        return [RandomForestClassifier(featuresCol=FEATURES, labelCol=label, seed=p.get("seed", 42), **weighted, **kw)]
     raise ValueError(spec.kind)
 
 
@@ -155,20 +156,37 @@ def linear_attributions(model: PipelineModel, df: DataFrame, features: Sequence[
     return t.select(*keep, F.explode(arr).alias("x")).select(*keep, "x.feature", "x.contribution")
 
 
+def linear_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The same as one array<feature, contribution> a row (column ``contributions``): nothing is exploded."""
+    coef = model.stages[2].coefficients.toArray().tolist()
+    t = model.transform(df).withColumn("_z", vector_to_array("_scaled"))
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("_z")[i] * F.lit(float(coef[i]))).alias("contribution"))
+                      for i, f in enumerate(features)])
+    return t.select(*keep, items.alias("contributions"))
+
+
+def _reason(feature, contribution, descriptions: Mapping[str, str] | None):
+    """One contribution as (size, feature, value, direction, description)."""
+    plain = F.initcap(F.regexp_replace(feature, "_", " "))
+    if descriptions:
+        plain = F.coalesce(F.create_map(*[F.lit(x) for kv in descriptions.items() for x in kv])[feature], plain)
+    return F.struct(F.abs(contribution).alias("_a"), feature.alias("feature"), contribution.alias("shap_value"),
+                    F.when(contribution > 0, F.lit("increases_risk")).otherwise(F.lit("decreases_risk")).alias("direction"),
+                    plain.alias("description"))
+
+
+def top_reasons(items, n: int = 5, descriptions: Mapping[str, str] | None = None):
+    """S-05 / W-05: the n contributions of the largest size of an array<feature, contribution>, within the row."""
+    scored = F.transform(items, lambda x: _reason(x["feature"], x["contribution"], descriptions))
+    return F.transform(F.slice(F.sort_array(scored, asc=False), 1, n), lambda s: s.dropFields("_a"))
+
+
 def reason_codes(contrib: DataFrame, keys: Sequence[str], n: int = 5,
                  descriptions: Mapping[str, str] | None = None) -> DataFrame:
-    """S-05 / W-05: top-n contributions by |value| per row, with direction and description,
-    as an ``array<struct>`` (grouped per row id; each group holds one row's features)."""
-    desc = descriptions or {}
-    dmap = F.create_map(*[x for k, v in desc.items() for x in (F.lit(k), F.lit(v))]) if desc else None
-    item = F.struct(
-        F.abs("contribution").alias("_a"), F.col("feature"), F.col("contribution").alias("shap_value"),
-        F.when(F.col("contribution") > 0, F.lit("increases_risk")).otherwise(F.lit("decreases_risk")).alias("direction"),
-        (F.coalesce(dmap[F.col("feature")], F.initcap(F.regexp_replace("feature", "_", " "))) if dmap is not None
-         else F.initcap(F.regexp_replace("feature", "_", " "))).alias("description"))
-    grouped = contrib.groupBy(*keys).agg(F.collect_list(item).alias("_items"))
-    top = F.slice(F.sort_array("_items", asc=False), 1, n)
-    return grouped.select(*keys, F.transform(top, lambda s: s.dropFields("_a")).alias("top_risk_factors"))
+    """S-05 / W-05 for a long table (keys..., feature, contribution): grouped by the keys, one ``array<struct>`` each.
+    Where the contributions of a row are still together, ``top_reasons`` needs no grouping."""
+    items = F.collect_list(F.struct("feature", "contribution")).alias("_items")
+    return contrib.groupBy(*keys).agg(items).select(*keys, top_reasons(F.col("_items"), n, descriptions).alias("top_risk_factors"))
 
 
 def save_model(model: PipelineModel, path: str) -> str:
