@@ -213,7 +213,8 @@ def _base(column: pa.Array, models: int) -> np.ndarray:
     return flat.reshape(len(column), models) if len(flat) else np.zeros((len(column), models))
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], states: list[dict], models: int, width: int) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], states: list[dict], models: int, width: int) -> list[tuple]:
+    """(model, leaf, feature, g, h, n by bin) of the rows of a task; at leaf -1 the scores of the held-out rows by class."""
     sums = [np.zeros((len(s["open"]), width, 256, 3)) for s in states]
     scores = [np.zeros((2, SCORE_BUCKETS)) if s["score"] else None for s in states]
     for b in batches:
@@ -248,13 +249,18 @@ def _histograms(batches: Iterator[pa.RecordBatch], states: list[dict], models: i
     out = []
     for s, hist, score in zip(states, sums, scores, strict=True):
         if score is not None and score.any():
-            out.append((s["model"], -1, -1, score[1], score[0], []))
+            out.append((s["model"], -1, -1, score[1], score[0], np.zeros(1)))
         for i, columns in enumerate(s["allowed"]):
             out += [(s["model"], i, f, *hist[i, f].T) for f in columns if hist[i, f, :, 2].any()]
-    if out:
-        ints = [pa.array([r[k] for r in out], pa.int32()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*ints, *[pa.array([r[k] for r in out], pa.list_(pa.float64())) for k in (3, 4, 5)]],
-                                         names=["model", "leaf", "feature", "g", "h", "n"])
+    return out
+
+
+def _lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        ints = [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([r[k] for r in rows])))
+                 for k in (3, 4, 5)]
+        yield pa.RecordBatch.from_arrays([*ints, *lists], names=["model", "leaf", "feature", "g", "h", "n"])
 
 
 def _auc(pos: np.ndarray, neg: np.ndarray) -> float:
@@ -263,58 +269,55 @@ def _auc(pos: np.ndarray, neg: np.ndarray) -> float:
     return float((pos * (below + neg / 2)).sum() / pairs) if pairs else 0.5
 
 
-def best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray, spec: BoostSpec) -> tuple[float, int, bool, float, float, float]:
-    """(gain, cut, missing left, and the left side's sums) of one leaf and feature; gain 0 where no cut is allowed."""
+def best_cuts(g: np.ndarray, h: np.ndarray, n: np.ndarray, spec: BoostSpec) -> list[tuple[float, int, bool, float, float, float]]:
+    """(gain, cut, missing left, and the left side's sums) of each row of [leaf and feature, bin]; gain 0 without a cut."""
     def score(gs, hs):
         return np.maximum(np.abs(gs) - spec.alpha, 0) ** 2 / np.maximum(hs + spec.lam, 1e-12)
 
-    total = g.sum(), h.sum(), n.sum()
-    best = (0.0, 0, False, 0.0, 0.0, 0.0)
-    for missing_left in ((False, True) if n[0] else (False,)):
-        gl, hl, nl = (np.cumsum(x[1:]) + (x[0] if missing_left else 0) for x in (g, h, n))
-        gr, hr, nr = (t - x for t, x in zip(total, (gl, hl, nl), strict=True))
-        gain = score(gl, hl) + score(gr, hr) - score(*total[:2])
-        least = max(spec.min_child_rows, 1)
-        allowed = (nl >= least) & (nr >= least) & (hl >= spec.min_child_weight) & (hr >= spec.min_child_weight)
+    rows, total = np.arange(len(g)), [x.sum(axis=1, keepdims=True) for x in (g, h, n)]
+    best, least = None, max(spec.min_child_rows, 1)
+    for missing_left in (False, True):
+        left = [np.cumsum(x[:, 1:], axis=1) + (x[:, :1] if missing_left else 0) for x in (g, h, n)]
+        right = [t - x for t, x in zip(total, left, strict=True)]
+        gain = score(*left[:2]) + score(*right[:2]) - score(*total[:2])
+        allowed = (left[2] >= least) & (right[2] >= least) & (left[1] >= spec.min_child_weight) & (right[1] >= spec.min_child_weight)
         gain = np.where(allowed, gain, 0)
-        k = int(np.argmax(gain))
-        if gain[k] > best[0] + 1e-12:
-            best = (float(gain[k]), k + 1, missing_left, float(gl[k]), float(hl[k]), float(nl[k]))
-    return best
+        k = gain.argmax(axis=1)
+        found = [gain[rows, k], k + 1, np.full(len(g), missing_left), *[x[rows, k] for x in left]]
+        if best is None:
+            best = found
+        else:
+            more = (found[0] > best[0] + 1e-12) & (n[:, 0] > 0)
+            best = [np.where(more, x, y) for x, y in zip(found, best, strict=True)]
+    return list(zip(*[x.tolist() for x in best], strict=True))
 
 
 _CUTS = ("model int, leaf int, feature int, gain double, cut int, missing_left boolean, gl double, hl double, nl double, "
          "g double, h double, n double")
 
 
-def _cut_row(model: int, leaf: int, feature: int, g: np.ndarray, h: np.ndarray, n: np.ndarray, specs: dict[int, BoostSpec]) -> tuple:
-    if leaf < 0:
-        return model, leaf, feature, _auc(g, h), 0, False, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-    return model, leaf, feature, *best_cut(g, h, n, specs[model]), float(g.sum()), float(h.sum()), float(n.sum())
-
-
-def _cut_columns(rows: list[tuple]) -> dict[str, pa.Array]:
+def _cut_columns(rows: list[tuple], specs: dict[int, BoostSpec]) -> dict[str, pa.Array]:
+    """Best cut of each (model, leaf, feature) from whole sums, as columns of ``_CUTS``."""
+    out = [(*r[:3], _auc(r[3], r[4]), 0, False, *[0.0] * 6) for r in rows if r[1] < 0]
+    for m in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == m and r[1] >= 0]
+        if own:
+            g, h, n = (np.stack([r[k] for r in own]) for k in (3, 4, 5))
+            totals = zip(*[x.sum(axis=1).tolist() for x in (g, h, n)], strict=True)
+            out += [(*r[:3], *cut, *t) for r, cut, t in zip(own, best_cuts(g, h, n, specs[m]), totals, strict=True)]
     names = [c.split()[0] for c in _CUTS.split(", ")]
-    return {c: pa.array([r[k] for r in rows], pa.int32() if c in ("model", "leaf", "feature", "cut") else pa.bool_() if c == "missing_left" else pa.float64())
+    return {c: pa.array([r[k] for r in out], pa.int32() if c in ("model", "leaf", "feature", "cut") else pa.bool_() if c == "missing_left" else pa.float64())
             for k, c in enumerate(names)}
 
 
 def _cuts(specs: dict[int, BoostSpec]):
     """Best cut of one (model, leaf, feature) from the sums of all tasks."""
     def run(table: pa.Table) -> pa.Table:
-        sums = [np.sum([np.asarray(x) for x in table[c].to_pylist()], axis=0) for c in "ghn"]
-        return pa.table(_cut_columns([_cut_row(*(table[c][0].as_py() for c in ("model", "leaf", "feature")), *sums, specs)]))
+        sums = [table[c].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0) for c in "ghn"]
+        return pa.table(_cut_columns([(*(table[c][0].as_py() for c in ("model", "leaf", "feature")), *sums)], specs))
     return run
 
 
-def _cuts_at_once(batches: Iterator[pa.RecordBatch], specs: dict[int, BoostSpec]) -> Iterator[pa.RecordBatch]:
-    """The same where one task has read all rows, so that its sums are the sums."""
-    for b in batches:
-        rows = [_cut_row(m, v, f, *(np.asarray(x) for x in sums), specs) for m, v, f, *sums in zip(*(b[c].to_pylist() for c in b.schema.names), strict=True)]
-        columns = _cut_columns(rows)
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 # ------------------------------------------------------------------ growing
 
 class _Model:
@@ -498,8 +501,12 @@ def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
         states, specs = [m.state() for m in turn], {m.number: m.spec for m in turn}
 
         def run(batches: Iterator[pa.RecordBatch], states=states, specs=specs, alone=alone) -> Iterator[pa.RecordBatch]:
-            partial = _histograms(batches, states, len(models), width)
-            return _cuts_at_once(partial, specs) if alone else partial
+            sums = _sums(batches, states, len(models), width)
+            if not alone:
+                yield from _lists(sums)
+            elif sums:                                               # the sums of one task that has read all rows are the sums
+                columns = _cut_columns(sums, specs)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         partial = current.drop("id").mapInArrow(run, _CUTS if alone else "model int, leaf int, feature int, g array<double>, h array<double>, n array<double>")
         found = (partial if alone else partial.groupBy("model", "leaf", "feature").applyInArrow(_cuts(specs), _CUTS)).collect()

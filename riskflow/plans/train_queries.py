@@ -7,23 +7,26 @@ covered in tests (OOF covers every labelled row once, folds disjoint, AUC in
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskflow.operators import attribution as AT
+from riskflow.operators import boost as B
 from riskflow.operators import calibration as C
 from riskflow.operators import folds as FO
 from riskflow.operators import train as TR
 from riskflow.operators import woe as W
 from riskflow.plans.registry import finish, register
-from riskflow.session import cut_lineage
+from riskflow.session import checkpoint_dir, cut_lineage
 from riskflow.sources.tables import read_table
 
 K, SEED = 5, 42
 CATS = ["lang", "source"]
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "quality", "lang_WOE", "source_WOE"]
 
-# Scaled-down tree configurations for the registered keys but train_forest_oof (the reference
-# configs are TR.GBT_A / TR.FOREST_C; its own fast variant also trains reduced models).
-GBT_KEY = TR.ModelSpec("gbt", "gbt", {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8}, -999.0)
 FOREST_KEY = TR.ModelSpec("forest", "forest", {"numTrees": 50, "maxDepth": 6}, -999.0)
 
 
@@ -63,10 +66,38 @@ def train_logistic_oof(spark, sf_dir):
     return _oof(spark, sf_dir, TR.LOGISTIC)
 
 
+def _boosted(spark, sf_dir, spec):
+    """OOF table and fold models of a boosted member, as a stage in the shared folder: a key that needs a member which
+    another key of the session has fitted from the same rows reads it."""
+    d = labelled(spark, sf_dir)
+    oof, models, _ = B.cross_validate_stage(d, spec, FEATURES, "doc_id", "label", f"{checkpoint_dir(spark)}/riskflow/stages", "fold", K)
+    return d, oof, models
+
+
 @register("train_gbt_oof")
 def train_gbt_oof(spark, sf_dir):
-    """M-03 / M-04 + M-06: gradient-boosted trees (balanced weights, missing filled -999), OOF table."""
-    return _oof(spark, sf_dir, GBT_KEY)
+    """M-03 + M-06: boosted trees as published (1500 x depth 6, shrinkage 0.02, row and column subsamples, positives weighed
+    by the class ratio), each fold stopped by its held-out rows after 100 trees without a better AUC; OOF table."""
+    return finish(_boosted(spark, sf_dir, B.BOOST_A)[1])
+
+
+@register("train_leafwise_oof")
+def train_leafwise_oof(spark, sf_dir):
+    """M-04 + M-06: best-first trees as published (2000 x 63 leaves, 30 rows a leaf, balanced), stopped likewise; OOF table."""
+    return finish(_boosted(spark, sf_dir, B.BOOST_B)[1])
+
+
+@register("boosted_runs")
+def boosted_runs(spark, sf_dir):
+    """IO-11 / M-03: the run log of the first boosted member, a run a fold: trees kept, rounds and AUC, read back."""
+    from riskflow.sources import io
+    _, _, models = _boosted(spark, sf_dir, B.BOOST_A)
+    path = io.unique_path(spark, "boosted-runs")
+    rows = spark.createDataFrame(B.runs(models), io.RUNS_SCHEMA.rsplit(", ", 1)[0])
+    io.append_runs(rows.withColumn("ts", F.current_timestamp()), path)
+    log = spark.read.parquet(path)
+    return finish(log.select("run_id", "name", F.col("tags")["fold"].cast("int").alias("fold"), F.col("metrics")["n_trees"].cast("int").alias("n_trees"),
+                             F.col("metrics")["n_rounds"].cast("int").alias("n_rounds"), F.col("metrics")["auc_roc"].alias("auc_roc")))
 
 
 @register("train_forest_oof")
@@ -82,47 +113,63 @@ def fold_metrics(spark, sf_dir):
     return finish(FO.fold_stability(per.select("model", "fold", "auc_roc", "auc_pr", "brier"), "auc_roc", groups=["model"]))
 
 
+# The published ranges of the search.
+SEARCH = {"n_trees": lambda r: r.randint(200, 500), "max_depth": lambda r: r.randint(4, 8),
+          "learning_rate": lambda r: 10 ** r.uniform(math.log10(0.005), math.log10(0.05)),
+          "subsample": lambda r: r.uniform(0.6, 1.0), "colsample_tree": lambda r: r.uniform(0.5, 1.0),
+          "min_child_weight": lambda r: float(r.randint(10, 60)), "alpha": lambda r: r.uniform(0.0, 1.0), "lam": lambda r: r.uniform(0.5, 3.0)}
+TRIALS, SEARCH_FOLDS, SEARCH_PATIENCE = 25, 3, 50
+
+
 @register("tune_random")
 def tune_random(spark, sf_dir):
-    """M-07: seeded random search (3 trials, single split: fold 0 validates) maximizing exact AUC."""
-    from riskflow.operators.metrics import rank_metrics
-    d = labelled(spark, sf_dir)
-    train, valid = d.filter("fold != 0"), d.filter("fold = 0")
-    space = {"maxDepth": lambda r: r.randint(3, 6), "stepSize": lambda r: round(r.uniform(0.05, 0.3), 3),
-             "maxIter": lambda r: r.randint(10, 30)}
-    rows = None
-    for i, params in enumerate(TR.random_search(space, 3, SEED)):
-        spec = TR.ModelSpec(f"trial_{i}", "gbt", dict(params), -999.0)
-        m = TR.fit(train, spec, FEATURES, "label")
-        s = TR.score(m, valid, spec, FEATURES, ["label"])
-        r = rank_metrics(s, "label", "prob").select(
-            F.lit(i).alias("trial"), F.lit(params["maxDepth"]).alias("maxDepth"), F.lit(params["stepSize"]).alias("stepSize"),
-            F.lit(params["maxIter"]).alias("maxIter"), "auc_roc")
-        rows = r if rows is None else rows.unionByName(r)
-    return finish(rows)
+    """M-07: 25 seeded draws from the published ranges, each fitted on three folds with early stopping, all 75 models side
+    by side; the mean AUC over the folds decides (rank 1 is the best)."""
+    d = FO.stratified_folds(labelled(spark, sf_dir).drop("fold"), "doc_id", "label", SEARCH_FOLDS, SEED)
+    draws = TR.random_search(SEARCH, TRIALS, SEED)
+    specs = [B.BoostSpec(f"trial_{i}", weights="scale", patience=SEARCH_PATIENCE, **p) for i, p in enumerate(draws)]
+    trials, _ = B.search(d, specs, FEATURES, "doc_id", "label", "fold", SEARCH_FOLDS)
+    rank = F.row_number().over(Window.orderBy(F.desc("mean_auc"), "trial"))        # a row a trial
+    return finish(trials.select("trial", rank.alias("rank"), *[F.col("params")[k].cast("double").alias(k) for k in SEARCH],
+                                *[F.col("fold_auc")[i].alias(f"auc_{i}") for i in range(SEARCH_FOLDS)],
+                                F.aggregate("trees", F.lit(0), lambda a, x: a + x).alias("trees_kept"), "mean_auc"))
+
+
+def _test_documents(spark, sf_dir, d):
+    """Test rows: all documents, encoded with the map fitted on every labelled row (E-04)."""
+    m = W.woe_fit(d, "label", CATS)
+    test = _text_features(read_table(spark, sf_dir, "documents").withColumn("n_chars", F.col("n_chars").cast("double")))
+    q = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    return W.woe_transform(test, m, CATS).join(q, "doc_id", "left")
+
+
+#: The stored blend of the published model (members A, B, C); members of a weight up to 0.01 are skipped.
+BLEND = (0.55, 0.45, 0.0)
 
 
 @register("final_submission")
 def final_submission(spark, sf_dir):
-    """M-10: refit on all labelled rows, score every document; the submission keeps the true id."""
-    d = labelled(spark, sf_dir)
-    model = TR.fit(d, TR.LOGISTIC, FEATURES, "label")
-    # Test rows: all documents, encoded with the map fitted on every labelled row (E-04).
-    m = W.woe_fit(d, "label", CATS)
-    test = _text_features(read_table(spark, sf_dir, "documents").withColumn("n_chars", F.col("n_chars").cast("double")))
-    test = W.woe_transform(test, m, CATS)
-    q = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
-    test = test.join(q, "doc_id", "left")
-    return finish(TR.score(model, test, TR.LOGISTIC, FEATURES, ["doc_id"], "TARGET"))
+    """M-10: both boosted members refitted on all labelled rows, with as many trees as their folds kept on average, and
+    blended by the stored weights over every document; the submission keeps the true id. (The third member has weight 0.)"""
+    members = {}
+    for spec in (B.BOOST_A, B.BOOST_B):
+        d, _, folds = _boosted(spark, sf_dir, spec)
+        members[spec.name] = B.fit(d, replace(spec, patience=None), FEATURES, "doc_id", "label",
+                                   max(1, round(sum(len(m.trees) for m in folds) / K)))
+    names = list(members)
+    edges = {tuple(map(tuple, m.edges)) for m in members.values()}
+    assert len(edges) == 1                                       # fitted from the same rows, so binned alike
+    scored = B.score(_test_documents(spark, sf_dir, d), list(members.values()), ["doc_id"], names)
+    return finish(scored.select("doc_id", sum(F.lit(w) * F.col(n) for w, n in zip(BLEND, names)).alias("TARGET")))
 
 
 @register("importances")
 def importances(spark, sf_dir):
-    """M-11 / K-01: split-gain importances of the boosted member, top 30."""
-    d = labelled(spark, sf_dir)
-    model = TR.fit(d, GBT_KEY, FEATURES, "label")
-    imp = TR.importances(model, FEATURES, spark)
-    return finish(imp.orderBy(F.col("importance").desc(), "feature").limit(30))
+    """M-11 / K-01: gain importances of the first boosted member, mean over its fold models, top 30."""
+    models = _boosted(spark, sf_dir, B.BOOST_A)[2]
+    shares = [m.importances() for m in models]
+    rows = [(f, sum(s[f] for s in shares) / len(shares)) for f in FEATURES]
+    return finish(spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(30))
 
 
 @register("calibrate_scores")
@@ -144,21 +191,21 @@ def calibrate_sigmoid(spark, sf_dir):
 def _linear(spark, sf_dir):
     d = labelled(spark, sf_dir)
     model = TR.fit(d, TR.LOGISTIC, FEATURES, "label")
-    return TR.linear_attributions(model, d.fillna(0.0, subset=FEATURES), FEATURES, ["doc_id"])
+    return TR.linear_contributions(model, d.fillna(0.0, subset=FEATURES), FEATURES, ["doc_id"])
 
 
 @register("attributions")
 def attributions(spark, sf_dir):
     """M-13 / K-02: mean |contribution| per feature of the linear member, top 10."""
-    c = _linear(spark, sf_dir)
+    c = _linear(spark, sf_dir).select(F.explode("contributions").alias("c")).select("c.*")
     out = c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
     return finish(out.orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(10))
 
 
 @register("reason_codes")
 def reason_codes(spark, sf_dir):
-    """S-05 / W-05: top-5 signed contributions per document with direction and description."""
-    return TR.reason_codes(_linear(spark, sf_dir), ["doc_id"], 5)
+    """S-05 / W-05: top-5 signed contributions per document with direction and description, within the row."""
+    return _linear(spark, sf_dir).select("doc_id", TR.top_reasons(F.col("contributions")).alias("top_risk_factors"))
 
 
 @register("raw_baseline")
@@ -194,32 +241,29 @@ def oof_resume(spark, sf_dir):
 def psi_oof_test(spark, sf_dir):
     """X-04 (like-for-like): PSI of the test-set scores against the training OOF scores of the same model."""
     from riskflow.operators import stability as ST
-    oof, _ = TR.cross_validate(labelled(spark, sf_dir), TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K)
-    test = final_submission(spark, sf_dir).withColumnRenamed("TARGET", "prob")
+    d = labelled(spark, sf_dir)
+    oof, _ = TR.cross_validate(d, TR.LOGISTIC, FEATURES, "doc_id", "label", "fold", K, materialize=False)
+    test = TR.score(TR.fit(d, TR.LOGISTIC, FEATURES, "label"), _test_documents(spark, sf_dir, d), TR.LOGISTIC, FEATURES, ["doc_id"])
     return finish(ST.psi(oof.select("prob"), test.select("prob"), "prob"))
 
 
 def _tree_attr(spark, sf_dir):
-    from riskflow.operators import attribution as AT
-    d = labelled(spark, sf_dir)
-    model = TR.fit(d, GBT_KEY, FEATURES, "label")
-    return AT.tree_attributions(d, model, FEATURES, ["doc_id"], fill=GBT_KEY.fill)
+    """Shapley values of the best fold model of the first boosted member, over all labelled documents."""
+    d, _, models = _boosted(spark, sf_dir, B.BOOST_A)
+    return AT.shapley_attributions(d, max(models, key=lambda m: (m.best_auc, -m.held_out)), FEATURES, ["doc_id"])
 
 
 @register("tree_attributions")
 def tree_attributions(spark, sf_dir):
-    """M-13 / K-02 (boosted member): mean |path attribution| per feature, top 10; per-row
-    attributions plus the base value add up to the ensemble margin."""
-    from riskflow.operators import attribution as AT
+    """M-13 / K-02 (boosted member): mean |Shapley value| per feature, top 10; with the base value they add up to the margin."""
     long = AT.to_long(_tree_attr(spark, sf_dir), FEATURES, ["doc_id"])
     return finish(AT.mean_abs(long).orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(10))
 
 
 @register("tree_reason_codes")
 def tree_reason_codes(spark, sf_dir):
-    """S-05 (boosted member): top-5 signed attributions per document with direction and description."""
-    from riskflow.operators import attribution as AT
-    return TR.reason_codes(AT.to_long(_tree_attr(spark, sf_dir), FEATURES, ["doc_id"]), ["doc_id"], 5)
+    """S-05 (boosted member): top-5 signed Shapley values per document with direction and description, within the row."""
+    return _tree_attr(spark, sf_dir).select("doc_id", TR.top_reasons(AT.contributions(FEATURES)).alias("top_risk_factors"))
 
 
 @register("score_responses")
@@ -230,8 +274,8 @@ def score_responses(spark, sf_dir):
     d = labelled(spark, sf_dir)
     model = TR.fit(d, TR.LOGISTIC, FEATURES, "label")
     scored = TR.score(model, d, TR.LOGISTIC, FEATURES, ["doc_id"], "default_probability")
-    reasons = TR.reason_codes(TR.linear_attributions(model, d.fillna(0.0, subset=FEATURES), FEATURES, ["doc_id"]),
-                              ["doc_id"], 5)
+    reasons = TR.linear_contributions(model, d.fillna(0.0, subset=FEATURES), FEATURES, ["doc_id"]).select(
+        "doc_id", TR.top_reasons(F.col("contributions")).alias("top_risk_factors"))
     out = D.respond(scored.join(reasons, "doc_id", "left"), "default_probability", "top_risk_factors", "doc_id")
     return out.select("doc_id", "default_probability", "risk_label", "risk_score", "recommended_action",
                       "top_risk_factors", "model_version", "prediction_id", "is_fallback")
