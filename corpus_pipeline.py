@@ -72,8 +72,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document ``mix_copies`` times (0: not at all), numbered by ``mix_copy`` from 1, with the rate at which it
     was drawn, so the tokens of the rows are in the proportions of the target weights."""
     model = mixing.fit(docs, domains(read_docs(spark, sf_dir, "labels")), TARGETS)
-    rated = mixing.apply(docs, model).filter("mix_copies > 0")
-    return rated.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    rated = mixing.apply(docs, model)
+    # Filtered after the copies are made: a filter on the rate would be moved below it and rate each text twice.
+    copies = F.explode_outer(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return rated.withColumn("mix_copy", copies).filter("mix_copy IS NOT NULL")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
