@@ -1,26 +1,24 @@
 """Structured Streaming re-aims of the request-time paths (T-01, T-02).
 
-T-01 online scoring: file stream -> validation rules (Q) -> feature expressions
-(P) -> score -> risk band (S-04). Two append-mode Parquet file sinks, one for
-valid rows (the scored table) and one for invalid rows with their reasons
-(quarantine). The file sink commits each micro-batch through its own log, so
-output is exactly-once across retries, and the checkpoints live in the shared
-folder so a restarted driver resumes where it stopped. No Python callback runs
-in the stream (no ``foreachBatch``): the whole pipeline is JVM-side.
-
-T-02 drift monitor: event stream with a watermark, tumbling event-time windows
-counting values per PSI bin of the baseline population (bin edges are a fixed
-11-number array computed once from the baseline table), appended to a Parquet
-sink; PSI per closed window is then a small batch aggregate over that sink.
-Rows later than the watermark are dropped by Spark, as designed.
+T-01 online scoring: file stream -> validation rules (Q) -> feature expressions (P) -> saved members -> blend -> risk
+band (S-04). One query reads the source once and appends every row, scored or with the rules it breaks, to one Parquet
+sink partitioned by validity, so valid rows and the quarantine are two partitions of one exactly-once table. The
+checkpoint lies beside it in the shared folder: a run that is started again on the same folder goes on where it stopped.
+
+T-02 drift monitor: event stream with a watermark, tumbling event-time windows counting values per risk band and per
+PSI bin of the baseline population (bin edges are a fixed 11-number array computed once from the baseline table). Closed
+windows are appended to a Parquet sink; those still open when a bounded input ends are read from the state of the query,
+so each input row is in one window or was late. Both views, PSI and counts per band, come from the same counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskflow.functions.literals import double_array
 from riskflow.operators import stability as ST
@@ -38,26 +36,46 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1)
                  .parquet(f"{sf_dir}/{name}.parq[u]et"))
 
 
-def score_stream(spark: SparkSession, source: DataFrame, transform: Callable[[DataFrame], DataFrame],
-                 rules, base: str | None = None) -> tuple[str, str]:
-    """T-01: run the scoring stream to completion (availableNow, however long it takes) and return (scored,
-    quarantine) paths."""
-    root = unique_path(spark, "stream-score", base)
-    scored, quarantine = f"{root}/scored", f"{root}/quarantine"
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+@dataclass(frozen=True)
+class ScoredTable:
+    """Sink of a scoring stream: all rows, partitioned by ``is_valid``."""
+    root: str
+    schema: StructType
+    input_rows: int
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(f"{self.root}/rows")
+
+    def valid(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark).filter("is_valid").drop("violations", "is_valid")
+
+    def quarantine(self, spark: SparkSession) -> DataFrame:
+        """Rows that break rules, with the rules' names joined by commas."""
+        return self.read(spark).filter("NOT is_valid").drop("is_valid")
+
+
+def score_stream(spark: SparkSession, source: DataFrame, transform: Callable[[DataFrame], DataFrame], rules,
+                 base: str | None = None, root: str | None = None, score: Callable[[DataFrame], DataFrame] | None = None,
+                 scores: tuple[str, ...] = ()) -> ScoredTable:
+    """T-01: run the scoring stream over all that is there (availableNow, however long it takes).
+
+    ``transform`` gives the columns that the rules look at; ``score`` adds those that a model gives. The ``scores``
+    columns are emptied where a row breaks a rule. ``root`` is the folder of a stream to go on with."""
+    root = root or unique_path(spark, "stream-score", base)
     checked = V.with_violations(transform(source), rules)
-    valid = checked.filter("is_valid").drop("violations", "is_valid")
-    invalid = checked.filter(~F.col("is_valid")).withColumn("violations", F.array_join("violations", ",")).drop("is_valid")
-    queries = [
-        valid.writeStream.format("parquet").outputMode("append").option("path", scored)
-             .option("checkpointLocation", f"{root}/_checkpoint_scored").trigger(availableNow=True).start(),
-        invalid.writeStream.format("parquet").outputMode("append").option("path", quarantine)
-               .option("checkpointLocation", f"{root}/_checkpoint_quarantine").trigger(availableNow=True).start(),
-    ]
-    for q in queries:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-    return scored, quarantine
+    out = score(checked) if score else checked
+    out = out.withColumns({c: F.when(F.col("is_valid"), F.col(c)) for c in scores})
+    out = out.withColumn("violations", F.array_join("violations", ","))
+    query = (out.writeStream.format("parquet").outputMode("append").partitionBy("is_valid").option("path", f"{root}/rows")
+             .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    _finished(query)
+    return ScoredTable(root, out.schema, sum(p["numInputRows"] for p in query.recentProgress))
 
 
 def utc_instant(ts: str):
@@ -80,25 +98,48 @@ def baseline_edges(baseline: DataFrame, col: str, buckets: int = 10) -> list[flo
 
 
 def drift_stream(spark: SparkSession, events: DataFrame, value: str, ts: str, edges: list[float],
-                 window: str = "1 day", delay: str = "1 hour", base: str | None = None) -> str:
-    """T-02: windowed bin counts with a watermark, appended to Parquet; returns the sink path."""
+                 window: str = "1 day", delay: str = "1 hour", base: str | None = None, band=None, root: str | None = None) -> str:
+    """T-02: counts by window, risk band and bin with a watermark, appended to Parquet; returns the stream's folder."""
     b = len(edges) - 1
     e = double_array(edges)
     x = F.col(value).cast("double")
     in_range = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
     bin_ = F.when(in_range, F.size(F.filter(F.slice(e, 1, b), lambda v: v <= x)) - 1)
-    root = unique_path(spark, "stream-drift", base)
+    root = root or unique_path(spark, "stream-drift", base)
     counts = (events.withColumn("_ts", utc_instant(ts))
                     .withWatermark("_ts", delay)
-                    .groupBy(F.window("_ts", window).alias("w"), bin_.alias("bin"))
+                    .select(F.window("_ts", window).alias("w"), (band if band is not None else F.lit("")).alias("band"), bin_.alias("bin"))
+                    .groupBy("w", "band", "bin")
                     .agg(F.count(F.lit(1)).alias("n"))
-                    .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bin", "n"))
-    q = (counts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/counts")
-               .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return f"{root}/counts"
+                    .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "band", "bin", "n"))
+    _finished(counts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/counts")
+              .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    return root
+
+
+def window_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(window_start, window_end, band, bin, n, is_open): the closed windows of the sink, and those that the query still
+    holds in its state. A window is in one of them: it leaves the state with the batch that appends it."""
+    closed = spark.read.schema("window_start timestamp, window_end timestamp, band string, bin int, n long").parquet(f"{root}/counts")
+    state = spark.read.format("statestore").load(f"{root}/_checkpoint")
+    key, value = (state.schema[c].dataType.names for c in ("key", "value"))
+    w, band, bin_ = (F.col("key")[k] for k in key)
+    held = state.select(w["start"].alias("window_start"), w["end"].alias("window_end"), band.alias("band"), bin_.alias("bin"),
+                        F.col("value")[value[0]].cast("long").alias("n"))
+    return closed.withColumn("is_open", F.lit(False)).unionByName(held.withColumn("is_open", F.lit(True)))
+
+
+def band_counts(counts: DataFrame) -> DataFrame:
+    """(window_start, band, n, is_open): rows of each window by risk band."""
+    return counts.groupBy("window_start", "band", "is_open").agg(F.sum("n").alias("n"))
+
+
+def window_totals(counts: DataFrame, input_rows: int) -> DataFrame:
+    """One row: input_rows, window_rows, open_windows, late_rows. Rows that came after their window had closed are in no
+    window, so they are those that the windows lack."""
+    return counts.agg(F.lit(input_rows).cast("long").alias("input_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("window_rows"),
+                      F.count_distinct(F.when(F.col("is_open"), F.col("window_start"))).alias("open_windows")).withColumn(
+        "late_rows", F.col("input_rows") - F.col("window_rows"))
 
 
 def window_psi(counts: DataFrame, baseline: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -112,7 +153,8 @@ def window_psi(counts: DataFrame, baseline: DataFrame, value: str, edges: list[f
     every = Window.partitionBy(F.lit(1))  # at most 11 rows (bins + out of range)
     expected = (base_bins.withColumn("t", F.sum("n").over(every)).filter(F.col("bin").isNotNull())
                          .select("bin", (F.col("n") / F.col("t")).alias("e_share")))
-    tot = counts.groupBy("window_start").agg(F.sum("n").alias("total"))
+    tot = counts.groupBy("window_start").agg(F.sum("n").alias("total"), F.bool_or("is_open").alias("is_open"))
+    counts = counts.groupBy("window_start", "bin").agg(F.sum("n").alias("n"))
     dense = tot.select("window_start", "total", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("bin"))
     shares = (dense.join(counts.filter(F.col("bin").isNotNull()), ["window_start", "bin"], "left")
                    .join(F.broadcast(expected), "bin", "left")
