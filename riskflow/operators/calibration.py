@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.literals import double_array
-from riskflow.operators.joins import bounded_broadcast
+from riskflow.operators.joins import join_groups
 
 
 def _g(groups) -> list[str]:
@@ -40,20 +40,13 @@ def quantile_edges(df: DataFrame, col: str, n_bins: int, groups: Sequence[str] =
     return df.groupBy(*g).agg(agg.alias("edges")) if g else df.agg(agg.alias("edges"))
 
 
-def _attach(df: DataFrame, edges: DataFrame, g: list[str]) -> DataFrame:
-    """Equi-join rows to their group's small edge row (a constant group when ungrouped)."""
-    if g:
-        return df.join(bounded_broadcast(edges), g, "inner")
-    return df.withColumn("_all", F.lit(0)).join(bounded_broadcast(edges.withColumn("_all", F.lit(0))), "_all").drop("_all")
-
-
 def calibration_bins(df: DataFrame, label: str = "label", score: str = "prob", n_bins: int = 15,
                      groups: Sequence[str] = ()) -> DataFrame:
     """V-15: quantile bins; bin id = number of inner edges strictly below the score
     (an edge value goes to the lower bin); empty bins are absent."""
     g = _g(groups)
     edges = quantile_edges(df, score, n_bins, g)
-    rows = _attach(df.select(*g, label, score), edges, g)
+    rows = join_groups(df.select(*g, label, score), edges, g)
     inner = F.slice(F.col("edges"), 2, n_bins - 1)
     binned = rows.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(score))))
     return (binned.groupBy(*g, "bin")
@@ -69,7 +62,7 @@ def density_by_class(df: DataFrame, col: str, label: str = "label", bins: int =
     x = F.col(col).cast("double")
     if g:
         rng = df.groupBy(*g).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))  # one row per group
-        rows = _attach(df.filter(x.isNotNull()).select(*g, label, col), rng, g)
+        rows = join_groups(df.filter(x.isNotNull()).select(*g, label, col), rng, g)
     else:  # two scalars for the whole table
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
         rows = df.filter(x.isNotNull()).select(label, col, F.lit(r.lo).cast("double").alias("lo"),

@@ -22,6 +22,20 @@ def star_join(base: DataFrame, parts: Sequence[DataFrame], key: str | Sequence[s
     return out
 
 
+def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of ``left`` with the columns of their group's row in ``right`` (one row a group).
+
+    A NULL group is a group like any other. Without groups ``right`` is one row, whose values are scalar subqueries of a
+    projection: no join, and no row of ``left`` moves."""
+    groups = list(groups)
+    if not groups:
+        one = right.select(F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("_one")).scalar()
+        return left.withColumn("_one", one).select(*[f"`{c}`" for c in left.columns], *[F.col("_one")[c].alias(c) for c in right.columns])
+    names = {c: f"_r_{c}" for c in groups}
+    same = [left[c].eqNullSafe(F.col(r)) for c, r in names.items()]
+    return left.join(bounded_broadcast(right.withColumnsRenamed(names)), same, how).drop(*names.values())
+
+
 def bounded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast only a side whose size is checked.
 

@@ -8,9 +8,9 @@ Scale design (no global single-partition window): ``groupBy(groups, score)``
 collapses rows to one row per distinct score with positive / negative counts
 (partial aggregation, so a hot score or a hot group is combined map-side);
 running totals in descending score order come from the distributed prefix
-sum in ``riskflow.operators.prefix`` (approximate-quantile buckets sized from
-the number of distinct scores, small per-bucket offset table, windows only
-inside a bucket).
+sum in ``riskflow.operators.prefix`` (range partitions of the distinct scores,
+small per-bucket offset table, windows only inside a bucket). Rows without a
+label are left out everywhere, whether labelled rows share their score or not.
 
 Let g run over distinct scores in descending order with p_g, n_g and
 inclusive cumulative cp_g, cn_g; P, N the class totals. Then
@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.joins import join_groups
 from riskflow.operators.prefix import prefix_sums
 
 DEFAULT_BUCKETS = None  # None: one range bucket per shuffle partition
@@ -37,13 +38,6 @@ def _g(groups) -> list[str]:
     return [groups] if isinstance(groups, str) else list(groups)
 
 
-def _join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Inner join on the group columns; a NULL group is a group like any other."""
-    names = {c: f"_r_{c}" for c in groups}
-    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
-    return left.join(right.withColumnsRenamed(names), same, "inner").drop(*names.values())
-
-
 def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
                  buckets: int | None = None) -> DataFrame:
     """One row per (groups, distinct score) with p, n, inclusive descending running totals
@@ -51,7 +45,7 @@ def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] =
     (``next_p``/``next_n``, NULL at the end). Distributed: see ``riskflow.operators.prefix``."""
     g = _g(groups) or ["_all"]
     d = df if "_all" not in g else df.withColumn("_all", F.lit(0))
-    hist = (d.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
+    hist = (d.filter(F.col(label).isNotNull()).select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
              .groupBy(*g, "s")
              .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t"))
              .select(*g, "s", "p", (F.col("t") - F.col("p")).alias("n")))
@@ -119,7 +113,7 @@ def full_metrics(df: DataFrame, label: str = "label", score: str = "prob", thres
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
     r = rank_metrics(df, label, score, g, buckets)
     c = confusion_at(df, label, score, threshold, g).withColumn("threshold", F.lit(float(threshold)))
-    out = _join_groups(r, c, g)
+    out = join_groups(r, c, g)
     return out.drop("_all") if "_all" in g else out
 
 
@@ -178,10 +172,10 @@ def report_at_cuts(df: DataFrame, cuts: DataFrame, label: str = "label", score:
     y = F.col(label) == 1
     # The rows are collapsed to distinct scores before they meet the cuts.
     hist = d.groupBy(*g, F.col(score).alias("_s")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-    conf = (_join_groups(hist, c, g).withColumn("_pred", F.col("_s") >= F.col("threshold"))
+    conf = (join_groups(hist, c, g).withColumn("_pred", F.col("_s") >= F.col("threshold"))
             .groupBy(*g, "cut", "threshold")
             .agg(*[F.coalesce(F.sum(F.when(side, F.col(w))), F.lit(0)).alias(x) for x, side, w in (
                 ("TP", F.col("_pred"), "_p"), ("FP", F.col("_pred"), "_n"),
                 ("TN", ~F.col("_pred"), "_n"), ("FN", ~F.col("_pred"), "_p"))]))
-    out = _join_groups(with_rates(conf), rank_metrics(d, label, score, g), g)
+    out = join_groups(with_rates(conf), rank_metrics(d, label, score, g), g)
     return out.drop("_all") if "_all" in g else out

@@ -82,16 +82,19 @@ def prefix_sums(hist: DataFrame, value: str, weights: Sequence[str], groups: Seq
 
 
 def exact_quantiles(df: DataFrame, col: str, levels: Sequence[float], groups: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (the rule of Spark ``percentile`` and SQL
     ``quantile_cont``: position h = q (n - 1), value = x_floor + (x_ceil - x_floor)(h - floor(h))),
     computed without gathering a group's values in one task.
-    Returns (groups..., q array<double>) in the order of ``levels``."""
+    ``weight``: a column that says how many rows a row stands for. Returns (groups..., q array<double>) in the order of
+    ``levels``."""
     g0 = _g(groups)
     g = g0 or ["_all"]
     x = F.col(col).cast("double")
     d = df if g0 else df.withColumn("_all", F.lit(0))
-    hist = d.filter(x.isNotNull()).groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = d.filter(x.isNotNull()).groupBy(*g, x.alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
+    if weight:
+        hist = hist.filter("_c > 0")
     pref, _ = prefix_sums(hist, "_v", ["_c"], g, descending=False, buckets=buckets)
     # 0-based positions wanted per level: h = q (n - 1), floor(h) and ceil(h). Each distinct
     # value covers positions [cum - c, cum); a row keeps the levels whose positions it covers.

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.operators.joins import bounded_broadcast
+from riskflow.operators.joins import join_groups
 
 
 def _g(groups) -> list[str]:
@@ -78,26 +78,24 @@ def percentiles(df: DataFrame, col: str, qs: Sequence[float], groups: Sequence[s
     else:
         arr = F.array(*[F.lit(float(q)) for q in qs])
         qt = d.groupBy(*g).agg(F.percentile_approx(x, arr, accuracy).alias("_p"))
-    out = qt.join(mx, g, "inner")  # one row per group on each side
+    out = join_groups(qt, mx, g)  # one row per group on each side
     return out.select(*g0, *[F.col("_p")[i].alias(f"p{round(q * 100):g}") for i, q in enumerate(qs)], "max")
 
 
 def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
     """D-05: quartiles, IQR, whiskers at data points within 1.5 IQR, outlier count (missing dropped)."""
-    g = _g(groups) or ["_all"]
-    d = df.withColumn("_all", F.lit(0)) if "_all" in g else df
-    d = d.filter(F.col(col).isNotNull())
+    g = _g(groups)
+    d = df.filter(F.col(col).isNotNull())
     x = F.col(col).cast("double")
     from riskflow.operators.prefix import exact_quantiles
     q = exact_quantiles(d, col, [0.25, 0.5, 0.75], g)
     q = q.select(*g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    out = (d.join(bounded_broadcast(q), g, "inner")
+    return (join_groups(d, q, g)
             .groupBy(*g, "q1", "median", "q3", "iqr")
             .agg(F.min(F.when(x >= lo, x)).alias("lower_whisker"), F.max(F.when(x <= hi, x)).alias("upper_whisker"),
                  F.count_if((x < lo) | (x > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n")))
-    return out.drop("_all") if "_all" in g else out
 
 
 def mann_whitney(df: DataFrame, col: str, label: str, first_class: int = 0) -> DataFrame:
@@ -195,13 +193,9 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
 def impute_median(df: DataFrame, col: str, groups: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """A-79: median imputation (grouped when ``groups`` is given) plus a missing-indicator column."""
     from riskflow.operators.prefix import exact_quantiles
-    g0 = _g(groups)
-    g = g0 or ["_all"]
-    d = df if g0 else df.withColumn("_all", F.lit(0))
-    med = exact_quantiles(d, col, [0.5], g).select(*g, F.col("q")[0].alias("_med"))
-    joined = d.join(bounded_broadcast(med), g, "left")
-    if not g0:
-        joined = joined.drop("_all")
+    g = _g(groups)
+    med = exact_quantiles(df, col, [0.5], g).select(*g, F.col("q")[0].alias("_med"))
+    joined = join_groups(df, med, g, "left")
     return joined.withColumns({out or f"{col}_IMPUTED": F.coalesce(F.col(col).cast("double"), F.col("_med")),
                                f"{col}_MISSING": F.col(col).isNull().cast("int")}).drop("_med")
 

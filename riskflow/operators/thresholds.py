@@ -38,7 +38,7 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "prob", gr
     cuts = list(cuts) if cuts is not None else sweep_cuts()
     m = len(cuts)
     grid = double_array(cuts)
-    hist = (df.select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
+    hist = (df.filter(F.col(label).isNotNull()).select(*g, F.col(score).alias("s"), F.col(label).cast("long").alias("y"))
               .groupBy(*g, "s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t")))
     hk = (hist.withColumn("k", F.size(F.filter(grid, lambda c: c <= F.col("s"))))
               .groupBy(*g, "k").agg(F.sum("p").alias("p"), F.sum(F.col("t") - F.col("p")).alias("n")))

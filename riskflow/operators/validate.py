@@ -117,6 +117,10 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Per-rule violation counts in one pass (``count_if`` per rule, then unpivot)."""
     rs = applicable(df, rules)
+    missing = [r for r in rules if r.name.startswith("required:") and not set(r.cols) <= set(df.columns)]
+    rs += [Rule(r.name, (), lambda: F.lit(True)) for r in missing]      # an absent required column fails every row
+    if not rs:
+        return df.sparkSession.createDataFrame([], "rule string, n_violations long")
     wide = df.agg(*[F.count_if(F.coalesce(r.violation(), F.lit(False))).alias(f"r{i}") for i, r in enumerate(rs)])
     pairs = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"r{i}").alias("n_violations"))
                       for i, r in enumerate(rs)])
