@@ -3,8 +3,9 @@
 Train and test applications are unioned with a ``split`` column so every
 expression, aggregate and join runs once for both; the five history blocks
 are aggregated per applicant and left-joined (1:1, N12: no fill); the WoE map
-is fitted on the training rows only and applied to all rows; categoricals are
-dropped afterwards while the id, the target and the split stay.
+is fitted on the training applications alone, before any join, and applied to all
+rows in one projection; categoricals are dropped afterwards while the id, the target
+and the split stay. The result has all columns of the published feature list.
 """
 
 from __future__ import annotations
@@ -45,9 +46,8 @@ def build_feature_table(tables: Mapping[str, DataFrame], fit_woe: bool = True,
         blocks.card_block(tables["credit_card_balance"]),
         blocks.instalment_block(tables["installments_payments"]),
     ]
-    out = star_join(app, parts, KEY)
-    cats = [c for c in categoricals if c in out.columns]
+    cats = [c for c in categoricals if c in app.columns]
     if fit_woe and cats:
-        m = woe.woe_fit(out.filter(F.col("split") == "train"), "TARGET", cats)
-        out = woe.woe_transform(out, m, cats)
+        app = woe.woe_transform(app, woe.woe_fit(train, "TARGET", cats), cats)
+    out = star_join(app, parts, KEY)
     return features.drop_if_present(out, cats, keep=[KEY])

@@ -27,6 +27,7 @@ from riskflow.operators.joins import bounded_broadcast
 from riskflow.session import cut_lineage
 
 MISSING = "__MISSING__"
+MAP_CATEGORIES, MAP_BYTES = 256, 1 << 16        # of a column whose map is a value of the plan, not a table to join
 # IV strength bands of the reference report (E-03).
 IV_BANDS = [(0.02, "Unpredictive"), (0.10, "Weak"), (0.30, "Medium"), (0.50, "Strong")]
 IV_TOP = "Suspicious"
@@ -85,16 +86,36 @@ def woe_transform(df: DataFrame, woe_map: DataFrame, cols: Sequence[str], suffix
 
 
 def _apply_map(df: DataFrame, woe_map: DataFrame, cols: Sequence[str], keys: Sequence[str], suffix: str) -> DataFrame:
-    """The map (one row per category) is written once, so fitting it is not planned again for every column; then
-    one equi-join per column with its slice, broadcast where its counted rows allow it."""
+    """The map (one row per category) is written once, so fitting it is not planned again for every column.
+
+    Columns of few and short categories (checked: ``MAP_CATEGORIES`` and ``MAP_BYTES`` for each key) are encoded in one
+    projection, from one row that holds a map for each column (and fold): no join. The others are joined with their slice."""
     woe_map = cut_lineage(woe_map.filter(F.col("column").isin(list(cols))).select(*keys, "column", "category", "woe"))
-    sizes = {r["column"]: r["n"] for r in woe_map.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = woe_map.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("category") + 8).alias("b"))
+    size = {r["column"]: (r.n, r.b) for r in size.groupBy("column").agg(F.max("n").alias("n"), F.sum("b").alias("b")).collect()}
+    small = [c for c in cols if c not in size or size[c][0] <= MAP_CATEGORIES and size[c][1] <= MAP_BYTES]
     out = df
+    if small:
+        entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+        one = woe_map.filter(F.col("column").isin(small)).groupBy(*keys, "column").agg(entry("category", "woe").alias("m"))
+        for k in reversed(keys):
+            one = one.groupBy(*[x for x in keys if x != k], "column").agg(entry(k, "m").alias("m"))
+        maps = one.agg(entry("column", "m").alias("m")).scalar()
+
+        def encoded(c: str) -> Column:
+            m = F.try_element_at(maps, F.lit(c))
+            for k in keys:
+                m = F.try_element_at(m, F.col(k))
+            return F.coalesce(F.try_element_at(m, _category(c)), F.lit(0.0))
+
+        out = out.withColumns({f"{c}{suffix}": encoded(c) for c in small})
     for c in cols:
+        if c in small:
+            continue
         m = woe_map.filter(F.col("column") == c).select(
             *keys, F.col("category").alias(f"_cat_{c}"), F.col("woe").alias(f"{c}{suffix}"))
         out = (out.withColumn(f"_cat_{c}", _category(c))
-                  .join(bounded_broadcast(m, sizes.get(c, 0)), [*keys, f"_cat_{c}"], "left")
+                  .join(bounded_broadcast(m), [*keys, f"_cat_{c}"], "left")
                   .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(0.0)))
                   .drop(f"_cat_{c}"))
     return out

@@ -148,11 +148,10 @@ def contract_check(spark, sf_dir):
 @register("parse_records", """SELECT event_id AS seq, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, value
 FROM events""")
 def parse_records(spark, sf_dir):
-    """IO-12: JSON request payloads to typed rows (``from_json`` with a fixed schema), the input
-    position kept as a sequence column."""
-    ev = read_table(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("seq"), "event_type", F.from_json("props", "k int").alias("r"), "value") \
-             .select("seq", "event_type", "r.k", "value")
+    """IO-12: JSON request payloads to typed rows (``from_json`` with a fixed schema), each with its position in the input
+    (the SQL takes the id, which counts the rows of this table in order)."""
+    ev = io.read_sequenced(spark, f"{sf_dir}/events.parquet")
+    return io.records_from_json(ev, "props", "k int", "seq", ["event_type", "value"]).select("seq", "event_type", "k", "value")
 
 
 @register("argmax_risk", rounded_all(f"""WITH sl AS ({an.SQL_SCORED_LONG})
@@ -175,7 +174,7 @@ def feature_pipeline(spark, sf_dir):
     from riskflow.plans.feature_queries import star_features
     feats = star_features(spark, sf_dir)
     cats = ["NAME_CONTRACT_TYPE", "CODE_GENDER"]
-    m = W.woe_fit(feats, "TARGET", cats)
+    m = W.woe_fit(an.application(spark, sf_dir), "TARGET", cats)      # before any join
     out = FE.drop_if_present(W.woe_transform(feats, m, cats), cats, keep=["SK_ID_CURR"])
     path = io.write_parquet(finish(out), io.unique_path(spark, "features"))
     return io.read_parquet(spark, path)

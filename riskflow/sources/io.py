@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType,
                                StringType, StructType)
@@ -43,6 +43,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, limit: in
     return df.limit(limit) if limit else df
 
 
+def malformed_counts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """IO-01: (column, n_malformed) of a CSV: values that are there but are none of the column's type, which ``read_csv``
+    reads as NULL."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).option("nullValue", "").option("mode", "PERMISSIVE").csv(path)
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f"n{i}") for i, f in enumerate(wanted)]
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"n{i}").alias("n_malformed")) for i, f in enumerate(wanted)])
+    return raw.agg(*bad).select(F.explode(pairs).alias("x")).select("x.*")
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """IO-04."""
     return spark.read.parquet(path)
@@ -162,9 +172,34 @@ def feature_names(registry: DataFrame, importance: DataFrame | None = None) -> D
 
 # ------------------------------------------------------------------ IO-12 / IO-13
 
-def records_from_json(df: DataFrame, col: str, schema: StructType | str, seq: str = "seq") -> DataFrame:
-    """IO-12: request records (JSON strings) to typed rows, keeping the input order as ``seq``."""
-    return df.select(F.monotonically_increasing_id().alias(seq), F.from_json(col, schema).alias("r")).select(seq, "r.*")
+def _dense(rows: DataFrame, file: str, block: str, within: str, seq: str) -> DataFrame:
+    """``seq`` from 0 in the order of (file, block, within). Only the number of rows of each block is ordered as a whole."""
+    counts = rows.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)      # a row a file or a split of one
+    offsets = counts.select(F.col(file).alias("_f"), F.col(block).alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy(file, block).orderBy(within)) - 1
+    out = rows.withColumn("_rank", rank).join(offsets, (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_k")))
+    return out.withColumn(seq, F.col("_off") + F.col("_rank")).drop("_f", "_k", "_off", "_rank", file, block, within)
+
+
+def read_sequenced(spark: SparkSession, path: str, seq: str = "seq") -> DataFrame:
+    """IO-12: a Parquet table with the position of each row in it: files in the order of their paths, rows as they lie in
+    the file (from the file's own row index, so neither splits nor partitions change it)."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return _dense(rows.withColumn("_block", F.lit(0)), "_file", "_block", "_at", seq)
+
+
+def read_json_records(spark: SparkSession, path: str, schema: StructType | str, seq: str = "seq") -> DataFrame:
+    """IO-12: JSON lines to typed rows with their position in the input: files in the order of their paths, then lines. A
+    line that is no record of the schema keeps its position and has NULLs; blank lines count."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_at"))      # ascending within a split
+    return records_from_json(_dense(lines, "_file", "_block", "_at", seq), "value", schema, seq)
+
+
+def records_from_json(df: DataFrame, col: str, schema: StructType | str, seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """IO-12: JSON strings of a table that has its sequence (``seq``, and further columns to ``keep``) to typed rows."""
+    return df.select(seq, *keep, F.from_json(col, schema).alias("_record")).select(seq, *keep, "_record.*")
 
 
 def contract_report(tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
@@ -175,12 +210,3 @@ def contract_report(tables: Mapping[str, DataFrame], required: Mapping[str, Sequ
         missing = [c for c in required.get(name, []) if c not in present]
         out.append((name, ",".join(missing)))
     return out
-
-
-def empty_like(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def spark_type(name: str) -> DataType:
-    from pyspark.sql.types import _parse_datatype_string
-    return _parse_datatype_string(name)

@@ -22,6 +22,11 @@ APPLICATION_CATEGORICALS = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "FLAG_OWN_CAR",
                             "OCCUPATION_TYPE", "WEEKDAY_APPR_PROCESS_START", "ORGANIZATION_TYPE", "FONDKAPREMONT_MODE",
                             "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE"]
 
+#: Measures of the applicant's building, each as average, mode and median.
+HOUSING_MEASURES = ["APARTMENTS", "BASEMENTAREA", "YEARS_BEGINEXPLUATATION", "YEARS_BUILD", "COMMONAREA", "ELEVATORS",
+                    "ENTRANCES", "FLOORSMAX", "FLOORSMIN", "LANDAREA", "LIVINGAPARTMENTS", "LIVINGAREA",
+                    "NONLIVINGAPARTMENTS", "NONLIVINGAREA"]
+
 APPLICATION = _struct(
     [("SK_ID_CURR", L), ("TARGET", I)]
     + [(c, D) for c in ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "CNT_FAM_MEMBERS",
@@ -29,7 +34,12 @@ APPLICATION = _struct(
                         "OBS_30_CNT_SOCIAL_CIRCLE", "DEF_30_CNT_SOCIAL_CIRCLE", "OBS_60_CNT_SOCIAL_CIRCLE",
                         "DEF_60_CNT_SOCIAL_CIRCLE", "AMT_REQ_CREDIT_BUREAU_HOUR", "AMT_REQ_CREDIT_BUREAU_DAY",
                         "AMT_REQ_CREDIT_BUREAU_WEEK", "AMT_REQ_CREDIT_BUREAU_MON", "AMT_REQ_CREDIT_BUREAU_QRT",
-                        "AMT_REQ_CREDIT_BUREAU_YEAR", "REGION_POPULATION_RELATIVE"]]
+                        "AMT_REQ_CREDIT_BUREAU_YEAR", "REGION_POPULATION_RELATIVE",
+                        "OWN_CAR_AGE", "DAYS_LAST_PHONE_CHANGE"]]
+    + [(f"{m}_{stat}", D) for stat in ("AVG", "MODE", "MEDI") for m in HOUSING_MEASURES] + [("TOTALAREA_MODE", D)]
+    + [(c, I) for c in ["REGION_RATING_CLIENT_W_CITY", "HOUR_APPR_PROCESS_START", "REG_REGION_NOT_LIVE_REGION",
+                        "REG_REGION_NOT_WORK_REGION", "LIVE_REGION_NOT_WORK_REGION", "REG_CITY_NOT_LIVE_CITY",
+                        "REG_CITY_NOT_WORK_CITY", "LIVE_CITY_NOT_WORK_CITY"]]
     + [(c, I) for c in ["CNT_CHILDREN", "DAYS_BIRTH", "DAYS_EMPLOYED", "DAYS_ID_PUBLISH", "FLAG_MOBIL",
                         "FLAG_EMP_PHONE", "FLAG_WORK_PHONE", "FLAG_CONT_MOBILE", "FLAG_PHONE", "FLAG_EMAIL",
                         "REGION_RATING_CLIENT"]]

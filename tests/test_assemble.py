@@ -44,6 +44,13 @@ def test_feature_table(spark):
     assert r2.bureau_total_loans is None and r2.cc_over_limit_sum == 1  # N12: no history -> NULL, no fill
     assert r3.split == "test" and r3.CODE_GENDER_WOE == 0.0  # unseen category
     assert out.filter(F.col("split") == "train").count() == 2
+    # All features of the published list: everything but the key, the target and the split.
+    features = [c for c in out.columns if c not in ("SK_ID_CURR", "TARGET", "split")]
+    assert len(set(features)) == len(features) >= 271
+    assert {"OWN_CAR_AGE", "APARTMENTS_AVG", "NONLIVINGAREA_MEDI", "TOTALAREA_MODE", "EMERGENCYSTATE_MODE_WOE"} <= set(features)
+    # The categories are encoded within the row: the only joins are those of the five blocks.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") <= 7 and "_cat_" not in plan
 
 
 def test_usage_flow_on_credit_fixture(spark):
