@@ -18,6 +18,7 @@ is encoded with statistics that include its own label.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,23 +90,27 @@ def _apply_map(df: DataFrame, woe_map: DataFrame, cols: Sequence[str], keys: Seq
     """The map (one row per category) is written once, so fitting it is not planned again for every column.
 
     Columns of few and short categories (checked: ``MAP_CATEGORIES`` and ``MAP_BYTES`` for each key) are encoded in one
-    projection, from one row that holds a map for each column (and fold): no join. The others are joined with their slice."""
+    projection, by a map for each column (and fold) that is a constant of the plan: no join. The others are joined with their slice."""
     woe_map = cut_lineage(woe_map.filter(F.col("column").isin(list(cols))).select(*keys, "column", "category", "woe"))
     size = woe_map.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("category") + 8).alias("b"))
     size = {r["column"]: (r.n, r.b) for r in size.groupBy("column").agg(F.max("n").alias("n"), F.sum("b").alias("b")).collect()}
     small = [c for c in cols if c not in size or size[c][0] <= MAP_CATEGORIES and size[c][1] <= MAP_BYTES]
     out = df
     if small:
-        entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
-        one = woe_map.filter(F.col("column").isin(small)).groupBy(*keys, "column").agg(entry("category", "woe").alias("m"))
-        for k in reversed(keys):
-            one = one.groupBy(*[x for x in keys if x != k], "column").agg(entry(k, "m").alias("m"))
-        maps = one.agg(entry("column", "m").alias("m")).scalar()
+        tables: dict = {c: {} for c in small}                    # at most MAP_BYTES of categories a column
+        for r in woe_map.filter(F.col("column").isin(small)).collect():
+            at = tables[r["column"]]
+            for k in keys:
+                at = at.setdefault(str(r[k]), {})
+            at[r["category"]] = r["woe"]
+        kind = "map<string,double>"
+        for _ in keys:
+            kind = f"map<string,{kind}>"
 
         def encoded(c: str) -> Column:
-            m = F.try_element_at(maps, F.lit(c))
+            m = F.from_json(F.lit(json.dumps(tables[c])), kind)  # a constant of the plan
             for k in keys:
-                m = F.try_element_at(m, F.col(k))
+                m = F.try_element_at(m, F.col(k).cast("string"))
             return F.coalesce(F.try_element_at(m, _category(c)), F.lit(0.0))
 
         out = out.withColumns({f"{c}{suffix}": encoded(c) for c in small})
