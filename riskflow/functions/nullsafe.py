@@ -96,6 +96,13 @@ def sentinel_to_null(c: ColumnOrName, sentinel: int | float) -> Column:
     return F.nullif(_c(c), F.lit(sentinel))
 
 
+def float_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:
+    """``num / den`` of doubles as floating point has it: by zero an infinity, 0 / 0 NaN (larger than all); no error."""
+    n, d = _c(num).cast("double"), _c(den).cast("double")
+    by_zero = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).when(n.isNotNull(), F.lit(float("nan")))
+    return F.when(d == 0, by_zero).otherwise(n / d)
+
+
 def falsy_default(c: ColumnOrName, default) -> Column:
     """P-41: Python's ``x or d`` - missing *or zero* becomes ``d`` (a value or a column)."""
     d = default if isinstance(default, Column) else F.lit(default)

@@ -103,11 +103,12 @@ ADVICE_DEFAULTS = {"AMT_INCOME_TOTAL": 100000.0, "AMT_CREDIT": 300000.0, "AMT_AN
 
 
 def advice(df: DataFrame, prob: str = "default_probability") -> DataFrame:
-    """S-10 / S-11: prioritized advice titles, counts per priority and the improvement range."""
+    """S-10 / S-11: prioritized advice titles, counts per priority and the improvement range. An income of -1 gives
+    infinite ratios, which are above every limit."""
     g = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in ADVICE_DEFAULTS.items()}
     ext = [ns.falsy_default(f"EXT_SOURCE_{i}", 0.5) for i in (1, 2, 3)]
-    cti = g["AMT_CREDIT"] / (g["AMT_INCOME_TOTAL"] + 1)
-    ati = g["AMT_ANNUITY"] / (g["AMT_INCOME_TOTAL"] + 1)
+    cti = ns.float_ratio(g["AMT_CREDIT"], g["AMT_INCOME_TOTAL"] + 1)
+    ati = ns.float_ratio(g["AMT_ANNUITY"], g["AMT_INCOME_TOTAL"] + 1)
     ext_avg = (ext[0] + ext[1] + ext[2]) / 3
     emp = F.abs(g["DAYS_EMPLOYED"]) / 365.25
     age = F.abs(g["DAYS_BIRTH"]) / 365.25
