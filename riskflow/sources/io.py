@@ -174,19 +174,25 @@ def feature_names(registry: DataFrame, importance: DataFrame | None = None) -> D
 
 def _dense(rows: DataFrame, file: str, block: str, within: str, seq: str) -> DataFrame:
     """``seq`` from 0 in the order of (file, block, within). Only the number of rows of each block is ordered as a whole."""
+    rank = F.row_number().over(Window.partitionBy(file, block).orderBy(within)) - 1
+    return _after(rows.withColumn("_rank", rank), file, block, "_rank", seq).drop(within)
+
+
+def _after(rows: DataFrame, file: str, block: str, rank: str, seq: str) -> DataFrame:
+    """``seq`` of rows that have their rank in their block: the rows of the blocks before are added."""
     counts = rows.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)      # a row a file or a split of one
     offsets = counts.select(F.col(file).alias("_f"), F.col(block).alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy(file, block).orderBy(within)) - 1
-    out = rows.withColumn("_rank", rank).join(offsets, (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_k")))
-    return out.withColumn(seq, F.col("_off") + F.col("_rank")).drop("_f", "_k", "_off", "_rank", file, block, within)
+    out = rows.join(offsets, (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_k")))
+    return out.withColumn(seq, F.col("_off") + F.col(rank)).drop("_f", "_k", "_off", rank, file, block)
 
 
 def read_sequenced(spark: SparkSession, path: str, seq: str = "seq") -> DataFrame:
     """IO-12: a Parquet table with the position of each row in it: files in the order of their paths, rows as they lie in
-    the file (from the file's own row index, so neither splits nor partitions change it)."""
+    the file (from the file's own row index, so neither splits nor partitions change it). The index counts the file's rows
+    from 0 without gaps: it is the rank itself, and no task orders a file."""
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    return _dense(rows.withColumn("_block", F.lit(0)), "_file", "_block", "_at", seq)
+    return _after(rows.withColumn("_block", F.lit(0)), "_file", "_block", "_at", seq)
 
 
 def read_json_records(spark: SparkSession, path: str, schema: StructType | str, seq: str = "seq") -> DataFrame:

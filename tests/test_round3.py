@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators import decide as D
 from riskflow.plans import ORACLES, QUERIES
+from riskflow.sources import io
 
 
 def test_advice_of_an_income_of_minus_one(spark, tmp_path):
@@ -24,3 +25,10 @@ def test_advice_of_no_ratio(spark):
     df = spark.createDataFrame([(-1.0, 0.0, 0.0), (-1.0, -5.0, -5.0), (-1.0, 5.0, 5.0)], "AMT_INCOME_TOTAL double, AMT_CREDIT double, AMT_ANNUITY double").withColumns({
         "DAYS_BIRTH": F.lit(-14000), "DAYS_EMPLOYED": F.lit(-1000), "default_probability": F.lit(0.5), **{f"EXT_SOURCE_{i}": F.lit(0.9) for i in (1, 2, 3)}})
     assert [r.n_high for r in D.advice(df).collect()] == [2, 0, 2]
+
+
+def test_positions_of_a_file_need_no_ordering_of_its_rows(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = io.read_sequenced(spark, str(tmp_path / "p"))
+    assert "row_number" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.seq, r.id) for r in rows.collect()) == [(i, i) for i in range(100)]
