@@ -3,15 +3,16 @@
 * Columns are binned once: code 0 is missing, the others count the cut points below a value. A row is its id, fold,
   label and one byte a feature.
 * A pass over the rows gives, for every open leaf of every model, the gradient and Hessian sums by feature and bin.
-  They are summed within each task, then by one grouped shuffle on (model, leaf, feature), which also finds the best
-  cut of each group; a row a group reaches the driver, whatever the number of rows. Missing values go to the side
-  that gains more.
+  They are summed within each task, then by one shuffle on (model, feature), which also finds the best cut of each leaf;
+  a row a leaf reaches the driver, whatever the number of rows. Missing values go to the side that gains more.
 * Trees grow depth-wise (``max_depth``) or best leaf first (``max_leaves``). A pass opens the children of all leaves
   that could still be split, and the driver then takes the splits in the order of their gain, so the tree is the one
   that opens one leaf at a time while passes are about as many as the tree is deep.
 * Many models share the passes: the folds of a cross-validation, or the folds of all trials of a search. A model
   leaves out its held-out fold, scores it after each tree, and stops after ``patience`` trees without a better AUC.
-* Scores so far are a column of the row table, written again to the shared folder once ``REFRESH`` trees wait.
+* Rows lie in executors as blocks of arrays with the scores so far; a new tree of each model is added to these once,
+  with a checkpoint in the shared folder every ``LINEAGE`` additions. Where there are fewer blocks than cores, the models
+  are dealt into groups with their own copies of the blocks, and a pass of one block needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,18 +21,24 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.operators.stages import fingerprint, run_slices, spec_hash
+from riskflow.session import checkpoint_dir
 from riskflow.sources.io import unique_path
 
 MAX_BINS = 255          # with code 0 for missing values, one byte
-REFRESH = 160           # trees of all models that a pass walks before the scores are written
+REFRESH = 160           # most trees of all models that a pass walks before they are added to the scores; else one a model
+LINEAGE = 50            # additions to the scores between two checkpoints of them
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 14      # of a block of rows: most, and least where there are idle cores
+KEPT = StorageLevel.MEMORY_AND_DISK
 SCORE_BUCKETS = 4096    # of the AUC that ends the boosting
 PASS_BYTES = 1 << 28    # of histograms held by a task
 
@@ -173,10 +180,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def binned(df: DataFrame, features: Sequence[str], edges: list[list[float]], id_col: str, label: str,
            fold: str | None = None) -> DataFrame:
-    """Row table (id, draw, fold, label, codes, margins) in the shared folder; rows without a label are kept for scoring."""
+    """Row table (id, draw, fold, label, codes) in the shared folder; rows without a label are kept for scoring."""
     features = list(features)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL(
-        "draw long, fold int, label double, codes binary, margins array<double>")])
+        "draw long, fold int, label double, codes binary")])
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("draw"),
                      (F.coalesce(F.col(fold).cast("int"), F.lit(-1)) if fold else F.lit(-1)).alias("fold"),
                      F.col(label).cast("double").alias("label"), *[_number(c).alias(f"c{i}") for i, c in enumerate(features)])
@@ -184,9 +191,8 @@ def binned(df: DataFrame, features: Sequence[str], edges: list[list[float]], id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = _codes([_doubles(b, f"c{i}") for i in range(len(features))], edges)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.float64()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["draw"], b["fold"], b["label"], _binary(codes), none],
-                                             names=["id", "draw", "fold", "label", "codes", "margins"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["draw"], b["fold"], b["label"], _binary(codes)],
+                                             names=["id", "draw", "fold", "label", "codes"])
 
     return _stored(rows.mapInArrow(run, schema).hint("rebalance"), "boost-rows")
 
@@ -208,59 +214,78 @@ def _margin(state: dict, codes: np.ndarray, base: np.ndarray) -> np.ndarray:
     return out
 
 
-def _base(column: pa.Array, models: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), models) if len(flat) else np.zeros((len(column), models))
-
-
-def _sums(batches: Iterator[pa.RecordBatch], states: list[dict], models: int, width: int) -> list[tuple]:
-    """(model, leaf, feature, g, h, n by bin) of the rows of a task; at leaf -1 the scores of the held-out rows by class."""
-    sums = [np.zeros((len(s["open"]), width, 256, 3)) for s in states]
-    scores = [np.zeros((2, SCORE_BUCKETS)) if s["score"] else None for s in states]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        codes, base = _matrix(b["codes"], width), _base(b["margins"], models)
-        label, fold = _doubles(b, "label"), b["fold"].to_numpy()
-        draw = b["draw"].to_numpy()
-        for s, hist, score in zip(states, sums, scores, strict=True):
-            own = ~np.isnan(label)
-            p = 1 / (1 + np.exp(-_margin(s, codes, base[:, s["model"]])))
-            held = own & (fold == s["held_out"]) if s["held_out"] is not None else np.zeros(len(own), bool)
-            if score is not None:
-                at = np.minimum((p[held] * SCORE_BUCKETS).astype(np.int64), SCORE_BUCKETS - 1)
-                for y in (0, 1):
-                    score[y] += np.bincount(at[label[held] == y], minlength=SCORE_BUCKETS)
-            if not len(s["open"]):
-                continue
-            own &= ~held
-            if s["subsample"] < 1:
-                own &= _uniform(draw, s["seed"]) < s["subsample"]
-            rows = np.flatnonzero(own)
-            slot = s["slot"][_walk(s["tree"], codes[rows])]
-            rows, slot = rows[slot >= 0], slot[slot >= 0]
-            y, q = label[rows], p[rows]
-            w = np.where(y == 1, s["weights"][1], s["weights"][0])
-            g, h, size = w * (q - y), w * q * (1 - q), len(s["open"]) * 256
-            for f in s["columns"]:
-                at = slot * 256 + codes[rows, f]
-                for k, x in enumerate((g, h, None)):
-                    hist[:, f, :, k] += np.bincount(at, x, size).reshape(-1, 256)
-    out = []
-    for s, hist, score in zip(states, sums, scores, strict=True):
-        if score is not None and score.any():
-            out.append((s["model"], -1, -1, score[1], score[0], np.zeros(1)))
-        for i, columns in enumerate(s["allowed"]):
-            out += [(s["model"], i, f, *hist[i, f].T) for f in columns if hist[i, f, :, 2].any()]
-    return out
+def _blocks(rows: DataFrame, models: int, width: int) -> tuple[RDD, int, int]:
+    """The labelled rows as blocks of arrays (group, draw, fold, label, codes, margins) in executors, the number of groups
+    and of blocks a group. A block holds at most about ``BLOCK_ROWS``; where there are fewer blocks than cores, every
+    group of models has its own copies, so that models of one block run in tasks of their own."""
+    labelled = rows.filter("label IS NOT NULL").select("draw", "fold", "label", "codes")
+    n, cores = labelled.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // BLOCK_ROWS), min(cores // models, -(-n // LEAST_ROWS)), 1)
+    groups = max(1, min(models, cores // blocks))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if whole:
+            parts = [np.concatenate(x).tobytes() for x in zip(*[(b["draw"].to_numpy(), b["fold"].to_numpy(), _doubles(b, "label"), _matrix(b["codes"], width))
+                                                                for b in whole], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["draw", "fold", "label", "codes"])
+
+    table = labelled.repartition(blocks).mapInArrow(packed, "draw binary, fold binary, label binary, codes binary").rdd.persist(KEPT)
+
+    def of_group(g: int):
+        size = len(range(g, models, groups))
+
+        def run(it):
+            for r in it:
+                draw = np.frombuffer(r.draw, np.int64)
+                yield (g, draw, np.frombuffer(r.fold, np.int32), np.frombuffer(r.label, np.float64),
+                       np.frombuffer(r.codes, np.uint8).reshape(len(draw), width), np.zeros((len(draw), size)))
+        return run
+
+    copies = [table.mapPartitions(of_group(g)) for g in range(groups)]
+    return (rows.sparkSession.sparkContext.union(copies) if groups > 1 else copies[0]), groups, blocks
 
 
-def _lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        ints = [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([r[k] for r in rows])))
-                 for k in (3, 4, 5)]
-        yield pa.RecordBatch.from_arrays([*ints, *lists], names=["model", "leaf", "feature", "g", "h", "n"])
+def _own(states: list[dict], group: int, groups: int) -> list[dict]:
+    return [s for s in states if s["model"] % groups == group]
+
+
+def _advanced(groups: int, states: list[dict]):
+    """Margins with the waiting trees of all models added."""
+    def run(it):
+        for g, draw, fold, label, codes, base in it:
+            base = base.copy()
+            for s in _own(states, g, groups):
+                k = s["model"] // groups
+                base[:, k] = _margin(s, codes, base[:, k])
+            yield g, draw, fold, label, codes, base
+    return run
+
+
+def _sums(block: tuple, s: dict, groups: int) -> Iterator[tuple]:
+    """((model, feature), sums of g, h and n by leaf and bin) of the rows of a block; at feature -1 the scores of the
+    held-out rows by class."""
+    _, draw, fold, label, codes, base = block
+    p = 1 / (1 + np.exp(-_margin(s, codes, base[:, s["model"] // groups])))
+    held = fold == s["held_out"] if s["held_out"] is not None else np.zeros(len(fold), bool)
+    if s["score"]:
+        at = np.minimum((p[held] * SCORE_BUCKETS).astype(np.int64), SCORE_BUCKETS - 1)
+        yield (s["model"], -1), np.stack([np.bincount(at[label[held] == y], minlength=SCORE_BUCKETS) for y in (0, 1)]).astype(float)
+    if not len(s["open"]):
+        return
+    own = ~held
+    if s["subsample"] < 1:
+        own &= _uniform(draw, s["seed"]) < s["subsample"]
+    rows = np.flatnonzero(own)
+    slot = s["slot"][_walk(s["tree"], codes[rows])]
+    if (slot < 0).any():
+        rows, slot = rows[slot >= 0], slot[slot >= 0]
+    y, q = label[rows], p[rows]
+    w = np.where(y == 1, s["weights"][1], s["weights"][0])
+    g, h, leaves = w * (q - y), w * q * (1 - q), len(s["open"])
+    for f in s["columns"]:
+        at = slot * 256 + codes[rows, f]
+        yield (s["model"], f), np.stack([np.bincount(at, x, leaves * 256).reshape(leaves, 256) for x in (g, h, None)])
 
 
 def _auc(pos: np.ndarray, neg: np.ndarray) -> float:
@@ -292,30 +317,45 @@ def best_cuts(g: np.ndarray, h: np.ndarray, n: np.ndarray, spec: BoostSpec) -> l
     return list(zip(*[x.tolist() for x in best], strict=True))
 
 
-_CUTS = ("model int, leaf int, feature int, gain double, cut int, missing_left boolean, gl double, hl double, nl double, "
-         "g double, h double, n double")
-
-
-def _cut_columns(rows: list[tuple], specs: dict[int, BoostSpec]) -> dict[str, pa.Array]:
-    """Best cut of each (model, leaf, feature) from whole sums, as columns of ``_CUTS``."""
-    out = [(*r[:3], _auc(r[3], r[4]), 0, False, *[0.0] * 6) for r in rows if r[1] < 0]
-    for m in sorted({r[0] for r in rows}):
-        own = [r for r in rows if r[0] == m and r[1] >= 0]
-        if own:
-            g, h, n = (np.stack([r[k] for r in own]) for k in (3, 4, 5))
-            totals = zip(*[x.sum(axis=1).tolist() for x in (g, h, n)], strict=True)
-            out += [(*r[:3], *cut, *t) for r, cut, t in zip(own, best_cuts(g, h, n, specs[m]), totals, strict=True)]
-    names = [c.split()[0] for c in _CUTS.split(", ")]
-    return {c: pa.array([r[k] for r in out], pa.int32() if c in ("model", "leaf", "feature", "cut") else pa.bool_() if c == "missing_left" else pa.float64())
-            for k, c in enumerate(names)}
-
-
-def _cuts(specs: dict[int, BoostSpec]):
-    """Best cut of one (model, leaf, feature) from the sums of all tasks."""
-    def run(table: pa.Table) -> pa.Table:
-        sums = [table[c].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0) for c in "ghn"]
-        return pa.table(_cut_columns([(*(table[c][0].as_py() for c in ("model", "leaf", "feature")), *sums)], specs))
-    return run
+class Cut(NamedTuple):
+    """The best cut of a leaf by one feature: its gain (0 without one), where, the left side's sums and the leaf's."""
+    gain: float
+    cut: int
+    missing_left: bool
+    gl: float
+    hl: float
+    nl: float
+    g: float
+    h: float
+    n: float
+    feature: int
+
+
+def _cuts(key: tuple[int, int], sums: np.ndarray, states: dict[int, dict], specs: dict[int, BoostSpec]) -> tuple:
+    """(model, best cut by leaf that has rows and may be cut by the feature) from whole sums; at feature -1 the AUC."""
+    m, f = key
+    if f < 0:
+        return m, _auc(sums[1], sums[0]) if sums.any() else None
+    at = [i for i, columns in enumerate(states[m]["allowed"]) if f in columns and sums[2, i].any()]
+    if not at:
+        return m, {}
+    g, h, n = sums[0, at], sums[1, at], sums[2, at]
+    totals = zip(*[x.sum(axis=1).tolist() for x in (g, h, n)], strict=True)
+    return m, {i: Cut(*cut, *t, f) for i, cut, t in zip(at, best_cuts(g, h, n, specs[m]), totals, strict=True)}
+
+
+def _best(found: list[tuple]) -> list[tuple]:
+    """The same by model: the best feature of each leaf; equal gains go to the first feature."""
+    out: dict[int, tuple] = {}
+    for m, x in found:
+        auc, leaves = out.setdefault(m, [None, {}])
+        if isinstance(x, dict):
+            for i, c in x.items():
+                if i not in leaves or (-round(c.gain, 9), c.feature) < (-round(leaves[i].gain, 9), leaves[i].feature):
+                    leaves[i] = c
+        else:
+            out[m][0] = x
+    return [(m, auc, leaves) for m, (auc, leaves) in out.items()]
 
 
 # ------------------------------------------------------------------ growing
@@ -365,21 +405,19 @@ class _Model:
                 "score": self.held_out is not None and len(self.history) < len(self.trees) and (self.open == [0] or self.last),
                 "subsample": self.spec.subsample, "seed": self.spec.seed * 100_003 + len(self.trees)}
 
-    def take(self, rows: list) -> None:
+    def take(self, auc: float | None, leaves: dict[int, Cut]) -> None:
         """The result of a pass: the score of the trees so far, and the best cut of each open leaf."""
-        scored = [r.gain for r in rows if r.leaf < 0]
-        if scored:
-            self.history.append(scored[0])
+        if auc is not None:
+            self.history.append(auc)
         if self._over():
             self.done = True
             return
         for i, v in enumerate(self.open):
-            own = [r for r in rows if r.leaf == i]
-            if own and v not in self.sums:
-                self.sums[v] = (own[0].g, own[0].h, own[0].n)
-            own = [r for r in own if r.gain > 1e-12]
-            if own:
-                self.cuts[v] = min(own, key=lambda r: (-round(r.gain, 9), r.feature))
+            if i in leaves:
+                c = leaves[i]
+                self.sums.setdefault(v, (c.g, c.h, c.n))
+                if c.gain > 1e-12:
+                    self.cuts[v] = c
         self.sums.setdefault(0, (0.0, 0.0, 0.0))
         chosen = self._chosen()
         if isinstance(chosen, list):
@@ -464,54 +502,57 @@ def _class_weights(rows: DataFrame, jobs: Sequence[tuple[BoostSpec, int | None]]
     return out
 
 
-def _refreshed(rows: DataFrame, live: list[_Model], models: int, width: int) -> DataFrame:
-    states = [m.state() for m in live]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, base = _matrix(b["codes"], width), _base(b["margins"], models).copy()
-            for s in states:
-                base[:, s["model"]] = _margin(s, codes, base[:, s["model"]])
-            margins = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * models), pa.array(base.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], margins], names=b.schema.names)
-
-    return _stored(rows.mapInArrow(run, rows.schema), "boost-margins")
-
-
 def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
              jobs: Sequence[tuple[BoostSpec, int | None]]) -> list[Ensemble]:
     """Fit a model for each (spec, held-out fold or None) over ``binned`` rows, all in the same passes."""
     width, features = len(features), list(features)
     weights = _class_weights(rows, jobs)
     models = [_Model(k, spec, held, weights[k], width) for k, (spec, held) in enumerate(jobs)]
-    current = rows.select("id", "draw", "fold", "label", "codes", "margins")
-    alone = current.rdd.getNumPartitions() == 1                      # one task reads all rows: nothing to shuffle
+    checkpoint_dir(rows.sparkSession)
+    current, groups, blocks = _blocks(rows, len(models), width)
+    kept, refreshed = [current.persist(KEPT)], 0
     while live := [m for m in models if not m.done]:
-        if sum(len(m.pending) for m in live) >= REFRESH:
-            current = _refreshed(current, live, len(models), width)
+        if sum(len(m.pending) for m in live) >= min(REFRESH, len(live)):
+            current = current.mapPartitions(_advanced(groups, [m.state() for m in live]), preservesPartitioning=True).persist(KEPT)
+            kept.append(current)
+            refreshed += 1
+            if refreshed % LINEAGE == 0:
+                current.checkpoint()
+                current.count()
             for m in live:
                 m.pending = []
         live.sort(key=lambda m: (len(m.trees), m.number))          # those behind go first
-        turn, size = [], 0
+        turn, size = [], dict.fromkeys(range(groups), 0)
         for m in live:
-            size += (len(m.open) + 1) * width * 256 * 24
-            if turn and size > PASS_BYTES:
+            size[m.number % groups] += (len(m.open) + 1) * width * 256 * 24
+            if turn and max(size.values()) > PASS_BYTES:
                 break
             turn.append(m)
         states, specs = [m.state() for m in turn], {m.number: m.spec for m in turn}
-
-        def run(batches: Iterator[pa.RecordBatch], states=states, specs=specs, alone=alone) -> Iterator[pa.RecordBatch]:
-            sums = _sums(batches, states, len(models), width)
-            if not alone:
-                yield from _lists(sums)
-            elif sums:                                               # the sums of one task that has read all rows are the sums
-                columns = _cut_columns(sums, specs)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-        partial = current.drop("id").mapInArrow(run, _CUTS if alone else "model int, leaf int, feature int, g array<double>, h array<double>, n array<double>")
-        found = (partial if alone else partial.groupBy("model", "leaf", "feature").applyInArrow(_cuts(specs), _CUTS)).collect()
+        by_number = {s["model"]: s for s in states}
+
+        def sums(it, states=states):
+            for block in it:
+                for s in _own(states, block[0], groups):
+                    yield from _sums(block, s, groups)
+
+        def cuts(it, by_number=by_number, specs=specs):
+            return _best([_cuts(key, x, by_number, specs) for key, x in it])
+
+        partial = current.mapPartitions(sums)
+        if blocks > 1:                                              # else a task has read all rows of its models
+            partial = partial.reduceByKey(np.add, min(blocks * groups, len(turn) * width))
+        got: dict[int, list] = {}
+        for m, auc, leaves in partial.mapPartitions(cuts).collect():
+            got.setdefault(m, []).extend([(m, auc)] if auc is not None else [])
+            got[m].append((m, leaves))
         for m in turn:
-            m.take([r for r in found if r.model == m.number])
+            (_, auc, leaves), = _best(got.get(m.number, [])) or [(m.number, None, {})]
+            m.take(auc, leaves)
+        while len(kept) > 1:                                        # the last is in executors now
+            kept.pop(0).unpersist()
+    for r in kept:
+        r.unpersist()
     return [m.ensemble(features, edges) for m in models]
 
 
