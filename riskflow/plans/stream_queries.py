@@ -15,7 +15,7 @@ from riskflow.operators import validate as V
 from riskflow.plans import analogues as an
 from riskflow.plans.decision_queries import _PROB, _RULES_SQL
 from riskflow.plans.registry import finish, register, rounded_all
-from riskflow.session import cut_lineage
+from riskflow.session import cut_lineage, spread
 from riskflow.sources.io import unique_path
 from riskflow.streaming import stream as S
 
@@ -66,7 +66,7 @@ def served_model(spark, sf_dir):
     """Fit both members on the applications' own features (P-01 .. P-27), save them, and load them back."""
     train = FE.application_features(an.application(spark, sf_dir).withColumn("TARGET", F.expr("CASE WHEN EXT_SOURCE_1 IS NULL THEN 1 ELSE 0 END")))
     features = [c for c, t in train.dtypes if t in ("int", "bigint", "double") and c not in ("SK_ID_CURR", "TARGET", "EXT_SOURCE_1")]
-    train = cut_lineage(train.select("SK_ID_CURR", "TARGET", *features))
+    train = spread(cut_lineage(train.select("SK_ID_CURR", "TARGET", *features)))
     fill = TR.LOGISTIC.fill
     linear = TR.fit(SV.filled(train, features, fill), TR.LOGISTIC, SV.pipeline_inputs(features), "TARGET")
     trees = B.fit(train, replace(B.BOOST_A, n_trees=SERVED_TREES, patience=None), features, "SK_ID_CURR", "TARGET")

@@ -20,7 +20,7 @@ from riskflow.operators import folds as FO
 from riskflow.operators import train as TR
 from riskflow.operators import woe as W
 from riskflow.plans.registry import finish, register
-from riskflow.session import checkpoint_dir, cut_lineage
+from riskflow.session import checkpoint_dir, cut_lineage, spread
 from riskflow.sources.tables import read_table
 
 K, SEED = 5, 42
@@ -44,7 +44,7 @@ def labelled(spark, sf_dir):
     cannot be fitted and are left out here, not by the folds.
 
     Materialized once by a reliable checkpoint in the shared folder: every fold fit
-    and every optimizer iteration then starts from the checkpoint, not the full plan."""
+    and every optimizer iteration then starts from the checkpoint, not the full plan, on all cores."""
     lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
     doc = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source",
                                                         F.col("n_chars").cast("double").alias("n_chars"))
@@ -52,7 +52,7 @@ def labelled(spark, sf_dir):
     d = FO.stratified_folds(d, "doc_id", "label", K, SEED)
     m = W.woe_fit_oof(d, "label", CATS, "fold", K)
     out = W.woe_transform_oof(d, m, CATS, "fold").withColumn("quality", F.col("quality").cast("double"))
-    return cut_lineage(out)
+    return spread(cut_lineage(out))
 
 
 def _oof(spark, sf_dir, spec):

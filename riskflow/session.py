@@ -78,3 +78,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+# Rows of a task that are worth a core of their own, and most rows of a task.
+TASK_ROWS, MOST_TASK_ROWS = 1 << 13, 1 << 18
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A checkpointed frame that is read many times, over about as many tasks as there are cores.
+
+    A frame keeps the partitions of its last shuffle or of its files: hundreds with few rows each, where every task of a
+    forest sends the sums of all nodes, or a single one. Frames of fewer than ``TASK_ROWS`` rows stay as they are."""
+    n, now = df.count(), df.rdd.getNumPartitions()
+    want = min(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_TASK_ROWS)), -(-n // TASK_ROWS))
+    if n < TASK_ROWS or now == want:
+        return df
+    return cut_lineage(df.coalesce(want) if now > want else df.repartition(want))
