@@ -13,10 +13,13 @@
 * Rows lie in executors as blocks of arrays with the scores so far; a new tree of each model is added to these once,
   with a checkpoint in the shared folder every ``LINEAGE`` additions. Where there are fewer blocks than cores, the models
   are dealt into groups with their own copies of the blocks, and a pass of one block needs no shuffle.
+* Rows that fit a task many times over (``WHOLE_ROWS``, ``WHOLE_CODES``) need no passes: a task reads them all and grows
+  all trees of one model by the same rules, so a round costs no job.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 from collections.abc import Iterator, Sequence
@@ -41,6 +44,8 @@ BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 14      # of a block of rows: most, and l
 KEPT = StorageLevel.MEMORY_AND_DISK
 SCORE_BUCKETS = 4096    # of the AUC that ends the boosting
 PASS_BYTES = 1 << 28    # of histograms held by a task
+OPENS_LESS = 8          # within a task, this part of the leaves that there is room for is opened at once
+WHOLE_ROWS, WHOLE_CODES = 1 << 21, 1 << 26      # most labelled rows, and rows times features, of which one task grows a whole model
 
 
 @dataclass(frozen=True)
@@ -86,7 +91,7 @@ class Tree:
         return len(self.feature) - 1
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {k: np.asarray(v) for k, v in asdict(self).items()}
+        return {k: np.asarray(v) for k, v in vars(self).items()}
 
 
 def _walk(tree: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
@@ -102,6 +107,25 @@ def _walk(tree: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
         node = np.where(inner, np.where(left, tree["left"][node], tree["right"][node]), node)
 
 
+def _values(tree: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """The tree's answer to each row, from its codes by [feature, row]: the rows of a node are dealt to its children."""
+    out = np.empty(columns.shape[1])
+    waiting = [(0, slice(None))]
+    while waiting:
+        v, rows = waiting.pop()
+        f = tree["feature"][v]
+        if f < 0:
+            out[rows] = tree["value"][v]
+            continue
+        c, cut = columns[f][rows], int(tree["cut"][v])
+        left = c <= cut if tree["missing_left"][v] else (c <= cut) & (c > 0)
+        if isinstance(rows, slice):
+            waiting += [(tree["left"][v], np.flatnonzero(left)), (tree["right"][v], np.flatnonzero(~left))]
+        else:
+            waiting += [(tree["left"][v], rows[left]), (tree["right"][v], rows[~left])]
+    return out
+
+
 @dataclass
 class Ensemble:
     """Trees kept (up to the best round), the AUC of the held-out fold after each round, and what is needed to score."""
@@ -127,7 +151,7 @@ class Ensemble:
         return {k: v / whole if whole else 0.0 for k, v in total.items()}
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps(self, default=vars)
 
     @staticmethod
     def from_json(text: str) -> Ensemble:
@@ -208,21 +232,14 @@ def _uniform(draw: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _margin(state: dict, codes: np.ndarray, base: np.ndarray) -> np.ndarray:
-    out = base.copy()
+    out, columns = base.copy(), np.ascontiguousarray(codes.T) if state["pending"] else codes
     for tree in state["pending"]:
-        out += tree["value"][_walk(tree, codes)]
+        out += _values(tree, columns)
     return out
 
 
-def _blocks(rows: DataFrame, models: int, width: int) -> tuple[RDD, int, int]:
-    """The labelled rows as blocks of arrays (group, draw, fold, label, codes, margins) in executors, the number of groups
-    and of blocks a group. A block holds at most about ``BLOCK_ROWS``; where there are fewer blocks than cores, every
-    group of models has its own copies, so that models of one block run in tasks of their own."""
-    labelled = rows.filter("label IS NOT NULL").select("draw", "fold", "label", "codes")
-    n, cores = labelled.count(), rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(-(-n // BLOCK_ROWS), min(cores // models, -(-n // LEAST_ROWS)), 1)
-    groups = max(1, min(models, cores // blocks))
-
+def _packed(rows: DataFrame, blocks: int, width: int) -> RDD:
+    """The labelled rows as one row (draw, fold, label, codes) a block, kept in executors."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
         if whole:
@@ -230,16 +247,31 @@ def _blocks(rows: DataFrame, models: int, width: int) -> tuple[RDD, int, int]:
                                                                 for b in whole], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["draw", "fold", "label", "codes"])
 
-    table = labelled.repartition(blocks).mapInArrow(packed, "draw binary, fold binary, label binary, codes binary").rdd.persist(KEPT)
+    labelled = rows.filter("label IS NOT NULL").select("draw", "fold", "label", "codes")
+    return labelled.repartition(blocks).mapInArrow(packed, "draw binary, fold binary, label binary, codes binary").rdd.persist(KEPT)
+
+
+def _unpacked(r, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    draw = np.frombuffer(r.draw, np.int64)
+    return draw, np.frombuffer(r.fold, np.int32), np.frombuffer(r.label, np.float64), np.frombuffer(r.codes, np.uint8).reshape(len(draw), width)
+
+
+def _blocks(rows: DataFrame, n: int, models: int, width: int) -> tuple[RDD, int, int]:
+    """The ``n`` labelled rows as blocks of arrays (group, draw, fold, label, codes, margins) in executors, the number of groups
+    and of blocks a group. A block holds at most about ``BLOCK_ROWS``; where there are fewer blocks than cores, every
+    group of models has its own copies, so that models of one block run in tasks of their own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // BLOCK_ROWS), min(cores // models, -(-n // LEAST_ROWS)), 1)
+    groups = max(1, min(models, cores // blocks))
+    table = _packed(rows, blocks, width)
 
     def of_group(g: int):
         size = len(range(g, models, groups))
 
         def run(it):
             for r in it:
-                draw = np.frombuffer(r.draw, np.int64)
-                yield (g, draw, np.frombuffer(r.fold, np.int32), np.frombuffer(r.label, np.float64),
-                       np.frombuffer(r.codes, np.uint8).reshape(len(draw), width), np.zeros((len(draw), size)))
+                block = _unpacked(r, width)
+                yield g, *block, np.zeros((len(block[0]), size))
         return run
 
     copies = [table.mapPartitions(of_group(g)) for g in range(groups)]
@@ -296,25 +328,39 @@ def _auc(pos: np.ndarray, neg: np.ndarray) -> float:
 
 def best_cuts(g: np.ndarray, h: np.ndarray, n: np.ndarray, spec: BoostSpec) -> list[tuple[float, int, bool, float, float, float]]:
     """(gain, cut, missing left, and the left side's sums) of each row of [leaf and feature, bin]; gain 0 without a cut."""
-    def score(gs, hs):
-        return np.maximum(np.abs(gs) - spec.alpha, 0) ** 2 / np.maximum(hs + spec.lam, 1e-12)
+    return list(zip(*[x.tolist() for x in _best_cuts(g, h, n, spec)], strict=True))
+
 
-    rows, total = np.arange(len(g)), [x.sum(axis=1, keepdims=True) for x in (g, h, n)]
-    best, least = None, max(spec.min_child_rows, 1)
-    for missing_left in (False, True):
-        left = [np.cumsum(x[:, 1:], axis=1) + (x[:, :1] if missing_left else 0) for x in (g, h, n)]
+def _best_cuts(g: np.ndarray, h: np.ndarray, n: np.ndarray, spec: BoostSpec) -> list[np.ndarray]:
+    def score(gs, hs):
+        a, b = np.abs(gs), hs + spec.lam
+        a -= spec.alpha
+        np.maximum(a, 0, out=a)
+        a *= a
+        a /= np.maximum(b, 1e-12, out=b)
+        return a
+
+    def found(missing_left: bool, sums: list[np.ndarray]) -> list[np.ndarray]:
+        rows, total = np.arange(len(sums[0])), [x.sum(axis=1, keepdims=True) for x in sums]
+        left = [np.cumsum(x[:, 1:], axis=1) + (x[:, :1] if missing_left else 0) for x in sums]
         right = [t - x for t, x in zip(total, left, strict=True)]
-        gain = score(*left[:2]) + score(*right[:2]) - score(*total[:2])
+        gain = score(*left[:2])
+        gain += score(*right[:2])
+        gain -= score(*total[:2])
         allowed = (left[2] >= least) & (right[2] >= least) & (left[1] >= spec.min_child_weight) & (right[1] >= spec.min_child_weight)
-        gain = np.where(allowed, gain, 0)
+        gain[~allowed] = 0
         k = gain.argmax(axis=1)
-        found = [gain[rows, k], k + 1, np.full(len(g), missing_left), *[x[rows, k] for x in left]]
-        if best is None:
-            best = found
-        else:
-            more = (found[0] > best[0] + 1e-12) & (n[:, 0] > 0)
-            best = [np.where(more, x, y) for x, y in zip(found, best, strict=True)]
-    return list(zip(*[x.tolist() for x in best], strict=True))
+        return [gain[rows, k], k + 1, np.full(len(rows), missing_left), *[x[rows, k] for x in left]]
+
+    least = max(spec.min_child_rows, 1)
+    best = found(False, [g, h, n])
+    some = np.flatnonzero(n[:, 0] > 0)          # where values are missing, the other side is tried too
+    if len(some):
+        other = found(True, [x[some] for x in (g, h, n)])
+        more = other[0] > best[0][some] + 1e-12
+        for x, y in zip(best, other, strict=True):
+            x[some[more]] = y[more]
+    return best
 
 
 class Cut(NamedTuple):
@@ -365,6 +411,7 @@ class _Model:
 
     def __init__(self, number: int, spec: BoostSpec, held_out: int | None, weights: tuple[float, float], width: int):
         self.number, self.spec, self.held_out, self.weights, self.width = number, spec, held_out, weights, width
+        self.opens_less = 1         # where a pass costs little: fewer leaves are opened that are not split in the end
         self.trees: list[Tree] = []
         self.pending: list[dict] = []
         self.history: list[float] = []
@@ -390,6 +437,11 @@ class _Model:
             self.by_level[level] = self._draw(self.rng, self.columns, self.spec.colsample_level)
         return self.by_level[level]
 
+    @property
+    def draw_seed(self) -> int:
+        """Of the rows that the growing tree is made from."""
+        return self.spec.seed * 100_003 + len(self.trees)
+
     @property
     def last(self) -> bool:
         """All trees are grown; only the score of the last is missing."""
@@ -403,14 +455,11 @@ class _Model:
         return {"model": self.number, "held_out": self.held_out, "pending": self.pending, "open": opened, "allowed": allowed,
                 "columns": sorted({f for a in allowed for f in a}), "slot": slot, "tree": self.tree.arrays(), "weights": self.weights,
                 "score": self.held_out is not None and len(self.history) < len(self.trees) and (self.open == [0] or self.last),
-                "subsample": self.spec.subsample, "seed": self.spec.seed * 100_003 + len(self.trees)}
+                "subsample": self.spec.subsample, "seed": self.draw_seed}
 
     def take(self, auc: float | None, leaves: dict[int, Cut]) -> None:
         """The result of a pass: the score of the trees so far, and the best cut of each open leaf."""
-        if auc is not None:
-            self.history.append(auc)
-        if self._over():
-            self.done = True
+        if self.scored(auc):
             return
         for i, v in enumerate(self.open):
             if i in leaves:
@@ -423,6 +472,13 @@ class _Model:
         if isinstance(chosen, list):
             self._finish(chosen)
 
+    def scored(self, auc: float | None) -> bool:
+        """Takes the score of the trees so far; whether the boosting ends with it."""
+        if auc is not None:
+            self.history.append(auc)
+        self.done = self._over() or (auc is None and self.last)      # no score of the last tree: no row is held out
+        return self.done
+
     def _over(self) -> bool:
         if self.spec.patience and len(self.history) - 1 - int(np.argmax(self.history or [0])) >= self.spec.patience:
             return True
@@ -431,18 +487,20 @@ class _Model:
     def _chosen(self) -> list[int] | None:
         """Nodes to split, best first; or None after opening more leaves."""
         most = self.spec.max_leaves or math.inf
-        ready, chosen = [0], []
+        ready = [(-self.cuts[0].gain, 0)] if 0 in self.cuts else []      # the best first; equal gains in the order of the nodes
+        chosen = []
         while ready and len(chosen) + 1 < most:
-            v = max((x for x in ready if x in self.cuts), key=lambda x: (self.cuts[x].gain, -x), default=None)
-            if v is None:
-                break
-            if self.tree.feature[v] < 0:
-                self._expand(most - 1 - len(chosen))
+            v = ready[0][1]
+            while self.tree.feature[v] < 0:        # leaves below others may come before it
+                room = most - 1 - len(chosen)
+                self._expand(room if room == math.inf else max(1, room // self.opens_less))
                 if self.open:
                     return None
-            ready.remove(v)
+            heapq.heappop(ready)
             chosen.append(v)
-            ready += [self.tree.left[v], self.tree.right[v]]
+            for child in (self.tree.left[v], self.tree.right[v]):
+                if child in self.cuts:
+                    heapq.heappush(ready, (-self.cuts[child].gain, child))
         return chosen
 
     def _expand(self, room: float) -> None:
@@ -509,7 +567,10 @@ def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
     weights = _class_weights(rows, jobs)
     models = [_Model(k, spec, held, weights[k], width) for k, (spec, held) in enumerate(jobs)]
     checkpoint_dir(rows.sparkSession)
-    current, groups, blocks = _blocks(rows, len(models), width)
+    n = rows.filter("label IS NOT NULL").count()
+    if n <= WHOLE_ROWS and n * width <= WHOLE_CODES:
+        return _fit_whole(rows, n, models, features, edges)
+    current, groups, blocks = _blocks(rows, n, len(models), width)
     kept, refreshed = [current.persist(KEPT)], 0
     while live := [m for m in models if not m.done]:
         if sum(len(m.pending) for m in live) >= min(REFRESH, len(live)):
@@ -556,6 +617,110 @@ def fit_many(rows: DataFrame, features: Sequence[str], edges: list[list[float]],
     return [m.ensemble(features, edges) for m in models]
 
 
+def _grow(model: _Model, draw: np.ndarray, fold: np.ndarray, label: np.ndarray, columns: np.ndarray) -> None:
+    """All trees of a model from all labelled rows, with their codes by [feature, row]: what passes give it, without passes."""
+    spec, base, model.opens_less = model.spec, np.zeros(len(label)), OPENS_LESS
+    held = fold == model.held_out if model.held_out is not None else np.zeros(len(fold), bool)
+    by_class, train = [np.flatnonzero(held & (label == y)) for y in (0, 1)], np.flatnonzero(~held)
+    bins = int(columns.max(initial=1)) + 1
+    while not model.done:
+        for tree in model.pending:
+            base += _values(tree, columns)
+        model.pending = []
+        q, auc = 1 / (1 + np.exp(-base)), None
+        if model.held_out is not None and len(model.history) < len(model.trees):
+            at = np.minimum((q * SCORE_BUCKETS).astype(np.int64), SCORE_BUCKETS - 1)
+            neg, pos = (np.bincount(at[own], minlength=SCORE_BUCKETS).astype(float) for own in by_class)
+            auc = _auc(pos, neg) if held.any() else None
+            if model.scored(auc):
+                break
+        rows = train
+        if spec.subsample < 1:
+            rows = train[_uniform(draw[train], model.draw_seed) < spec.subsample]
+        y, q = label[rows], q[rows]
+        w = np.where(y == 1, model.weights[1], model.weights[0])
+        _grow_tree(model, w * (q - y), w * q * (1 - q), columns[model.columns].take(rows, axis=1), bins)
+
+
+def _grow_tree(model: _Model, g: np.ndarray, h: np.ndarray, codes: np.ndarray, bins: int) -> None:
+    """One tree from the rows of its subsample and their codes by [column of the tree, row]. Of two children the one with
+    fewer rows is summed, the other is what their parent has beyond it."""
+    tree, grown, place = model.tree, len(model.trees), {int(f): i for i, f in enumerate(model.columns)}
+    members: dict[int, np.ndarray] = {0: np.arange(len(g))}
+    sums: dict[int, np.ndarray] = {}                   # by leaf: [g h n, column, bin]
+
+    def add_sums(leaves: list[int]) -> None:
+        rows, slot = np.concatenate([members[v] for v in leaves]), np.repeat(np.arange(len(leaves)) * bins, [len(members[v]) for v in leaves])
+        own, out = (g[rows], h[rows], None), np.empty((3, len(codes), len(leaves), bins))
+        for i, column in enumerate(codes):
+            at = slot + column[rows]
+            for k, x in enumerate(own):
+                out[k, i] = np.bincount(at, x, len(leaves) * bins).reshape(-1, bins)
+        sums.update({v: out[:, :, i] for i, v in enumerate(leaves)})
+
+    add_sums([0])
+    model.take(None, _leaf_cuts(model, sums, place))
+    while len(model.trees) == grown:
+        opened, pairs = set(model.open), []
+        for v in list(members):
+            f, cut, rows = tree.feature[v], tree.cut[v], members[v]
+            if f >= 0:
+                left, right = tree.left[v], tree.right[v]
+                if left in opened:
+                    c = codes[place[f]][rows]
+                    goes = c <= cut if tree.missing_left[v] else (c <= cut) & (c > 0)
+                    members[left], members[right] = rows[goes], rows[~goes]
+                    pairs.append((v, *sorted((left, right), key=lambda x: len(members[x]))))
+            if f >= 0 or v not in model.cuts:          # split, or never to be
+                del members[v]
+        add_sums([few for _, few, _ in pairs])
+        for v, few, many in pairs:
+            rest = sums[v] - sums[few]
+            rest[:2] *= rest[2] > 0                    # nothing is left of a bin without rows
+            sums[many] = rest
+        sums = {v: sums[v] for v in members}
+        model.take(None, _leaf_cuts(model, sums, place))
+
+
+def _leaf_cuts(model: _Model, sums: dict[int, np.ndarray], place: dict[int, int]) -> dict[int, Cut]:
+    """The best cut of each open leaf that has rows, by its place among the open ones."""
+    opened, leaves = model.open, len(model.open)
+    may = np.zeros((model.width, leaves), bool)
+    for i, v in enumerate(opened):
+        may[model.allowed(v), i] = True
+    columns = np.flatnonzero(may.any(axis=1)).tolist()
+    own = [place[f] for f in columns]
+    flat = np.stack([sums[v][:, own] for v in opened], axis=2).reshape(3, len(columns) * leaves, -1)
+    found = _best_cuts(*flat, model.spec)
+    totals = [x.sum(axis=1) for x in flat]
+    may = may[columns] & (totals[2].reshape(len(columns), leaves) > 0)
+    gain = np.where(may, np.round(found[0].reshape(len(columns), leaves), 9), -1)
+    first = gain.argmax(axis=0)                       # equal gains go to the first feature
+    at = np.flatnonzero(may.any(axis=0))
+    best = first[at] * leaves + at
+    values = [x[best].tolist() for x in (*found, *totals)]
+    return {i: Cut(*x, columns[first[i]]) for i, x in zip(at.tolist(), zip(*values, strict=True), strict=True)}
+
+
+def _fit_whole(rows: DataFrame, n: int, models: list[_Model], features: list[str], edges: list[list[float]]) -> list[Ensemble]:
+    """``fit_many`` of rows that fit a task: each model is grown by a task of its own that reads all ``n`` rows."""
+    width, table = len(features), _packed(rows, max(-(-n // BLOCK_ROWS), 1), len(features))
+    whole = table.coalesce(1)
+
+    def of_model(model: _Model):
+        def run(it):
+            none = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty((0, width), np.uint8)
+            draw, fold, label, codes = (np.concatenate(x) for x in zip(none, *(_unpacked(r, width) for r in it), strict=True))
+            _grow(model, draw, fold, label, np.ascontiguousarray(codes.T))
+            yield model.number, model.trees, model.history
+        return run
+
+    for number, trees, history in rows.sparkSession.sparkContext.union([whole.mapPartitions(of_model(m)) for m in models]).collect():
+        models[number].trees, models[number].history = trees, history        # the size of the model
+    table.unpersist()
+    return [m.ensemble(features, edges) for m in models]
+
+
 # ------------------------------------------------------------------ scoring
 
 def score(df: DataFrame, models: Sequence[Ensemble], keep: Sequence[str], out: Sequence[str]) -> DataFrame:
@@ -655,7 +820,11 @@ def search(df: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str], i
 
 def fit(df: DataFrame, spec: BoostSpec, features: Sequence[str], id_col: str, label: str, n_trees: int | None = None) -> Ensemble:
     """M-10: one model of all labelled rows, of ``n_trees`` trees where given."""
-    spec = replace(spec, n_trees=n_trees or spec.n_trees)
+    return fit_all(df, [replace(spec, n_trees=n_trees or spec.n_trees)], features, id_col, label)[0]
+
+
+def fit_all(df: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str], id_col: str, label: str) -> list[Ensemble]:
+    """M-10: a model of all labelled rows for each specification, binned alike and fitted side by side."""
     labelled = df.filter(F.col(label).isNotNull())
     edges = bin_edges(labelled, features)
-    return fit_many(binned(labelled, features, edges, id_col, label), features, edges, [(spec, None)])[0]
+    return fit_many(binned(labelled, features, edges, id_col, label), features, edges, [(s, None) for s in specs])

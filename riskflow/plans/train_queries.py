@@ -39,16 +39,22 @@ def _text_features(df):
     })
 
 
+def _labelled_documents(spark, sf_dir):
+    """The text features are taken before the join, so that no text is shuffled."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
+    doc = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source",
+                                                        F.col("n_chars").cast("double").alias("n_chars"))
+    d = lab.filter("label IS NOT NULL").join(_text_features(doc).drop("text"), "doc_id", "inner")
+    return d.select(*lab.columns, "lang", "source", "n_chars", "n_words", "n_lines", "digit_share")
+
+
 def labelled(spark, sf_dir):
     """Labelled documents with text features, stratified folds and fold-safe WoE (E-05); rows without a label
     cannot be fitted and are left out here, not by the folds.
 
     Materialized once by a reliable checkpoint in the shared folder: every fold fit
     and every optimizer iteration then starts from the checkpoint, not the full plan, on all cores."""
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
-    doc = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source",
-                                                        F.col("n_chars").cast("double").alias("n_chars"))
-    d = _text_features(lab.filter("label IS NOT NULL").join(doc, "doc_id", "inner")).drop("text")
+    d = cut_lineage(_labelled_documents(spark, sf_dir))         # folds read all its columns more than once
     d = FO.stratified_folds(d, "doc_id", "label", K, SEED)
     m = W.woe_fit_oof(d, "label", CATS, "fold", K)
     out = W.woe_transform_oof(d, m, CATS, "fold").withColumn("quality", F.col("quality").cast("double"))
@@ -66,10 +72,10 @@ def train_logistic_oof(spark, sf_dir):
     return _oof(spark, sf_dir, TR.LOGISTIC)
 
 
-def _boosted(spark, sf_dir, spec):
-    """OOF table and fold models of a boosted member, as a stage in the shared folder: a key that needs a member which
-    another key of the session has fitted from the same rows reads it."""
-    d = labelled(spark, sf_dir)
+def _boosted(spark, sf_dir, spec, d=None):
+    """Labelled rows, OOF table and fold models of a boosted member, as a stage in the shared folder: a key that needs a
+    member which another key of the session has fitted from the same rows reads it."""
+    d = labelled(spark, sf_dir) if d is None else d
     oof, models, _ = B.cross_validate_stage(d, spec, FEATURES, "doc_id", "label", f"{checkpoint_dir(spark)}/riskflow/stages", "fold", K)
     return d, oof, models
 
