@@ -157,15 +157,12 @@ BLEND = (0.55, 0.45, 0.0)
 def final_submission(spark, sf_dir):
     """M-10: both boosted members refitted on all labelled rows, with as many trees as their folds kept on average, and
     blended by the stored weights over every document; the submission keeps the true id. (The third member has weight 0.)"""
-    members = {}
+    d, specs = labelled(spark, sf_dir), []
     for spec in (B.BOOST_A, B.BOOST_B):
-        d, _, folds = _boosted(spark, sf_dir, spec)
-        members[spec.name] = B.fit(d, replace(spec, patience=None), FEATURES, "doc_id", "label",
-                                   max(1, round(sum(len(m.trees) for m in folds) / K)))
-    names = list(members)
-    edges = {tuple(map(tuple, m.edges)) for m in members.values()}
-    assert len(edges) == 1                                       # fitted from the same rows, so binned alike
-    scored = B.score(_test_documents(spark, sf_dir, d), list(members.values()), ["doc_id"], names)
+        folds = _boosted(spark, sf_dir, spec, d)[2]
+        specs.append(replace(spec, patience=None, n_trees=max(1, round(sum(len(m.trees) for m in folds) / K))))
+    names = [s.name for s in specs]
+    scored = B.score(_test_documents(spark, sf_dir, d), B.fit_all(d, specs, FEATURES, "doc_id", "label"), ["doc_id"], names)
     return finish(scored.select("doc_id", sum(F.lit(w) * F.col(n) for w, n in zip(BLEND, names)).alias("TARGET")))
 
 

@@ -1,4 +1,4 @@
-"""Boosted models grown by a task of their own, their refit."""
+"""Boosted models grown by a task of their own, their refit, Shapley tables and the served model."""
 
 import re
 from dataclasses import replace
@@ -66,6 +66,16 @@ def test_trees_answer_as_the_walk(spark):
         assert (B._values(t, np.ascontiguousarray(codes.T)) == t["value"][B._walk(t, codes)]).all()
 
 
+def test_the_submission_prepares_its_rows_once(spark, monkeypatch):
+    calls, real = [], T.labelled
+    monkeypatch.setattr(T, "labelled", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(B, "BOOST_A", replace(B.BOOST_A, n_trees=3, patience=2, min_child_weight=0.0))
+    monkeypatch.setattr(B, "BOOST_B", replace(B.BOOST_B, n_trees=3, patience=2, min_child_rows=1))
+    out = T.final_submission(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert out.filter("TARGET > 0 AND TARGET < 1").count() == out.count()
+
+
 def test_no_text_is_shuffled(spark):
     most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
