@@ -129,29 +129,58 @@ def leaf_paths(tree: dict[str, np.ndarray]) -> list[tuple[float, list[tuple[int,
     return out
 
 
-def shapley(goes_left: np.ndarray, paths: list, n_features: int) -> np.ndarray:
-    """Shapley values [row, feature] of one tree, given for each row and node whether it goes left there."""
-    phi = np.zeros((len(goes_left), n_features))
+#: Steps of a path of which all ways through are worked out once for each leaf: 2 to the power of them.
+TABLE_STEPS = 8
+
+
+def _shares(value: float, shares: Sequence[float], through: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Shapley values of the features on the path to a leaf, for rows that each of its steps lets through (1) or not (0)."""
+    d, out = len(shares), []
+    product = np.zeros((d + 1, len(through[0])))
+    product[0] = 1.0
+    for k, (z, o) in enumerate(zip(shares, through, strict=True)):
+        product[1:k + 2] = z * product[1:k + 2] + o * product[:k + 1]
+        product[0] *= z
+    weight = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
+    for z, o in zip(shares, through, strict=True):
+        known = o > 0
+        rest, total = product[d].copy(), np.zeros(len(o))      # the product without this factor, from the top
+        for s in range(d - 1, -1, -1):
+            unknown = product[s] / z if z else 0.0
+            total += weight[s] * np.where(known, rest, unknown)
+            rest = product[s] - z * rest
+        out.append(value * (o - z) * total)
+    return out
+
+
+def leaf_tables(paths: list) -> list[np.ndarray | None]:
+    """Of each leaf with at most ``TABLE_STEPS`` features on its path, the Shapley values [way through, feature of the path]:
+    bit k of the way says whether step k lets a row through."""
+    out = []
     for value, steps in paths:
-        d = len(steps)
-        if not value or not d:
+        if 0 < len(steps) <= TABLE_STEPS:
+            ways = np.arange(1 << len(steps))
+            out.append(np.stack(_shares(value, [z for _, z, _ in steps], [(ways >> k & 1).astype(float) for k in range(len(steps))]), axis=1))
+        else:
+            out.append(None)
+    return out
+
+
+def shapley(goes_left: np.ndarray, paths: list, n_features: int, tables: list | None = None) -> np.ndarray:
+    """Shapley values [row, feature] of one tree, given for each row and node whether it goes left there."""
+    phi, by_node = np.zeros((n_features, len(goes_left))), np.ascontiguousarray(goes_left.T)
+    for (value, steps), table in zip(paths, tables or leaf_tables(paths), strict=True):
+        if not value or not steps:
             continue
-        through = [np.logical_and.reduce([goes_left[:, v] == left for v, left in way]).astype(float) for _, _, way in steps]
-        product = np.zeros((d + 1, len(goes_left)))
-        product[0] = 1.0
-        for k, ((_, z, _), o) in enumerate(zip(steps, through, strict=True)):
-            product[1:k + 2] = z * product[1:k + 2] + o * product[:k + 1]
-            product[0] *= z
-        weight = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-        for (f, z, _), o in zip(steps, through, strict=True):
-            known = o > 0
-            rest, total = product[d].copy(), np.zeros(len(goes_left))      # the product without this factor, from the top
-            for s in range(d - 1, -1, -1):
-                unknown = product[s] / z if z else 0.0
-                total += weight[s] * np.where(known, rest, unknown)
-                rest = product[s] - z * rest
-            phi[:, f] += value * (o - z) * total
-    return phi
+        through = [np.logical_and.reduce([by_node[v] if left else ~by_node[v] for v, left in way]) for _, _, way in steps]
+        if table is None:
+            shares = _shares(value, [z for _, z, _ in steps], [o.astype(float) for o in through])
+        else:
+            way = sum(o.astype(np.intp) << k for k, o in enumerate(through))
+            shares = [table[:, k][way] for k in range(len(steps))]
+        for (f, _, _), x in zip(steps, shares, strict=True):
+            phi[f] += x
+    return phi.T
 
 
 def _boosted(model) -> tuple[list[dict], list[list[float]] | None]:
@@ -169,6 +198,7 @@ def shapley_attributions(df: DataFrame, model, features: Sequence[str], keep: Se
     the training rows. The flattened trees travel with the tasks; their size is that of the model."""
     trees, edges = _boosted(model)
     paths = [leaf_paths(t) for t in trees]
+    tables: list[list] = []
     base = float(sum(v * np.prod([z for _, z, _ in steps]) for p in paths for v, steps in p))
     feats = list(features)
     schema = StructType([*[df.schema[k] for k in keep], StructField("base", DoubleType()),
@@ -184,6 +214,8 @@ def shapley_attributions(df: DataFrame, model, features: Sequence[str], keep: Se
 
     def run(batches):
         for whole in batches:
+            if not tables:
+                tables.extend(leaf_tables(p) for p in paths)          # once a task
             for at in range(0, len(whole), rows_at_once):
                 b = whole.iloc[at:at + rows_at_once]
                 x = b[[f"x{i}" for i in range(len(feats))]].to_numpy(dtype=np.float64)
@@ -191,8 +223,8 @@ def shapley_attributions(df: DataFrame, model, features: Sequence[str], keep: Se
                     x = np.stack([np.where(np.isnan(c), 0, np.searchsorted(np.asarray(e, float), c, "left") + 1)
                                   for c, e in zip(x.T, edges, strict=True)], axis=1)
                 phi = np.zeros((len(b), len(feats)))
-                for tree, p in zip(trees, paths, strict=True):
-                    phi += shapley(left(x, tree), p, len(feats))
+                for tree, p, t in zip(trees, paths, tables, strict=True):
+                    phi += shapley(left(x, tree), p, len(feats), t)
                 out = b[list(keep)].copy()
                 out["base"] = base
                 for j, f in enumerate(feats):

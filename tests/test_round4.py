@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from riskflow.operators import attribution as A
 from riskflow.operators import boost as B
 from riskflow.plans import train_queries as T
 from tests.test_boost import FEATURES, table
@@ -76,6 +77,27 @@ def test_the_submission_prepares_its_rows_once(spark, monkeypatch):
     assert out.filter("TARGET > 0 AND TARGET < 1").count() == out.count()
 
 
+def test_ways_through_a_path_are_worked_out_once(spark, monkeypatch):
+    df, _ = table(spark, 300, 6)
+    model = B.fit(df, B.BoostSpec("m", 4, 0.3, 3), FEATURES, "id", "label")
+    paths = [A.leaf_paths(t.arrays()) for t in model.trees]
+    tables = [A.leaf_tables(p) for p in paths]
+    assert all(t.shape == (2 ** len(s), len(s)) for p, ts in zip(paths, tables, strict=True) for (_, s), t in zip(p, ts, strict=True))
+    goes_left = np.random.default_rng(1).random((1000, max(len(t.feature) for t in model.trees))) < 0.5
+    direct = [A.shapley(goes_left, p, 3, [None] * len(p)) for p in paths]
+    monkeypatch.setattr(A, "_shares", None)                               # not called again for these rows
+    for p, t, want in zip(paths, tables, direct, strict=True):
+        assert np.array_equal(A.shapley(goes_left, p, 3, t), want)
+
+
+def test_long_paths_have_no_table(spark):
+    steps = [(f, 0.5, [(f, True)]) for f in range(A.TABLE_STEPS + 1)]
+    assert A.leaf_tables([(1.0, steps), (1.0, steps[:2])])[0] is None
+    goes_left = np.random.default_rng(1).random((50, len(steps))) < 0.9
+    phi = A.shapley(goes_left, [(1.0, steps)], len(steps))
+    assert phi.sum(axis=1) == pytest.approx(goes_left.all(axis=1) - 0.5 ** len(steps))
+
+
 def test_no_text_is_shuffled(spark):
     most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
