@@ -58,18 +58,15 @@ def stream_counters(spark, sf_dir):
                                   F.count_if(~F.col("is_valid")).alias("quarantined_rows"))
 
 
-#: Members of the served model: the linear one, and the first boosted one with fewer trees (there is no fold to stop it by).
-SERVED_TREES = 25
-
-
 def served_model(spark, sf_dir):
-    """Fit both members on the applications' own features (P-01 .. P-27), save them, and load them back."""
+    """Fit both members on the applications' own features (P-01 .. P-27), save them, and load them back. The boosted one has
+    all trees as published: it is fitted on all rows, so there is no fold to stop it by."""
     train = FE.application_features(an.application(spark, sf_dir).withColumn("TARGET", F.expr("CASE WHEN EXT_SOURCE_1 IS NULL THEN 1 ELSE 0 END")))
     features = [c for c, t in train.dtypes if t in ("int", "bigint", "double") and c not in ("SK_ID_CURR", "TARGET", "EXT_SOURCE_1")]
     train = spread(cut_lineage(train.select("SK_ID_CURR", "TARGET", *features)))
     fill = TR.LOGISTIC.fill
     linear = TR.fit(SV.filled(train, features, fill), TR.LOGISTIC, SV.pipeline_inputs(features), "TARGET")
-    trees = B.fit(train, replace(B.BOOST_A, n_trees=SERVED_TREES, patience=None), features, "SK_ID_CURR", "TARGET")
+    trees = B.fit(train, replace(B.BOOST_A, patience=None), features, "SK_ID_CURR", "TARGET")
     serving = SV.Serving(features, {"linear": linear, "boosted": trees}, {"linear": 0.45, "boosted": 0.55}, {"linear": fill, "boosted": 0.0})
     return SV.load(spark, SV.save(spark, unique_path(spark, "serving"), serving))
 

@@ -8,6 +8,7 @@ import pytest
 
 from riskflow.operators import attribution as A
 from riskflow.operators import boost as B
+from riskflow.plans import stream_queries as Q
 from riskflow.plans import train_queries as T
 from tests.test_boost import FEATURES, table
 
@@ -98,6 +99,19 @@ def test_long_paths_have_no_table(spark):
     assert phi.sum(axis=1) == pytest.approx(goes_left.all(axis=1) - 0.5 ** len(steps))
 
 
+def test_the_served_model_has_all_trees(spark, monkeypatch):
+    asked, real = [], B.fit
+
+    def fit(df, spec, *args):
+        asked.append((spec, *args[3:]))
+        return real(df, replace(spec, n_trees=2), *args[:3])
+
+    monkeypatch.setattr(B, "fit", fit)
+    model = Q.served_model(spark, "/root/testdata/sf0.001")
+    assert asked == [(replace(B.BOOST_A, patience=None),)] and asked[0][0].n_trees == 1500
+    assert set(model.members) == {"linear", "boosted"} and len(model.members["boosted"].trees) == 2
+
+
 def test_no_text_is_shuffled(spark):
     most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
