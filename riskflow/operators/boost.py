@@ -707,15 +707,16 @@ def _fit_whole(rows: DataFrame, n: int, models: list[_Model], features: list[str
     width, table = len(features), _packed(rows, max(-(-n // BLOCK_ROWS), 1), len(features))
     whole = table.coalesce(1)
 
-    def of_model(model: _Model):
+    def of_model(state: dict, spec: BoostSpec):                         # a task is told what a pass is told
         def run(it):
+            model = _Model(state["model"], spec, state["held_out"], state["weights"], width)
             none = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty((0, width), np.uint8)
             draw, fold, label, codes = (np.concatenate(x) for x in zip(none, *(_unpacked(r, width) for r in it), strict=True))
             _grow(model, draw, fold, label, np.ascontiguousarray(codes.T))
             yield model.number, model.trees, model.history
         return run
 
-    for number, trees, history in rows.sparkSession.sparkContext.union([whole.mapPartitions(of_model(m)) for m in models]).collect():
+    for number, trees, history in rows.sparkSession.sparkContext.union([whole.mapPartitions(of_model(m.state(), m.spec)) for m in models]).collect():
         models[number].trees, models[number].history = trees, history        # the size of the model
     table.unpersist()
     return [m.ensemble(features, edges) for m in models]
